@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, sharding, token_counts
+from . import decontamination, packing, sharding, simhash, token_counts
 
-MODULES = (sharding, packing, token_counts, decontamination)
+MODULES = (sharding, packing, token_counts, decontamination, simhash)
 
 
 def queries() -> dict:
