@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, sharding, simhash, token_counts
+from . import decontamination, packing, sharding, simhash, suffix_dedup, token_counts
 
-MODULES = (sharding, packing, token_counts, decontamination, simhash)
+MODULES = (sharding, packing, token_counts, decontamination, simhash, suffix_dedup)
 
 
 def queries() -> dict:
