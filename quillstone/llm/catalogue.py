@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, sharding, simhash, suffix_dedup, token_counts
+from . import decontamination, html_text, packing, sharding, simhash, suffix_dedup, token_counts
 
-MODULES = (sharding, packing, token_counts, decontamination, simhash, suffix_dedup)
+MODULES = (sharding, packing, token_counts, decontamination, html_text, simhash, suffix_dedup)
 
 
 def queries() -> dict:
