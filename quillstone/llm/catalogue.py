@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, packing, quality, sharding, simhash, suffix_dedup, token_counts
+from . import decontamination, html_text, packing, quality, sharding, simhash, suffix_dedup, token_counts, warc
 
-MODULES = (sharding, packing, token_counts, decontamination, quality, html_text, simhash, suffix_dedup)
+MODULES = (sharding, warc, packing, token_counts, decontamination, quality, html_text, simhash, suffix_dedup)
 
 
 def queries() -> dict:
