@@ -33,24 +33,29 @@ LEAF, STEP = 256, 100_000
 CHUNK = 200_000
 
 
-def simhash(text: bytes | None, size: int = SHINGLE) -> int:
-    """bytes.lower() and bytes.split() know ASCII letters and white space alone."""
+def shingle_hashes(text: bytes | None, size: int) -> Iterator[np.ndarray]:
+    """XXH64 of all shingles, in parts; bytes.lower() and bytes.split() know ASCII letters and white space alone."""
     import xxhash
 
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return
     size = min(size, len(words))
-    n = len(words) - size + 1
     joined = b" ".join(words)
     lens = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lens + 1) - 1
-    begin, end = (ends - lens)[:n].tolist(), ends[size - 1 :].tolist()
-    votes = np.zeros(BITS, np.int64)
-    for k in range(0, n, 50_000):
+    begin, end = (ends - lens)[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist()
+    for k in range(0, len(begin), 50_000):
         shingles = [joined[a:b] for a, b in zip(begin[k : k + 50_000], end[k : k + 50_000], strict=True)]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), "<u8", len(shingles))
+        yield np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), "<u8", len(shingles))
+
+
+def simhash(text: bytes | None, size: int = SHINGLE) -> int:
+    """The 64-bit fingerprint over all shingles, as a signed number; zero without words."""
+    votes, n = np.zeros(BITS, np.int64), 0
+    for h in shingle_hashes(text, size):
         votes += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(2 * votes > n, bitorder="little").tobytes(), "little", signed=True)
 
 
@@ -62,8 +67,11 @@ def _fingerprints(size: int) -> Callable:
     return run
 
 
-def trie_join(keys: np.ndarray, buckets: np.ndarray, budget: int = BUDGET) -> np.ndarray:
-    """For each key (unsigned, sorted within its bucket) the index of the first key of its component."""
+def trie_join(keys: np.ndarray, buckets: np.ndarray, budget: int = BUDGET, accept: Callable | None = None) -> np.ndarray:
+    """For each key (unsigned, sorted within its bucket) the index of the first key of its component.
+
+    accept may refuse pairs within the budget, given their indexes.
+    """
     n = len(keys)
     labels = np.arange(n)
     edges = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1], [True]]))
@@ -82,7 +90,7 @@ def trie_join(keys: np.ndarray, buckets: np.ndarray, budget: int = BUDGET) -> np
         nodes = nodes[:, ~joined]
         a0, a1, b0, b1, err = nodes
         small = ((a1 - a0) * (b1 - b0) <= LEAF) | (depth >= BITS)
-        labels = _leaves(keys, labels, nodes[:, small], budget)
+        labels = _leaves(keys, labels, nodes[:, small], budget, accept)
         nodes = nodes[:, ~small]
         if not nodes.shape[1]:
             continue
@@ -98,7 +106,7 @@ def trie_join(keys: np.ndarray, buckets: np.ndarray, budget: int = BUDGET) -> np
     return labels
 
 
-def _leaves(keys: np.ndarray, labels: np.ndarray, nodes: np.ndarray, budget: int) -> np.ndarray:
+def _leaves(keys: np.ndarray, labels: np.ndarray, nodes: np.ndarray, budget: int, accept: Callable | None) -> np.ndarray:
     for k in range(0, nodes.shape[1], 16_000):
         a0, a1, b0, b1, _ = nodes[:, k : k + 16_000]
         sizes = (a1 - a0) * (b1 - b0)
@@ -106,8 +114,12 @@ def _leaves(keys: np.ndarray, labels: np.ndarray, nodes: np.ndarray, budget: int
         at = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         width = (b1 - b0)[which]
         u, v = a0[which] + at // width, b0[which] + at % width
-        near = (u != v) & (np.bitwise_count(keys[u] ^ keys[v]) <= budget)
-        labels = merge_labels(labels, u[near], v[near])
+        near = (u != v) & (np.bitwise_count(keys[u] ^ keys[v]) <= budget) & (labels[u] != labels[v])
+        u, v = u[near], v[near]
+        if accept is not None:
+            good = accept(u, v)
+            u, v = u[good], v[good]
+        labels = merge_labels(labels, u, v)
     return labels
 
 
