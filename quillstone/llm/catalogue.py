@@ -8,8 +8,12 @@ MODULES = (sharding, warc, packing, token_counts, decontamination, quality, vect
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    from corpus_pipeline import run
+
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()} | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in m.ORACLES.items()}
+    from corpus_pipeline import ORACLE_SQL
+
+    return {k: s for m in MODULES for k, s in m.ORACLES.items()} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
