@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import table, worker_cache
 
 SPACE = "▁"  # stands for the space in this model's pieces
-FREQUENT, TRACKED, CACHED = 20_000, 250_000, 400_000
+FREQUENT, TRACKED, CACHED, DOCS = 20_000, 250_000, 800_000, 100
 FANOUT = 16
 PRE_TOKENS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
@@ -52,8 +53,15 @@ def model(path: str | None):
 
 
 def lengths(sp, tokens: list[str]) -> list[int]:
-    """A line feed in front stands apart from what follows; it and the leading space are two tokens."""
-    return [len(x) - 2 for x in sp.encode(["\n" + t for t in tokens], num_threads=1)]
+    """Many tokens are encoded as one text of lines: the id of a line feed stands between theirs."""
+    feed = sp.piece_to_id("<0x0A>")
+    whole = [t for t in tokens if t != "\n"]
+    n: list[int] = []
+    for k in range(0, len(whole), 1000):
+        ids = np.asarray(sp.encode("\n" + "\n".join(whole[k : k + 1000]) + "\n"))
+        n += (np.diff(np.flatnonzero(ids == feed)) - 1).tolist()
+    each = iter(n)
+    return [1 if t == "\n" else next(each) for t in tokens]
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,21 +95,6 @@ def frequent_pre_tokens(docs: DataFrame, n: int = FREQUENT) -> dict[str, int]:
     return dict(total.most_common(n))
 
 
-class _Lengths(dict):
-    """Tier two; a miss is encoded and kept."""
-
-    def __init__(self, sp, first: dict[str, int]):
-        super().__init__(first)
-        self.sp, self.first = sp, first
-
-    def __missing__(self, token: str) -> int:
-        if len(self) > CACHED:
-            self.clear()
-            self.update(self.first)
-        self[token] = n = lengths(self.sp, [token])[0]
-        return n
-
-
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 4096, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs."""
     sp = model(path)
@@ -109,12 +102,20 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 4096, fr
     sent = docs.sparkSession.sparkContext.broadcast(dict(zip(common, lengths(sp, common), strict=True)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = worker_cache("token lengths")
-        if path not in kept:
-            kept[path] = _Lengths(model(path), sent.value)
-        get = kept[path].__getitem__
+        sp, first, second = model(path), sent.value, worker_cache(f"token lengths:{path}")
+        second.update(first)
+        get = second.__getitem__
         for b in batches:
-            n = [sum(map(get, pre_tokens(text))) if text else 0 for text in b.column("text").to_pylist()]
+            texts, n = b.column("text").to_pylist(), []
+            for k in range(0, len(texts), DOCS):
+                docs_tokens = [pre_tokens(t) if t else [] for t in texts[k : k + DOCS]]
+                misses = list({t for tokens in docs_tokens for t in tokens if t not in second})
+                if len(second) + len(misses) > CACHED:
+                    second.clear()
+                    second.update(first)
+                    misses = list({t for tokens in docs_tokens for t in tokens if t not in second})
+                second.update(zip(misses, lengths(sp, misses), strict=True))
+                n += [sum(map(get, tokens)) for tokens in docs_tokens]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     text = F.col("text").cast("string")
