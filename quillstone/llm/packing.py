@@ -13,6 +13,8 @@ each row packed for itself; an empty table gives no rows; further columns are ig
 
 from __future__ import annotations
 
+import json
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -28,7 +30,7 @@ from .common import staged, table, worker_cache
 CAPACITY, CLASSES, END_ID = 2048, 64, 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, sequence_id long, offset long"
 #: A worker keeps at most so many words with their ids.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 
 
 def cut(n: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[tuple[int, int]]:
@@ -45,27 +47,73 @@ def cut(n: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[tuple[
     return out
 
 
-def word_ids(tokenizer_path: str, name: str) -> Callable[[str], bytes]:
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in printable else next(others)) for b in range(256)]
+
+
+def _kind(tokenizer) -> list[str]:
+    """Its normalisers and pre-tokenizers, by name."""
+    spec = json.loads(tokenizer.to_str())
+    parts = [spec["normalizer"] or {}, spec["pre_tokenizer"] or {}]
+    return [x["type"] for p in parts for x in p.get("normalizers", p.get("pretokenizers", [p])) if x]
+
+
+def word_ids(tokenizer_path: str) -> Callable[[str], bytes]:
     """Text to its ids as little-endian 32-bit bytes, by a cache of space-separated words.
 
-    The tokenizer drops white space and never joins across it, so words can be encoded one by one.
+    The tokenizer must drop white space and never join across it, so that words can be encoded one by one.
+    Plain words (Latin letters alone) skip its normaliser and splitter, which leave them as they are but for
+    case, and go to its merges at once.
     """
     from tokenizers import Tokenizer
 
-    kept = worker_cache(f"words:{name}:{tokenizer_path}")
+    kept = worker_cache(f"words:{tokenizer_path}")
     if "tokenizer" not in kept:
-        kept |= {"tokenizer": Tokenizer.from_file(tokenizer_path), "ids": {}}
-    tokenizer, ids = kept["tokenizer"], kept["ids"]
+        kept |= {"tokenizer": (t := Tokenizer.from_file(tokenizer_path)), "ids": {}}
+        if _kind(t) != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]:
+            raise ValueError("words can only be encoded one by one for a tokenizer that lowers case and drops white space")
+    tokenizer, ids, letters = kept["tokenizer"], kept["ids"], byte_letters()
+    merges = tokenizer.model.tokenize
+
+    def plain(word: str) -> bool:
+        return word.isalpha() and max(word) < "\u0180"
+
+    def core(word: str) -> tuple[str, str]:
+        """A letter and the mark after it are always apart; case is ignored."""
+        mark = word[-1:] if word[-1:] in (".", ",") and word[-2:-1].isalpha() else ""
+        stem = word[: len(word) - len(mark)]
+        return (low if plain(stem) and plain(low := stem.lower()) else stem), mark
+
+    def learn(words: list[str]) -> None:
+        parts = [core(w) for w in words]
+        odd = []
+        for p in parts:
+            for x in p:
+                if x and x not in ids:
+                    if plain(x) and x.islower():
+                        y = [t.id for t in merges(x if x.isascii() else "".join([letters[b] for b in x.encode()]))]
+                        ids[x] = struct.pack(f"<{len(y)}I", *y)
+                    else:
+                        odd.append(x)
+        odd = list(dict.fromkeys(odd))
+        for x, e in zip(odd, tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            y = e.ids
+            ids[x] = struct.pack(f"<{len(y)}I", *y)
+        ids.setdefault("", b"")
+        for w, (stem, mark) in zip(words, parts, strict=True):
+            ids[w] = ids[stem] + ids[mark] if mark else ids[stem]
 
     def encode(text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
         new = [w for w in dict.fromkeys(words) if w not in ids]
         if new:
-            if len(ids) + len(new) > CACHED_WORDS:
+            if len(ids) > CACHED_WORDS:
                 ids.clear()
                 new = list(dict.fromkeys(words))
-            for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                ids[w] = np.asarray(e.ids, "<u4").tobytes()
+            learn(new)
         return b"".join(map(ids.__getitem__, words))
 
     return encode
@@ -81,7 +129,7 @@ def _pack(tokenizer: str | None, capacity: int, classes: int) -> Callable:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        encode = word_ids(path, "pack")
+        encode = word_ids(path)
         end = np.asarray([END_ID], "<u4").tobytes()
         base, opened = (TaskContext.get().partitionId() + 1) << 32, 0
         bins: dict[int, list] = {j: [] for j in range(1, classes + 1)}

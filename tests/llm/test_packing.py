@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quillstone.llm.packing import CAPACITY, cut, harmonic_pack, op3_pack_harmonic
+from quillstone.llm.packing import CAPACITY, cut, harmonic_pack, op3_pack_harmonic, word_ids
 
 from .brute import docs, rows
 
@@ -61,3 +61,10 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert check(rows(op3_pack_harmonic(spark, sf)), texts) > 0.95
+
+
+def test_words_are_encoded_as_in_their_text():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, encode = Tokenizer.from_file(path), word_ids(path)
+    for x in ["Word. word, WORD ΟΔΟΣ. İx, é., e\u0301, can't. it's, 12. a.b, ., .. <|ENDOFTEXT|> <|endoftext|>. x<|startoftext|>", "Straße, ÉCOLE. İstanbul ŉo ªº µ ÿ Ÿ ŒUVRE ǅ ſ", "a\u00a0b,\tc.\x1cd. \u0301x", ""]:
+        assert np.frombuffer(encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
