@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def tag_body(text: Column, tag: str) -> Column:
     """Trimmed body of the first <tag>...</tag>, any case, over lines; null if there is none or it is blank."""
     body = F.regexp_extract(text, rf"(?is)<{tag}>\s*(.+?)\s*</{tag}>", 1)
-    return F.nullif(body, F.lit(""))
+    return F.when(F.trim(body) != "", body)
 
 
 def has_tag(text: Column, tag: str) -> Column:

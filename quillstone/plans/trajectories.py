@@ -126,7 +126,7 @@ def shortened_urls(spark, d):
 QUERIES = {f.__name__: f for f in (tag_extract, requirement_after_marker, tool_event_parse, reward_mild, reward_capped, overlong_penalty, role_fix, tool_blocks, last_user_turn, role_validation, session_key_hash, props_json, tool_call_parse, running_best_delta, padded_tokens, shortened_urls)}
 
 ORACLES = {
-    "tag_extract": f"""WITH {WRAPPED}, a AS (SELECT *, nullif(regexp_extract(t, '(?is)<answer>\\s*(.+?)\\s*</answer>', 1), '') AS answer FROM w)
+    "tag_extract": f"""WITH {WRAPPED}, a AS (SELECT *, CASE WHEN trim(regexp_extract(t, '(?is)<answer>\\s*(.+?)\\s*</answer>', 1)) <> '' THEN regexp_extract(t, '(?is)<answer>\\s*(.+?)\\s*</answer>', 1) END AS answer FROM w)
 SELECT conv_id, turn, answer, contains(t, '<think>') AND contains(t, '</think>') AS has_think, contains(t, '<answer>') AND contains(t, '</answer>') AS has_answer, upper(regexp_replace(answer, '[^A-Za-z]', '', 'g')) AS answer_letters FROM a""",
     "requirement_after_marker": f"""WITH {WRAPPED}, a AS (SELECT *, list_extract(string_split(t, 'Task marker:'), -1) AS x FROM w)
 SELECT conv_id, turn, trim(CASE WHEN contains(x, 'Stop here') THEN string_split(x, 'Stop here')[1] ELSE x END, ' ') AS requirement FROM a""",
