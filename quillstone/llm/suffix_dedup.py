@@ -105,6 +105,18 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def _places(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, tie: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted, one row for each place: an anchor on both sides of a tile's border has the windows of both tiles."""
+    order = np.lexsort((code, tie, doc, ctx, key))
+    key, ctx, doc, tie, code = (x[order] for x in (key, ctx, doc, tie, code))
+    first = np.flatnonzero(_runs(key, ctx, doc, tie, code >> 14))
+    if len(first) < len(code):
+        high, low = np.maximum.reduceat(code >> 7 & 127, first), np.minimum.reduceat(code & 127, first)
+        key, ctx, doc, tie, code = (x[first] for x in (key, ctx, doc, tie, code))
+        code = code >> 14 << 14 | high << 7 | low
+    return key, ctx, doc, tie, code
+
+
 def _record(names: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names.split())
 
@@ -135,9 +147,7 @@ def _anchors(length: int, k: int) -> Callable:
             held.clear()
 
         def settled():
-            key, ctx, doc, tie, code = np.concatenate(found, 1)
-            order = np.lexsort((code, tie, doc, ctx, key))
-            key, ctx, doc, tie, code = key[order], ctx[order], doc[order], tie[order], code[order]
+            key, ctx, doc, tie, code = _places(*np.concatenate(found, 1))
             kind = np.where(_runs(key, ctx), 0, FULL).astype(np.int8)
             # Settled rows only pass through; they are dealt by their document instead of their anchor.
             key = np.where(kind == FULL, (doc ^ tie) * 0x5851F42D4C957F2D + code, key)
@@ -196,8 +206,7 @@ def _settle(most: int) -> Callable:
                 key, ctx, doc, tie, code = (x[~known] for x in (key, ctx, doc, tie, code))
             if not len(key):
                 continue
-            order = np.lexsort((code, tie, doc, ctx, key))
-            key, ctx, doc, tie, code = (x[order] for x in (key, ctx, doc, tie, code))
+            key, ctx, doc, tie, code = _places(key, ctx, doc, tie, code)
             first, group = _runs(key, ctx), np.cumsum(_runs(key)) - 1
             contexts = np.bincount(group, first)[group]
             kind = np.where(first, np.where(contexts > most, HOT, NEED), FULL).astype(np.int8)

@@ -56,6 +56,21 @@ def test_against_brute_force(spark, most, parts):
     assert got_of(report(df, most=most)) == {i: v[:4] for i, v in plain(list(enumerate(texts))).items()}
 
 
+@pytest.mark.parametrize("rows_together", [500_000, 1])
+@pytest.mark.parametrize("block", [1 << 18, 1])
+def test_texts_of_many_tiles(spark, monkeypatch, block, rows_together):
+    """A tile's border is no repeat, whether both sides are settled in one task's rows or after the shuffle."""
+    for name, value in (("TILE", 300), ("BLOCK", block), ("ROWS", rows_together)):
+        monkeypatch.setattr(f"quillstone.llm.suffix_dedup.{name}", value)
+    rng = random.Random(3)
+    clean = ["".join(rng.choices("abcdefghij ", k=n)) for n in (399, 400, 3000, 5000)]
+    texts = [*clean, clean[2][900:1700] + clean[3], clean[3][:2000] * 2] + messy(4, 20)
+    df = docs(spark, texts).repartition(2)
+    got = got_of(report(df))
+    assert got == {i: v[:4] for i, v in plain(list(enumerate(texts))).items()}
+    assert [got[i][1] for i in range(4)] == [0] * 4
+
+
 def test_suffix_order():
     rng = np.random.default_rng(1)
     for size in (1, 2, 37, 300):
