@@ -1,13 +1,14 @@
 """Near-duplicates of a stated similarity by long SimHash fingerprints and the binary-trie self-join.
 
 64 bits tell texts apart that share nearly all shingles; at a Jaccard similarity of 0.8 two fingerprints differ in
-some 15 % of their bits. Here a text has 1024 bits over its set of shingles, so the share of differing bits
-gives the similarity to about 0.02. Bands of 16 bits deal fingerprints into buckets: of pairs at the
-threshold some 97 % share one of 48 bands, of pairs at 0.85 nearly all. In a bucket node pairs of the
-trie over the first 64 bits are walked down under an error budget. The first round carries these 64 bits alone and only tells which
-fingerprints have any partner; the second deals those with all bits and links pairs whose share of
-differing bits is that of the similarity or less, with a margin of one standard deviation for their noise.
-Tasks return spanning forests; equal fingerprints are collapsed before.
+some 15 % of their bits. Here a text has 1024 bits over its set of shingles, and these only find candidates.
+Bands of 14 bits deal fingerprints into buckets: of pairs at 0.8 all but some 0.05 % share one of 73 bands
+(independent bits assumed). In a bucket node pairs of the trie over the first 64 bits are walked down under an error
+budget. The first round carries these 64 bits alone and only tells which fingerprints have any partner; the
+second deals those with all bits and joins pairs that differ in up to four standard deviations more bits than the
+similarity has on average. Tasks return spanning forests, whose components hold the candidates. In each component
+all pairs within that limit that are not yet joined are verified by their exact sets of shingle hashes; a large
+component is cut into blocks and every pair of blocks is a group of its own. Equal fingerprints are collapsed before.
 
 Defined results: texts without words are equal; null ids stay and are never named; an empty table gives no rows.
 """
@@ -26,23 +27,29 @@ from .common import staged
 from .components import connected_components, join_hot
 from .simhash import CHUNK, shingle_hashes, trie_join
 
-WORDS, BAND, BANDS, SHINGLE, SIMILARITY, BUDGET = 16, 16, 48, 5, 0.8, 20
+WORDS, BAND, BANDS, SHINGLE, SIMILARITY, BUDGET = 16, 14, 73, 5, 0.8, 20
+#: Bits over the mean of the similarity, in standard deviations; fingerprints of one component that are verified together.
+DEVIATIONS, TOGETHER = 4, 2000
 # Odd multipliers that make further hashes of one hash.
 ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & ((1 << 64) - 1) for k in range(WORDS)], np.uint64)
 
 
-def differing(similarity: float, bits: int = 64 * WORDS) -> int:
-    """Bits in which texts of this Jaccard similarity differ, with one standard deviation on top."""
+def differing(similarity: float, bits: int = 64 * WORDS, deviations: float = 1) -> int:
+    """Bits in which texts of this Jaccard similarity differ, with standard deviations on top."""
     cosine = 2 * similarity / (1 + similarity)
     share = math.acos(min(1.0, cosine)) / math.pi
-    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+    return int(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
+
+
+def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
+    parts = list(shingle_hashes(text, size))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
 def long_simhash(text: bytes | None, size: int = SHINGLE) -> bytes:
     """1024 bits over the set of shingles, as bytes."""
     votes, n = np.zeros(64 * WORDS, np.int64), 0
-    parts = list(shingle_hashes(text, size))
-    h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    h = shingle_set(text, size)
     for k in range(0, len(h), 255):  # sums of up to 255 bits fit a byte
         x = h[k : k + 255, None] * ODD
         x ^= x >> np.uint64(32)
@@ -56,7 +63,7 @@ def long_simhash(text: bytes | None, size: int = SHINGLE) -> bytes:
 def _fingerprints(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([long_simhash(t, size) for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array([long_simhash(t, size) for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "row", "fp"])
 
     return run
 
@@ -70,7 +77,8 @@ def _deal(whole: bool) -> Callable:
                 fps = b.column("fp").slice(s, 1000)
                 n = len(fps)
                 bits = np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(n, -1)
-                band = np.ascontiguousarray(bits[:, : BANDS * BAND // 8]).view(np.uint16).astype(np.int64) + (np.arange(BANDS) << 16)
+                single = np.unpackbits(bits, axis=1)[:, : BANDS * BAND].reshape(n, BANDS, BAND)
+                band = np.packbits(single, axis=2).astype(np.int64) @ np.array([256, 1]) + (np.arange(BANDS) << 16)
                 uid, first = b.column("uid").slice(s, 1000).to_numpy(), np.ascontiguousarray(bits[:, :8]).view(np.int64)[:, 0]
                 columns = [pa.array(band.ravel()), pa.array(np.repeat(uid, BANDS)), pa.array(np.repeat(first, BANDS))]
                 if whole:
@@ -121,17 +129,87 @@ def _join(limit: int | None) -> Callable:
     return run
 
 
-def similar_documents(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def _sets(size: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = pa.array([shingle_set(t, size).tobytes() for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("root"), b.column("fp"), sets], names=["uid", "root", "fp", "shingles"])
+
+    return run
+
+
+def verified_labels(fps: np.ndarray, sets: list[np.ndarray], block: np.ndarray, limit: int, similarity: float) -> np.ndarray:
+    """For each row the first of its component by pairs whose sets have the similarity; of two blocks only pairs across."""
+    labels, across = np.arange(len(fps)), len(np.unique(block)) > 1
+    for a in range(len(fps) - 1):
+        rest = a + 1 + np.flatnonzero((labels[a + 1 :] != labels[a]) & ((block[a + 1 :] != block[a]) | (not across)))
+        for b in rest[np.bitwise_count(fps[rest] ^ fps[a]).sum(1) <= limit].tolist():
+            if labels[a] == labels[b]:
+                continue
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+                continue
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if common >= similarity * (len(x) + len(y) - common) - 1e-9:
+                low, high = sorted((labels[a], labels[b]))
+                labels[labels == high] = low
+    return labels
+
+
+def _verify(limit: int, similarity: float) -> Callable:
+    """Rows come sorted by group (root, i, j); a spanning forest of the links of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def forest(rows: list[tuple]) -> pa.RecordBatch:
+            uid, block, fps, sets = zip(*rows, strict=True)
+            uid = np.array(uid, np.int64)
+            labels = verified_labels(np.frombuffer(b"".join(fps), np.uint64).reshape(-1, WORDS), [np.frombuffer(x, np.uint64) for x in sets], np.array(block), limit, similarity)
+            linked = np.flatnonzero(labels != np.arange(len(labels)))
+            return pa.RecordBatch.from_arrays([pa.array(uid[linked]), pa.array(uid[labels[linked]])], names=["u", "v"])
+
+        now, held = None, []
+        for b in batches:
+            for root, i, j, *row in zip(*(b.column(c).to_pylist() for c in ("root", "i", "j", "uid", "block", "fp", "shingles")), strict=True):
+                if (root, i, j) != now:
+                    if len(held) > 1:
+                        yield forest(held)
+                    now, held = (root, i, j), []
+                held.append(row)
+        if len(held) > 1:
+            yield forest(held)
+
+    return run
+
+
+def _verified(rows: DataFrame, candidates: DataFrame, size: int, similarity: float, together: int) -> DataFrame:
+    """(u, v) over uid: a graph with the components of all pairs of candidates (uid, row, fp, root) of the similarity or more."""
+    texts = rows.join(candidates, "row").select("uid", "root", "fp", "text")
+    # Rows of one id and text are the same set.
+    sets = staged(texts.mapInArrow(_sets(size), "uid long, root long, fp binary, shingles binary"), "sets").dropDuplicates(["uid"])
+    blocks = candidates.groupBy("root").agg(F.ceil(F.count("*") / together).cast("int").alias("blocks"))
+    sets = sets.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "uid", "block", "fp", "shingles")
+    met = met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return met.mapInArrow(_verify(differing(similarity, deviations=DEVIATIONS), similarity), "u long, v long")
+
+
+def similar_documents(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable by links of the similarity or more) of every row of docs."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
-    rows = staged(rows.mapInArrow(_fingerprints(size), "doc_id long, fp binary"), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
+    texts = texts.withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = staged(texts.mapInArrow(_fingerprints(size), "doc_id long, row long, fp binary"), "fingerprints")
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min("row").alias("row"))
     distinct = staged(distinct.withColumn("uid", F.monotonically_increasing_id()), "distinct")
+    rows = rows.drop("row")
     dealt = distinct.select("uid", "fp").mapInArrow(_deal(False), "bucket long, uid long, first long")
     partners = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_join(None), "u long, v long").select(F.col("u").alias("uid")).distinct()
     partners = staged(distinct.join(partners, "uid", "left_semi").select("uid", "fp"), "partners")
     dealt = partners.mapInArrow(_deal(True), "bucket long, uid long, first long, fp binary")
-    links = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_join(differing(similarity)), "u long, v long")
+    links = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_join(differing(similarity, deviations=DEVIATIONS)), "u long, v long")
+    near = connected_components(links).select(F.col("node").alias("uid"), "root")
+    candidates = staged(distinct.join(near, "uid").select("uid", "row", "fp", "root"), "candidates")
+    links = _verified(texts.select("row", "text"), candidates, size, similarity, together)
     roots = connected_components(links).select(F.col("node").alias("uid"), "root")
     rooted = staged(distinct.join(roots, "uid", "left").select("fp", "first", "n", F.coalesce("root", "uid").alias("root")), "rooted")
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))

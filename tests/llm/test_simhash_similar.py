@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillstone.llm.simhash_similar import deduplicate_similar, differing, long_simhash, similar_documents
@@ -64,6 +65,33 @@ def test_groups(spark):
     assert all(root[i] == root[c] for i, c in got.items())
 
 
+def boundary(seed, pairs=40):
+    """Pairs of texts, in turn at exactly 0.8 and at 395 of 505 shingles (0.78)."""
+    rng, texts = random.Random(seed), []
+    for k in range(pairs):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(454)]
+        copy = list(words)
+        for i in range(10 + k % 2):
+            copy[10 + 40 * i] = f"v{rng.randrange(10**9)}"
+        texts += [" ".join(words), " ".join(copy)]
+    return texts
+
+
+@pytest.mark.parametrize("together", [2000, 1, 7])
+def test_links_are_exact_at_the_similarity(spark, together):
+    texts = boundary(1) + corpus(3)[-60:]
+    sets = [shingles(t) for t in texts]
+    assert jaccard(sets[0], sets[1]) == 0.8 and 0.78 < jaccard(sets[2], sets[3]) < 0.8
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    got = {r["doc_id"]: r["component_id"] for r in rows(similar_documents(docs(spark, texts).repartition(3), together=together))}
+    assert got == dict(enumerate(root))
+
+
 def test_deduplicate(spark):
     df = docs(spark, TEXTS).withColumn("fp", F.lit("kept"))
     left = rows(deduplicate_similar(df))
