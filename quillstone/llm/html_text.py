@@ -4,8 +4,8 @@ A page becomes lines, one for each block element; markup, scripts, styles and th
 names as menus, headers, footers, sidebars, notices, adverts, forms or comments give no text. A line weighs its
 characters without those of links. Sums over windows of `width` lines show where text begins and ends:
 a surge is a window that weighs over the threshold, the dive after it the first window without weight, and
-the lines between them are kept, however short each is. Where the page marks its article (article or main),
-only lines in it count and any weight is a surge.
+the lines between them are kept, however short each is, with lines of links alone that adjoin them in the same
+container. Where the page marks its article (article or main), all lines in it are kept and no others.
 
 Defined results: a null or empty page has an empty text; null and repeated ids are kept; a container
 that is never closed is not left out; an empty table gives no rows; further columns are ignored.
@@ -31,6 +31,7 @@ LEFT_OUT = frozenset("head nav footer aside form menu dialog button select datal
 UNLESS_IN_ARTICLE = frozenset("header".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset("article main".split())
+CONTAINERS = frozenset("article aside blockquote body center details div dl fieldset figure main ol section table td th ul".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos promotion nav navbar navigation menu menus topbar masthead footer sidebar sidebars aside cookie cookies consent gdpr notice notices notification alert banner banners popup modal overlay comment comments commentlist respond disqus replies share sharing social related recommended recommendations newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager widget widgets toolbar skip".split()
 )
@@ -78,17 +79,18 @@ def _end_of(page: str, tag: str, start: int) -> int | None:
     return None
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, in the article) of every line with text."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text, weight, in the article, start of the innermost container) of every line with text."""
+    out: list[tuple[str, int, bool, int]] = []
     parts: list[str] = []
+    open_: list[tuple[str, int]] = []
     linked = inside = links = at = 0
 
     def end_line():
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, max(0, len(text) - linked), inside > 0))
+            out.append((text, max(0, len(text) - linked), inside > 0, open_[-1][1] if open_ else -1))
         parts.clear()
         linked = 0
 
@@ -119,6 +121,12 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 continue
         if tag in BLOCKS:
             end_line()
+        if tag in CONTAINERS:
+            if not closing:
+                open_.append((tag, at))
+            elif any(t == tag for t, _ in open_[-100:]):
+                while open_.pop()[0] != tag:
+                    pass
         if tag in ARTICLE:
             inside = max(0, inside + (-1 if closing else 1))
         if tag == "a":
@@ -132,12 +140,12 @@ def main_text(page: str | None, width: int = WIDTH, threshold: int = THRESHOLD)
     lines = lines_of(page or "")
     marked = [x for x in lines if x[2]]
     if marked:
-        lines, threshold = marked, 0
-    weights = [w for _, w, _ in lines]
+        return " ".join(x[0] for x in marked)
+    weights = [x[1] for x in lines]
     sums = [sum(weights[i : i + width]) for i in range(len(lines))]
     if max(sums, default=0) <= threshold:  # a page with little text at all
         threshold = 0
-    kept, i = [], 0
+    kept, i, last = [], 0, 0
     while i < len(lines):
         if sums[i] <= threshold:
             i += 1
@@ -145,8 +153,13 @@ def main_text(page: str | None, width: int = WIDTH, threshold: int = THRESHOLD)
         # The window's first lines may be empty ones that lead up to the surge.
         start = next(k for k in range(i, len(lines)) if weights[k])
         end = next((k for k in range(start + 1, len(lines)) if not sums[k]), len(lines))
-        kept += [text for text, _, _ in lines[start:end]]
-        i = end
+        # Lines of links alone next to the text, in its own container, are part of it.
+        while start > last and not weights[start - 1] and lines[start - 1][3] == lines[start][3]:
+            start -= 1
+        while end < len(lines) and not weights[end] and lines[end][3] == lines[end - 1][3]:
+            end += 1
+        kept += [x[0] for x in lines[start:end]]
+        i = last = end
     return " ".join(kept)
 
 

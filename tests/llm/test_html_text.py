@@ -30,6 +30,18 @@ def test_pages(page):
     assert main_text(page) == CASES[page]
 
 
+LINKED = {
+    "<article><h1><a href=x>Title</a></h1><p>text</p><p><a href=y>Source</a></p></article>": "Title text Source",
+    "<main><p>text</p><ul><li><a>r1</a><li><a>r2</a><li><a>r3</a><li><a>r4</a></ul><p>end</p></main>": "text r1 r2 r3 r4 end",
+    f"<ul><li><a>m</a></ul><div><h1><a>Title</a></h1><p>{LONG}</p><p><a>r1</a></p><p><a>r2</a></p><p><a>r3</a></p><p><a>r4</a></p></div><ul><li><a>x</a><li><a>y</a><li><a>z</a></ul>": f"Title {LONG}r1 r2 r3 r4",
+}
+
+
+@pytest.mark.parametrize("page", LINKED)
+def test_lines_of_links_in_the_text(page):
+    assert main_text(page) == LINKED[page]
+
+
 def test_awkward_rows(spark):
     values = [(1, "u", None), (1, "u", ""), (None, None, "<article>x</article>"), (3, "v", "<article>" + "<p>y</p>" * 20000 + "</article>"), (4, "w", "<" * 5000), (5, "z", "<a" + " b" * 5000)]
     df = spark.createDataFrame(values, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
