@@ -44,22 +44,35 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _leaves_out(tag: str, attributes: str, in_article: bool) -> bool:
+HOLDS = re.compile(r"<(article|main)[\s/>]", re.I)
+SURELY, BY_NAME = 2, 1
+
+
+def _leaves_out(tag: str, attributes: str, in_article: bool, nested: bool) -> int:
+    """A class or id names a part if all words of one of its values do: cookie-banner, but not has-banner or comments-open."""
     if tag in LEFT_OUT or (tag in UNLESS_IN_ARTICLE and not in_article):
-        return True
+        return SURELY
     if not attributes.strip() or tag in ("html", "body", "main"):
-        return False
+        return 0
+    names = NAMES if in_article else NAMES | OUTER_NAMES
+    named = 0
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            words = {w.lower() for w in WORDS.findall(value)}
-            if words & NAMES or (words & OUTER_NAMES and not in_article):
-                return True
+            tokens = ({w.lower() for w in WORDS.findall(token)} for token in value.split())
+            if any(words and words <= names for words in tokens) and (tag != "article" or nested):
+                named = BY_NAME
         elif name == "role" and value.lower() in ROLES:
-            return True
+            named = BY_NAME
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True
-    return False
+            return SURELY
+    return named
+
+
+def _holds_article(page: str, start: int, end: int) -> bool:
+    """Whether main, or the first article of a page that has none elsewhere, is in page[start:end]."""
+    held = {m[1].lower() for m in HOLDS.finditer(page, start, end)}
+    return "main" in held or ("article" in held and not HOLDS.search(page, 0, start) and not HOLDS.search(page, end))
 
 
 def _end_of(page: str, tag: str, start: int) -> int | None:
@@ -112,9 +125,14 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         if not tag:
             continue
         closing = bool(m[1])
-        if not closing and tag not in VOID and (tag in RAW or _leaves_out(tag, m[3], inside > 0)):
+        why = 0
+        if not closing and tag not in VOID:
+            why = SURELY if tag in RAW else _leaves_out(tag, m[3], inside > 0, any(t == "article" for t, _ in open_))
+        if why:
             end = _end_of(page, tag, at)
-            if end is not None or tag in RAW:
+            if end is not None and why == BY_NAME and not inside and _holds_article(page, at, end):
+                why = 0
+            if why and (end is not None or tag in RAW):
                 if tag in BLOCKS or tag in LEFT_OUT:
                     end_line()
                 at = len(page) if end is None else end

@@ -42,6 +42,24 @@ def test_lines_of_links_in_the_text(page):
     assert main_text(page) == LINKED[page]
 
 
+NAMED = {
+    "<article class='post comments-open'><p>text</p></article>": "text",
+    "<article class='post sponsored'><p>text</p></article>": "text",
+    "<main><article class='promo'><p>text</p><article class=comment>no</article></article></main>": "text",
+    "<div class='layout with-sidebar'><article>text</article></div>": "text",
+    "<div class='no-sidebar'><div id='has-banner'><p>text</p></div></div>": "text",
+    "<div class='layout sidebar'><article>text</article></div>": "text",
+    "<div class='banner'><main>text</main></div>": "text",
+    "<article>text</article><div class='comments'><article>no</article></div>": "text",
+    "<div class='cookie-banner'>no</div><div id=comments>no</div><p>text</p>": "text",
+}
+
+
+@pytest.mark.parametrize("page", NAMED)
+def test_names_of_parts(page):
+    assert main_text(page) == NAMED[page]
+
+
 def test_awkward_rows(spark):
     values = [(1, "u", None), (1, "u", ""), (None, None, "<article>x</article>"), (3, "v", "<article>" + "<p>y</p>" * 20000 + "</article>"), (4, "w", "<" * 5000), (5, "z", "<a" + " b" * 5000)]
     df = spark.createDataFrame(values, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
