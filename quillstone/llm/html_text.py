@@ -1,21 +1,28 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-A page becomes lines, one for each block element; markup, scripts, styles and the parts that the page itself
-names as menus, headers, footers, sidebars, notices, adverts, forms or comments give no text. A line weighs its
-characters without those of links. Sums over windows of `width` lines show where text begins and ends:
-a surge is a window that weighs over the threshold, the dive after it the first window without weight, and
-the lines between them are kept, however short each is, with lines of links alone that adjoin them in the same
-container. Where the page marks its article (article or main), all lines in it are kept and no others.
-
-Defined results: a null or empty page has an empty text; null and repeated ids are kept; a container
-that is never closed is not left out; an empty table gives no rows; further columns are ignored.
+A page becomes lines, one for each block element. Markup, scripts, styles and the parts that the page itself names as
+menus, headers, footers, sidebars, notices, adverts, forms or comments are stripped and leave empty lines. A line weighs
+its characters without those of links (up to `SATURATED`, so that one long paragraph does not dwarf the others), and far more
+where the page marks it as article or main: markup adds weight, and the curve decides. The curve is the sum over
+windows of `width` lines. A surge is a window over `SURGE` of the page's peak, the dive after it the first window
+of at most `DIVE` of the peak; the lines between them are kept, however short each is, with the lines that adjoin
+the surge or the dive in the same container (a linked headline, a list of sources).
+
+Tags are read in one pass and their ends paired by name, so any page takes time in proportion to its length.
+
+Defined results: a null or empty page has an empty text, as has one whose text is all in links; null and
+repeated ids are kept; a container that is never closed is not left out, nor what an unfinished tag would hold; an
+empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-WIDTH, THRESHOLD = 3, 86
+#: Lines of a window; characters up to which a line's weight grows; shares of the peak at which text begins and ends.
+WIDTH, SATURATED, SURGE, DIVE = 3, 344, 1 / 4, 1 / 32
 # HTML element names by their role, and the words by which pages name parts that are not the article.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -38,13 +46,14 @@ NAMES = frozenset(
 OUTER_NAMES = frozenset("header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>", re.S)
-UNFINISHED = re.compile(r"<[/!?a-zA-Z][^>]*\Z")
+MARK = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
+QUOTED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>")
+PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
+RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-
-HOLDS = re.compile(r"<(article|main)[\s/>]", re.I)
+ZEROS, HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
 SURELY, BY_NAME = 2, 1
 
 
@@ -69,131 +78,176 @@ def _leaves_out(tag: str, attributes: str, in_article: bool, nested: bool) -> in
     return named
 
 
-def _holds_article(page: str, start: int, end: int) -> bool:
-    """Whether main, or the first article of a page that has none elsewhere, is in page[start:end]."""
-    held = {m[1].lower() for m in HOLDS.finditer(page, start, end)}
-    return "main" in held or ("article" in held and not HOLDS.search(page, 0, start) and not HOLDS.search(page, end))
+def decoded(text: str) -> str:
+    """With character references resolved; numbers beyond any character stand for none."""
+    return html.unescape(HUGE.sub("\ufffd", ZEROS.sub("&#", text))) if "&" in text else text
+
+
+def tags_of(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of all markup; comments and the contents of scripts and the like have no name."""
+    out, at, last, pattern = [], 0, page.rfind(">"), QUOTED
+    while m := MARK.search(page, at):
+        start, name = m.start(), ""
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 2) + 3
+            out.append((start, end if end > 2 else len(page), "", False, ""))
+        elif start > last:  # never finished
+            out.append((start, len(page), "", False, ""))
+        elif m[0][1] in "!?":
+            out.append((start, page.find(">", start) + 1, "", False, ""))
+        else:
+            t = pattern.match(page, start)
+            if t is None:  # a quote swallows the rest of the page: from here on quotes do not count
+                pattern = PLAIN
+                t = pattern.match(page, start)
+            name = t[2].lower()
+            out.append((start, t.end(), name, bool(t[1]), t[3]))
+            if name in RAW and not t[1]:
+                close = RAW_END[name].search(page, t.end())
+                out.append((t.end(), close.end() if close else len(page), "", False, ""))
+        at = out[-1][1]
+    return out
 
 
-def _end_of(page: str, tag: str, start: int) -> int | None:
-    """Where the element that was opened before start ends, if it does."""
-    if tag in RAW:
-        m = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, start)
-        return m.end() if m else None
-    depth = 1
-    for m in TAG.finditer(page, start):
-        name = (m[2] or "").lower()
-        if name in RAW and not m[1] and name != tag:
+def _ends(tags: list[tuple]) -> list[int]:
+    """For each opening tag the place of its end, by nesting among tags of its name; -1 where there is none."""
+    ends, opened = [-1] * len(tags), {}
+    for i, (_, _, name, closing, attributes) in enumerate(tags):
+        if not name or name in VOID or name in RAW:
             continue
-        if name == tag:
-            depth += -1 if m[1] else 0 if m[3].rstrip().endswith("/") else 1
-            if not depth:
-                return m.end()
-    return None
+        if not closing:
+            if not attributes.endswith("/"):
+                opened.setdefault(name, []).append(i)
+        elif opened.get(name):
+            ends[opened[name].pop()] = i
+    return ends
+
+
+def _counts(tags: list[tuple], names: frozenset) -> list[int]:
+    """How many opening tags of these names stand before each place."""
+    return [0, *accumulate(t[2] in names and not t[3] for t in tags)]
+
+
+class Line(NamedTuple):
+    text: str
+    weight: float
+    container: int
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, weight, in the article, start of the innermost container) of every line with text."""
-    out: list[tuple[str, int, bool, int]] = []
+def lines_of(page: str, width: int = WIDTH) -> list[Line]:
+    """All lines in order; stripped parts and the borders of an article are empty lines."""
+    tags = tags_of(page)
+    ends, blocks, mains, articles = _ends(tags), _counts(tags, BLOCKS), _counts(tags, frozenset(["main"])), _counts(tags, frozenset(["article"]))
+    marked = width * SATURATED / DIVE  # no window of unmarked lines reaches the dive of a page with marked ones
+    out: list[Line] = []
     parts: list[str] = []
-    open_: list[tuple[str, int]] = []
-    linked = inside = links = at = 0
+    stack: list[tuple[str, int]] = []
+    open_: Counter = Counter()
+    linked = inside = links = at = i = 0
 
     def end_line():
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, max(0, len(text) - linked), inside > 0, open_[-1][1] if open_ else -1))
+            out.append(Line(text, min(max(0, len(text) - linked), SATURATED) + (marked if inside else 0), stack[-1][1] if stack else -1))
         parts.clear()
         linked = 0
 
     def add(text: str):
         nonlocal linked
         if text:
-            text = html.unescape(text)
+            text = decoded(text)
             parts.append(text)
             if links:
                 linked += len(text)
 
-    while True:
-        m = TAG.search(page, at)
-        add(page[at : m.start()] if m else UNFINISHED.sub("", page[at:]))
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
+    def holds_article(end: int) -> bool:
+        """main, or all articles of the page, are in it."""
+        return mains[end] > mains[i] or articles[end] - articles[i] == articles[-1] > 0
+
+    while i < len(tags):
+        start, end, tag, closing, attributes = tags[i]
+        add(page[at:start])
+        at, i = end, i + 1
         if not tag:
             continue
-        closing = bool(m[1])
-        why = 0
-        if not closing and tag not in VOID:
-            why = SURELY if tag in RAW else _leaves_out(tag, m[3], inside > 0, any(t == "article" for t, _ in open_))
-        if why:
-            end = _end_of(page, tag, at)
-            if end is not None and why == BY_NAME and not inside and _holds_article(page, at, end):
+        if not closing and tag not in VOID and tag not in RAW and ends[i - 1] >= 0:
+            why = _leaves_out(tag, attributes, inside > 0, open_["article"] > 0)
+            if why == BY_NAME and not inside and holds_article(ends[i - 1]):
                 why = 0
-            if why and (end is not None or tag in RAW):
+            if why:
                 if tag in BLOCKS or tag in LEFT_OUT:
                     end_line()
-                at = len(page) if end is None else end
+                    out += [Line("", 0, -1)] * min(width, 1 + blocks[ends[i - 1]] - blocks[i])
+                at, i = tags[ends[i - 1]][1], ends[i - 1] + 1
                 continue
         if tag in BLOCKS:
             end_line()
         if tag in CONTAINERS:
             if not closing:
-                open_.append((tag, at))
-            elif any(t == tag for t, _ in open_[-100:]):
-                while open_.pop()[0] != tag:
-                    pass
+                stack.append((tag, end))
+                open_[tag] += 1
+            elif open_[tag]:
+                while (gone := stack.pop()[0]) != tag:
+                    open_[gone] -= 1
+                open_[tag] -= 1
         if tag in ARTICLE:
-            inside = max(0, inside + (-1 if closing else 1))
+            before, inside = inside, max(0, inside + (-1 if closing else 1))
+            if (before > 0) != (inside > 0):
+                out += [Line("", 0, -1)] * width
         if tag == "a":
             links = 0 if closing else 1
+    add(page[at:])
     end_line()
     return out
 
 
-def main_text(page: str | None, width: int = WIDTH, threshold: int = THRESHOLD) -> str:
-    """The lines between surges and dives, joined by spaces."""
-    lines = lines_of(page or "")
-    marked = [x for x in lines if x[2]]
-    if marked:
-        return " ".join(x[0] for x in marked)
-    weights = [x[1] for x in lines]
-    sums = [sum(weights[i : i + width]) for i in range(len(lines))]
-    if max(sums, default=0) <= threshold:  # a page with little text at all
-        threshold = 0
-    kept, i, last = [], 0, 0
-    while i < len(lines):
-        if sums[i] <= threshold:
+def spans_of(weights: list[float], width: int = WIDTH, surge: float = SURGE, dive: float = DIVE) -> list[tuple[int, int]]:
+    """(first, end) of the stretches of lines between a surge and the dive after it."""
+    n = len(weights)
+    before = [0, *accumulate(weights)]
+    sums = [before[min(n, i + width)] - before[i] for i in range(n)]
+    peak, out, i = max(sums, default=0), [], 0
+    while i < n:
+        if sums[i] <= surge * peak:
             i += 1
             continue
-        # The window's first lines may be empty ones that lead up to the surge.
-        start = next(k for k in range(i, len(lines)) if weights[k])
-        end = next((k for k in range(start + 1, len(lines)) if not sums[k]), len(lines))
-        # Lines of links alone next to the text, in its own container, are part of it.
-        while start > last and not weights[start - 1] and lines[start - 1][3] == lines[start][3]:
-            start -= 1
-        while end < len(lines) and not weights[end] and lines[end][3] == lines[end - 1][3]:
-            end += 1
-        kept += [x[0] for x in lines[start:end]]
-        i = last = end
-    return " ".join(kept)
-
-
-def _extract(width: int, threshold: int) -> Callable:
+        # The window's first lines may only lead up to the surge.
+        first = next(k for k in range(i, n) if weights[k] * width > surge * peak)
+        i = next((k for k in range(first + 1, n) if sums[k] <= dive * peak), n)
+        out.append((first, i))
+    return out
+
+
+def main_text(page: str | None, width: int = WIDTH, surge: float = SURGE, dive: float = DIVE) -> str:
+    """The lines between surges and dives, with their neighbours of the same container, joined by spaces."""
+    lines = lines_of(page or "", width)
+    run, runs, last = 0, [], None
+    for x in lines:
+        if x.text:
+            run += x.container != last
+            last = x.container
+        runs.append(run)
+    kept, whole = [False] * len(lines), set()
+    for first, end in spans_of([x.weight for x in lines], width, surge, dive):
+        kept[first:end] = [True] * (end - first)
+        whole |= {runs[first], runs[end - 1]}
+    return " ".join(x.text for x, k, r in zip(lines, kept, runs, strict=True) if x.text and (k or r in whole))
+
+
+def _extract(width: int, surge: float, dive: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x, width, threshold) for x in b.column("html").to_pylist()]
+            texts = [main_text(x, width, surge, dive) for x in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run
 
 
-def extract(pages: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
+def extract(pages: DataFrame, width: int = WIDTH, surge: float = SURGE, dive: float = DIVE) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(_extract(width, threshold), "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(_extract(width, surge, dive), "page_id long, url string, text string, n_chars long")
 
 
 def op8_html_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

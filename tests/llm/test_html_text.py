@@ -1,10 +1,12 @@
 import html
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm.html_text import extract, main_text, op8_html_line_blocks
+from quillstone.llm.html_text import extract, lines_of, main_text, op8_html_line_blocks, spans_of
 
 from .brute import rows
 
@@ -60,6 +62,70 @@ def test_names_of_parts(page):
     assert main_text(page) == NAMED[page]
 
 
+def plain_spans(weights, width=3, surge=0.25, dive=1 / 32):
+    """Line blocks by their definition."""
+    block = lambda i: sum(weights[i : i + width])
+    peak = max([block(i) for i in range(len(weights))], default=0)
+    out, kept = [], set()
+    for i in range(len(weights)):
+        if i in kept or block(i) <= surge * peak:
+            continue
+        first = i
+        while weights[first] * width <= surge * peak:
+            first += 1
+        end = first + 1
+        while end < len(weights) and block(end) > dive * peak:
+            end += 1
+        if first not in kept:
+            out.append((first, end))
+            kept |= set(range(i, end))
+    return out
+
+
+def test_curve_against_brute_force():
+    rng = random.Random(1)
+    for n in range(200):
+        weights = [rng.choice([0, 0, 0, 1, 5, 40, 200, 344]) for _ in range(n % 40)]
+        assert spans_of(weights) == plain_spans(weights)
+
+
+def unmarked(rng):
+    """A page without an article tag, and its text: menus, links and imprints around paragraphs in one container."""
+    words = lambda a, b: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 9))) for _ in range(rng.randint(a, b)))
+    text = [words(3, 8)] + [rng.choice([words(30, 90), words(30, 90), words(1, 3)]) for _ in range(rng.randint(4, 12))] + [words(30, 60)]
+    links = lambda n: "".join(f"<li><a href=/{i}>{words(1, 4)}</a></li>" for i in range(n))
+    page = f"<html><body><table><tr><td>{words(1, 2)}</td></tr></table><ul>{links(8)}</ul><div><h1>{text[0]}</h1>" + "".join(f"<p>{t}</p>" for t in text[1:])
+    return page + f"</div><ul>{links(rng.randint(4, 9))}</ul><table><tr><td>{words(1, 2)}</td></tr></table></body></html>", " ".join(text)
+
+
+def test_pages_without_marks():
+    """The curve finds the text; without it the menus would come along."""
+    rng = random.Random(2)
+    for _ in range(50):
+        page, text = unmarked(rng)
+        assert main_text(page) == text
+        assert " ".join(x.text for x in lines_of(page) if x.text) != text
+
+
+HOSTILE = {"tags": "<a" * 4000, "open": "<p class='ad'>x " * 8000, "marks": "<!" * 50_000, "quotes": "<a b=\"" * 30_000, "odd": "<a b='>" * 30_000, "deep": "<div class=ad>" * 30_000, "ends": "</div>" * 50_000, "scripts": "<script>" * 30_000, "equals": "<a " + "= " * 50_000 + ">", "mixed": "<b class=ad><div>" * 20_000 + "</b>" * 20_000, "number": "&#" + "9" * 100_000 + ";&#" + "0" * 5000 + "65;"}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_hostile_pages_take_linear_time(kind):
+    page = HOSTILE[kind]
+    began = time.process_time()
+    main_text(page)
+    once = time.process_time() - began
+    assert once < 0.5
+    began = time.process_time()
+    main_text(page * 4)
+    assert time.process_time() - began < 12 * once + 0.5
+
+
+def test_numbers_beyond_characters():
+    assert main_text("<article>&#00065;&#99999999;&#" + "0" * 5000 + "66;</article>") == "A\ufffdB"
+
+
 def test_awkward_rows(spark):
     values = [(1, "u", None), (1, "u", ""), (None, None, "<article>x</article>"), (3, "v", "<article>" + "<p>y</p>" * 20000 + "</article>"), (4, "w", "<" * 5000), (5, "z", "<a" + " b" * 5000)]
     df = spark.createDataFrame(values, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
