@@ -3,41 +3,50 @@
 1. Anchors. In each window of `length` bytes the k-byte string with the least hash is its anchor, so equal
    windows have equal anchors at equal offsets. Only anchors (some 3 % of the positions) are shuffled,
    each with the hash of its context: all bytes that a window around it can hold.
-2. Of anchors with equal contexts the earliest stays and the others' contexts are repeats; a task settles
-   its own copies before the shuffle, so a hot string sends at most one row from each task.
+2. Of anchors with equal context hashes the earliest stays and the others are repeats. A task settles its own copies
+   before the shuffle, so a hot string sends at most one row for each batch of texts, and compares their bytes. Copies of
+   rows of other tasks are claims: neighbouring ones are merged into one span, and the span's SHA-256 must be that of the
+   bytes at the place it claims to repeat, which the other text's task computes. If a claim fails (two contexts of one
+   hash), everything is done again with the contexts' bytes in place of their hashes.
 3. Where an anchor has several contexts, their bytes are fetched and suffix-sorted from the anchor onwards
    and backwards: prefix polynomial hashes and binary search give the common extension of two suffixes in
    logarithmic time, a merge sort orders them, and adjacent extensions are verified byte by byte. Suffixes
    with a common extension are runs in that order, so a window is the pair of its run to the
    left and its run to the right, and the earliest row of a pair is the one that stays.
-4. An anchor with over `most` contexts is settled window by window under 128-bit hashes instead, again with
-   copies settled inside a task before the shuffle, so that no group has to fit in a task.
+4. The contexts of an anchor that has over `most` are split by the windows' place into pieces and dealt by all bytes that
+   the windows of a piece share (some 83 of 100). Of a piece that still has over `together` rows, the windows themselves
+   are dealt and compared in sorted order. So no group has to fit in a task.
 
 Texts travel compressed. Defined results: null and empty texts have no bytes; a null doc_id counts as the
 smallest; rows with the same id and text are one document, rows with the same id and different texts are
-documents ordered by the text's hash; an empty table gives no rows; further columns are ignored by the
-report and kept by the cleaning form.
+documents ordered by the text's hash; an empty table gives no rows; further columns, whatever their names, are ignored
+by the report and kept by the cleaning form.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged, table
 
-LENGTH, K, MOST = 100, 32, 50_000
-#: Bytes hashed together (arrays that fit a cache), bytes of a tile of a long text, rows settled together.
-BLOCK, TILE, ROWS, SORTED = 1 << 18, 1 << 22, 500_000, 20_000
+LENGTH, K, MOST, SORTED = 100, 32, 20_000, 20_000
+#: Bytes hashed together (arrays that fit a cache), bytes of a tile of a long text, rows settled together, bytes of data sorted together.
+BLOCK, TILE, ROWS, DATA = 1 << 18, 1 << 22, 500_000, 64 << 20
+#: Bits of a context's hash; pieces that the windows of a hot anchor are dealt in.
+CONTEXT_BITS, PIECES = 64, 4
 MASK = (1 << 64) - 1
 BASE, MIX = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 FIRST = -(1 << 63)
-FULL, NEED, HOT = 1, 2, 3
+FULL, NEED, HOT, CLAIM, TEXT = 1, 2, 3, 4, 5
+DOC, TIE, BYTES = "__quillstone_doc", "__quillstone_tie", "__quillstone_bytes"
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -105,69 +114,114 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _places(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, tie: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, ...]:
+def _places(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, tie: np.ndarray, code: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
     """Sorted, one row for each place: an anchor on both sides of a tile's border has the windows of both tiles."""
     order = np.lexsort((code, tie, doc, ctx, key))
-    key, ctx, doc, tie, code = (x[order] for x in (key, ctx, doc, tie, code))
+    key, ctx, doc, tie, code, *more = (x[order] for x in (key, ctx, doc, tie, code, *more))
     first = np.flatnonzero(_runs(key, ctx, doc, tie, code >> 14))
     if len(first) < len(code):
         high, low = np.maximum.reduceat(code >> 7 & 127, first), np.minimum.reduceat(code & 127, first)
-        key, ctx, doc, tie, code = (x[first] for x in (key, ctx, doc, tie, code))
+        key, ctx, doc, tie, code, *more = (x[first] for x in (key, ctx, doc, tie, code, *more))
         code = code >> 14 << 14 | high << 7 | low
-    return key, ctx, doc, tie, code
+    return [key, ctx, doc, tie, code, *more]
+
+
+def _winners(first: np.ndarray) -> np.ndarray:
+    """For each row the last one before it that is flagged."""
+    return np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+
+
+def _spans(text: np.ndarray, other: np.ndarray, pos: np.ndarray, other_pos: np.ndarray, size: np.ndarray, length: int, margin: int) -> tuple[np.ndarray, ...]:
+    """Contexts that repeat another text's, merged where they touch: (rows in order, span of each, and of each span text, other, first, last, shift)."""
+    shift = pos - other_pos
+    order = np.lexsort((pos, shift, other, text))
+    text, other, pos, shift, size = (x[order] for x in (text, other, pos, shift, size))
+    first, last = np.maximum(0, pos - margin), np.minimum(size, pos + length)
+    new = _runs(text, other, shift)
+    new[1:] |= first[1:] > last[:-1]
+    head = np.flatnonzero(new)
+    tail = np.concatenate([head[1:], [len(pos)]])[: len(head)] - 1
+    return order, np.cumsum(new) - 1, text[head], other[head], first[head], last[tail], shift[head]
 
 
 def _record(names: str, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names.split())
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names.split())
+
+
+def _apart(doc: np.ndarray, tie: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Keys for rows that only pass through a shuffle: dealt by document and place."""
+    return (doc ^ tie) * 0x5851F42D4C957F2D + at
 
 
-def _anchors(length: int, k: int) -> Callable:
+ANCHORS = "key ctx doc tie code last kind"
+
+
+def _anchors(length: int, k: int, bits: int, exact: bool) -> Callable:
     import xxhash
 
     margin = length - k
+    keep = (1 << bits) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
+        ids: list[tuple] = []  # document, tie and text of what is held or found
         held: list[tuple] = []
+        found: list[np.ndarray] = []
+        contexts: dict[bytes, int] = {}
 
         def hashed():
-            segment, at, low, high, key = find_anchors([h[4] for h in held], length, k)
-            offset = np.array([h[3] for h in held])[segment]
-            pos = at + offset
-            texts = [h[2] for h in held]
-            size = np.array([len(t) for t in texts])[segment]
+            segment, at, low, high, key = find_anchors([part for _, _, part in held], length, k)
+            pos = at + np.array([offset for _, offset, _ in held])[segment]
+            row = np.array([i for i, _, _ in held])[segment]
+            texts, size = [t for _, _, t in ids], np.array([len(t) for _, _, t in ids])[row]
             left, right = np.minimum(pos, margin), np.minimum(size - pos, length)
-            ctx = np.fromiter(
-                (xxhash.xxh3_64_intdigest(texts[s][a:b], c) for s, a, b, c in zip(segment.tolist(), (pos - left).tolist(), (pos + right).tolist(), (left * 256 + right).tolist(), strict=True)),
-                np.uint64,
-                len(pos),
-            )
-            doc, tie = (np.array([h[i] for h in held], np.int64)[segment] for i in (0, 1))
-            found.append(np.stack([key, ctx.view(np.int64), doc, tie, pos << 14 | high << 7 | low]))
+            spots = zip(row.tolist(), (pos - left).tolist(), (pos + right).tolist(), (left * 256 + right).tolist(), strict=True)
+            if exact:
+                ctx = np.fromiter((contexts.setdefault(c.to_bytes(2) + texts[r][a:b], len(contexts)) for r, a, b, c in spots), np.int64, len(pos))
+            else:
+                ctx = np.fromiter((xxhash.xxh3_64_intdigest(texts[r][a:b], c) & keep for r, a, b, c in spots), np.uint64, len(pos)).view(np.int64)
+            found.append(np.stack([key, ctx, row, pos << 14 | high << 7 | low]))
             held.clear()
 
         def settled():
-            key, ctx, doc, tie, code = _places(*np.concatenate(found, 1))
-            kind = np.where(_runs(key, ctx), 0, FULL).astype(np.int8)
-            # Settled rows only pass through; they are dealt by their document instead of their anchor.
-            key = np.where(kind == FULL, (doc ^ tie) * 0x5851F42D4C957F2D + code, key)
+            key, ctx, row, code = np.concatenate(found, 1)
+            doc, tie = (np.array([x[i] for x in ids], np.int64)[row] for i in (0, 1))
+            key, ctx, doc, tie, code, row = _places(key, ctx, doc, tie, code, row)
+            first = _runs(key, ctx)
+            again, winner = np.flatnonzero(~first), _winners(first)[~first]
+            pos, texts = code >> 14, [t for _, _, t in ids]
+            size = np.array([len(t) for t in texts])[row]
+            order, span, text, other, begin, end, shift = _spans(row[again], row[winner], pos[again], pos[winner], size[again], length, margin)
+            same = np.fromiter((texts[t][a:b] == texts[o][a - d : b - d] for t, o, a, b, d in zip(text.tolist(), other.tolist(), begin.tolist(), end.tolist(), shift.tolist(), strict=True)), bool, len(text))
+            # Contexts of one hash that differ go on unsettled.
+            first[again[order[~same[span]]]] = True
+            some = np.array([x[:2] for x in ids], np.int64)[text[same]].reshape(-1, 2)
+            d, t, a, b = some[:, 0], some[:, 1], begin[same], end[same]
+            names = dict(zip(contexts.values(), contexts, strict=True))
+            ctx_type = pa.binary() if exact else pa.int64()
+            yield _record(ANCHORS, _apart(d, t, a), pa.nulls(len(d), ctx_type), d, t, a, b, np.full(len(d), FULL, np.int8))
+            left = np.flatnonzero(first)
+            for s in range(0, len(left), 50_000):
+                x = left[s : s + 50_000]
+                c = pa.array([names[i] for i in ctx[x].tolist()], ctx_type) if exact else pa.array(ctx[x])
+                yield _record(ANCHORS, key[x], c, doc[x], tie[x], code[x], np.zeros(len(x), np.int64), np.zeros(len(x), np.int8))
             found.clear()
-            for s in range(0, len(key), 50_000):
-                yield _record("key ctx doc tie code kind", *(x[s : s + 50_000] for x in (key, ctx, doc, tie, code, kind)))
+            contexts.clear()
 
         size = 0
         for b in batches:
             for doc, tie, text in zip(*(b.column(c).to_pylist() for c in ("doc", "tie", "text")), strict=True):
                 if text is None or len(text) < length:
                     continue
+                ids.append((doc, tie, text))
                 for offset, part in _tiles(text, length):
-                    held.append((doc, tie, text, offset, part))
+                    held.append((len(ids) - 1, offset, part))
                     size += len(part)
                     if size >= BLOCK:
                         hashed()
                         size = 0
-                if sum(x.shape[1] for x in found) >= ROWS:
-                    yield from settled()
+                        if sum(x.shape[1] for x in found) >= ROWS:
+                            yield from settled()
+                            ids[:-1] = []
         if held:
             hashed()
         if found:
@@ -176,43 +230,74 @@ def _anchors(length: int, k: int) -> Callable:
     return run
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str], rows: int) -> Iterator[dict]:
-    """Columns of many rows with all rows of their keys; batches come sorted by key."""
+def _groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Many rows with all rows of their keys, False; or rows of one key that has over `rows`, True. Batches come sorted by key."""
     held: list[pa.RecordBatch] = []
+    n = size = 0
+    large = None
     for b in batches:
-        if b.num_rows:
-            held.append(b)
-        if sum(x.num_rows for x in held) >= rows:
+        for s in range(0, b.num_rows, max(1, rows)):
+            part = b.slice(s, max(1, rows))
+            held.append(part)
+            n, size = n + part.num_rows, size + part.nbytes
+            if n < rows and size < DATA:
+                continue
             t = pa.Table.from_batches(held).combine_chunks()
             key = t.column("key").to_numpy()
             whole = int(np.searchsorted(key, key[-1]))
+            if large is not None:  # what is left of the large group
+                rest = int(np.searchsorted(key, large, "right"))
+                if rest:
+                    yield t.slice(0, rest), True
+                t, key, whole = t.slice(rest), key[rest:], max(0, whole - rest)
+                large = large if not len(key) else None
             if whole:
-                yield {c: t.column(c).slice(0, whole) for c in columns}
-            held = t.slice(whole).to_batches()
-    if held:
-        t = pa.Table.from_batches(held)
-        yield {c: t.column(c) for c in columns}
+                yield t.slice(0, whole), False
+                t = t.slice(whole)
+            if t.num_rows >= rows:
+                large = t.column("key")[0].as_py()
+                yield t, True
+                t = t.slice(0, 0)
+            held = t.to_batches()
+            n, size = t.num_rows, t.nbytes
+    if n:
+        t = pa.Table.from_batches(held).combine_chunks()
+        rest = int(np.searchsorted(t.column("key").to_numpy(), large, "right")) if large is not None else 0
+        if rest:
+            yield t.slice(0, rest), True
+        if rest < n:
+            yield t.slice(rest), False
+
+
+SETTLED = "doc tie kind key code last other_doc other_tie other"
 
 
-def _settle(most: int) -> Callable:
-    names = "key ctx doc tie code kind"
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers that are equal where the values are."""
+    return column.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
+
+def _settle(most: int, exact: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_groups(batches, names.split(), 200_000):
-            key, ctx, doc, tie, code, kind = (rows[c].to_numpy() for c in names.split())
+        for rows, large in _groups(batches, 200_000):
+            key, doc, tie, code, last, kind = (rows.column(c).to_numpy() for c in ("key", "doc", "tie", "code", "last", "kind"))
             known = kind == FULL
             if known.any():
-                yield _record("doc tie code key kind", doc[known], tie[known], code[known], key[known], kind[known])
-                key, ctx, doc, tie, code = (x[~known] for x in (key, ctx, doc, tie, code))
+                none = np.zeros(int(known.sum()), np.int64)
+                yield _record(SETTLED, doc[known], tie[known], kind[known], none, code[known], last[known], none, none, none)
+                rows = rows.filter(pa.array(~known))
+                key, doc, tie, code = (x[~known] for x in (key, doc, tie, code))
             if not len(key):
                 continue
+            ctx = _codes(rows.column("ctx")) if exact else rows.column("ctx").to_numpy()
             key, ctx, doc, tie, code = _places(key, ctx, doc, tie, code)
             first, group = _runs(key, ctx), np.cumsum(_runs(key)) - 1
-            contexts = np.bincount(group, first)[group]
-            kind = np.where(first, np.where(contexts > most, HOT, NEED), FULL).astype(np.int8)
-            out = ~first | (contexts > 1)
-            if out.any():
-                yield _record("doc tie code key kind", *(x[out] for x in (doc, tie, code, key, kind)))
+            n, winner = np.bincount(group, first)[group], _winners(first)
+            kind = np.where(first, np.where((n > most) | large, HOT, NEED), CLAIM).astype(np.int8)
+            out = np.flatnonzero(~first | (n > 1) | large)
+            if len(out):
+                w = winner[out]
+                yield _record(SETTLED, doc[out], tie[out], kind[out], key[out], code[out], np.zeros(len(out), np.int64), doc[w], tie[w], code[w] >> 14)
 
     return run
 
@@ -225,51 +310,94 @@ def _deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("tie"), pa.array([pack(t or b"") for t in b.column("text").to_pylist()], pa.binary())], names=["doc", "tie", "packed"])
 
 
-def _contexts(length: int) -> Callable:
-    """Bytes of all windows of each needed anchor; for hot anchors the hashes of the windows."""
+CONTEXTS = "key doc tie code last data kind other_doc other_tie other"
+CONTEXT_TYPES = (pa.int64(),) * 5 + (pa.binary(), pa.int8()) + (pa.int64(),) * 3
+
+
+def _served(doc: int, tie: int, salt: int) -> int:
+    """The key under which claims meet the text they claim to repeat."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(struct.pack("<qqq", doc, tie, salt)) - (1 << 63)
+
+
+def _contexts(length: int, k: int, salts: dict[tuple[int, int], int]) -> Callable:
+    """What has to meet: bytes of all windows of each needed anchor (in pieces for hot ones), digests of claimed spans, and the texts they name."""
+    margin = length - k
+    edges = [round(i * (margin + 1) / PIECES) for i in range(PIECES + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        names = "key hash doc tie code data kind"
-        types = (pa.int64(),) * 5 + (pa.binary(), pa.int8())
         hot: list[tuple] = []
 
-        def firsts():
-            key, other, doc, tie, code = np.array(hot, np.int64).T
-            order = np.lexsort((code, tie, doc, other, key))
-            key, other, doc, tie, code = (x[order] for x in (key, other, doc, tie, code))
-            kind = np.where(_runs(key, other), HOT, FULL).astype(np.int8)
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            return _record(CONTEXTS, *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), CONTEXT_TYPES, strict=True)))
+
+        def pieces():
+            """Of equal pieces the first goes on, whatever the task; the others are settled by their bytes."""
+            hot.sort()
+            before, out = None, []
+            for key, data, high, low, doc, tie, pos in hot:
+                if (key, data, high, low) == before:
+                    first = pos - high
+                    out.append((_hashed(doc, tie, first), doc, tie, first, pos - low + length, None, FULL, 0, 0, 0))
+                else:
+                    out.append((key, doc, tie, pos << 14 | high << 7 | low, 0, data, NEED, 0, 0, 0))
+                before = (key, data, high, low)
             hot.clear()
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(other), pa.array(doc), pa.array(tie), pa.array(code), pa.nulls(len(key), pa.binary()), pa.array(kind)], names=names.split())
+            return out
 
         for b in batches:
-            out: list[tuple] = []
-            for doc, tie, packed, needs in zip(*(b.column(c).to_pylist() for c in ("doc", "tie", "packed", "needs")), strict=True):
-                text = unpack(packed)
-                for x in needs:
+            packed, doc_ids, ties = (b.column(c).to_pylist() for c in ("packed", "doc", "tie"))
+            texts, out = [unpack(x) for x in packed], []
+            for doc, tie, text, data, n, needs in zip(doc_ids, ties, texts, packed, b.column("claimants").to_pylist(), b.column("needs").to_pylist(), strict=True):
+                for salt in range(salts.get((doc, tie), 1) if n else 0):
+                    out.append((_served(doc, tie, salt), doc, tie, 0, 0, data, TEXT, 0, 0, 0))
+                for x in needs or ():
                     pos, high, low = x["code"] >> 14, x["code"] >> 7 & 127, x["code"] & 127
                     if x["kind"] == NEED:
-                        out.append((x["key"], 0, doc, tie, x["code"], text[pos - high : pos - low + length], NEED))
+                        out.append((x["key"], doc, tie, x["code"], 0, text[pos - high : pos - low + length], NEED, 0, 0, 0))
                         continue
-                    for p in range(pos - high, pos - low + 1):
-                        d = xxhash.xxh3_128_intdigest(text[p : p + length])
-                        hot.append(((d >> 64) - (1 << 63), (d & MASK) - (1 << 63), doc, tie, p << 14))
-                if len(hot) >= ROWS:
-                    yield firsts()
+                    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
+                        h, l = min(high, hi - 1), max(low, lo)
+                        if l <= h:
+                            # Every window of the piece has these bytes.
+                            key = xxhash.xxh3_64_intdigest(text[pos - lo : pos + length - (hi - 1)], i) - (1 << 63)
+                            hot.append((key, text[pos - h : pos - l + length], h, l, doc, tie, pos))
+                if len(hot) >= ROWS // 2:
+                    out += pieces()
                 if len(out) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names.split())
+                    yield batch(out)
                     out = []
+            claims = b.column("claims").combine_chunks() if isinstance(b.column("claims"), pa.ChunkedArray) else b.column("claims")
+            flat = claims.flatten()
+            if len(flat):
+                text = np.repeat(np.arange(len(texts)), np.diff(np.asarray(claims.offsets)) * np.asarray(claims.is_valid()))
+                pos, other_doc, other_tie, other = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "other_doc", "other_tie", "other"))
+                named = np.unique(np.stack([other_doc, other_tie]), axis=1, return_inverse=True)
+                _, _, t, o, first, last, shift = _spans(text, named[1].reshape(-1), pos, other, np.array([len(x) for x in texts])[text], length, margin)
+                for t, o, a, z, d in zip(t.tolist(), named[0][:, o].T.tolist(), first.tolist(), last.tolist(), shift.tolist(), strict=True):
+                    salt = salts.get(tuple(o), 1)
+                    key = _served(*o, (doc_ids[t] ^ ties[t]) % salt)
+                    out.append((key, doc_ids[t], ties[t], a, z, hashlib.sha256(texts[t][a:z]).digest(), CLAIM, *o, a - d))
+                    if len(out) >= 20_000:
+                        yield batch(out)
+                        out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names.split())
+                yield batch(out)
         if hot:
-            yield firsts()
+            yield batch(pieces())
 
     return run
 
 
+def _hashed(doc: int, tie: int, at: int) -> int:
+    return (((doc ^ tie) * 0x5851F42D4C957F2D + at) & MASK) - (1 << 63)
+
+
 class Suffixes:
     """Strings (rows of bytes with their lengths) that are sorted within groups of consecutive rows."""
 
@@ -390,68 +518,164 @@ def repeated_windows(keys: np.ndarray, codes: np.ndarray, data: list[bytes], len
     return flags
 
 
-def _sorter(length: int, k: int) -> Callable:
+FOUND = "doc tie first last key data"
+FOUND_SCHEMA = "doc long, tie long, first long, last long, key long, data binary"
+
+
+def _verified(rows: pa.Table, texts: dict[tuple[int, int], bytes]) -> Iterator[pa.RecordBatch]:
+    """Claimed spans whose digest is that of the bytes they claim to repeat; a false claim is a span from -1."""
+    import zstandard
+
+    claims = rows.filter(pc.equal(rows.column("kind"), CLAIM)).sort_by([("other_doc", "ascending"), ("other_tie", "ascending")]).to_pylist()
+    now, text, known, out = None, b"", {}, []
+    for c in claims:
+        if (c["other_doc"], c["other_tie"]) != now:
+            now = c["other_doc"], c["other_tie"]
+            text, known = zstandard.ZstdDecompressor().decompress(texts[now]), {}
+        a, z = c["other"], c["other"] + c["last"] - c["code"]
+        if (a, z) not in known:
+            known[a, z] = hashlib.sha256(text[a:z]).digest() if 0 <= a and z <= len(text) else b""
+        good = known[a, z] == c["data"]
+        out.append((c["doc"], c["tie"], c["code"] if good else -1, c["last"] if good else -1))
+    if out:
+        yield _found(*(np.array(x, np.int64) for x in zip(*out, strict=True)))
+
+
+def _found(doc, tie, first, last, key=None, data=None) -> pa.RecordBatch:
+    return _record(FOUND, doc, tie, first, last, pa.nulls(len(doc), pa.int64()) if key is None else pa.array(key, pa.int64()), pa.nulls(len(doc), pa.binary()) if data is None else pa.array(data, pa.binary()))
+
+
+def _windows(rows: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+    """Single windows, to be dealt by their bytes; of equal ones among these rows only the first goes on."""
+    import xxhash
+
+    for s in range(0, rows.num_rows, 2000):
+        part, out = rows.slice(s, 2000), []
+        for doc, tie, code, data in zip(*(part.column(c).to_pylist() for c in ("doc", "tie", "code", "data")), strict=True):
+            pos, high, low = code >> 14, code >> 7 & 127, code & 127
+            out += [(data[high - l : high - l + length], doc, tie, pos - l) for l in range(low, high + 1)]
+        out.sort()
+        data, doc, tie, first = zip(*out, strict=True)
+        again = np.array([i > 0 and data[i] == data[i - 1] for i in range(len(data))])
+        doc, tie, first = (np.array(x, np.int64) for x in (doc, tie, first))
+        yield _found(doc[again], tie[again], first[again], first[again] + length)
+        on = np.flatnonzero(~again)
+        data = [data[i] for i in on.tolist()]
+        yield _found(doc[on], tie[on], first[on], first[on] + length, [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in data], data)
+
+
+def _sorter(length: int, k: int, together: int) -> Callable:
     margin = length - k
-    names = "key hash doc tie code data kind"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_groups(batches, names.split(), SORTED):
-            key, other, doc, tie, code, kind = (rows[c].to_numpy() for c in ("key", "hash", "doc", "tie", "code", "kind"))
-            order = np.lexsort((code, tie, doc, other, key))
-            key, other, doc, tie, code, kind = (x[order] for x in (key, other, doc, tie, code, kind))
-            # Single windows: of those not settled before the shuffle the earliest stays.
-            window = np.flatnonzero(kind != NEED)
-            wait = window[kind[window] == HOT]
-            again = np.concatenate([window[kind[window] == FULL], wait[~_runs(key[wait], other[wait])]])
-            if len(again):
-                yield _record("doc tie first last", doc[again], tie[again], code[again] >> 14, (code[again] >> 14) + length)
-            need = np.flatnonzero(kind == NEED)
-            if not len(need):
+        texts: dict[tuple[int, int], bytes] = {}
+        now = None
+        for rows, large in _groups(batches, together):
+            kind = rows.column("kind").to_numpy()
+            # A key's texts come before its claims; a large key's claims may come in several parts.
+            if (key := rows.column("key")[0].as_py()) != now:
+                now, texts = key, {}
+            texts |= {(r["doc"], r["tie"]): r["data"] for r in rows.filter(pa.array(kind == TEXT)).select(["doc", "tie", "data"]).to_pylist()}
+            if (kind == FULL).any():
+                part = rows.filter(pa.array(kind == FULL))
+                yield _found(*(part.column(c).to_numpy() for c in ("doc", "tie", "code", "last")))
+            if (kind == CLAIM).any():
+                yield from _verified(rows, texts)
+            rows = rows.filter(pa.array(kind == NEED))
+            if not rows.num_rows:
+                continue
+            if large:
+                yield from _windows(rows, length)
                 continue
-            data = rows["data"].take(pa.array(order[need])).to_pylist()
-            flags = repeated_windows(key[need], code[need], data, length, margin)
+            key, doc, tie, code = (rows.column(c).to_numpy() for c in ("key", "doc", "tie", "code"))
+            order = np.lexsort((code, tie, doc, key))
+            key, doc, tie, code = (x[order] for x in (key, doc, tie, code))
+            data = rows.column("data").take(pa.array(order)).to_pylist()
+            flags = repeated_windows(key, code, data, length, margin)
             edge = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
             row, a = np.nonzero(edge == 1)
             _, b = np.nonzero(edge == -1)
-            at, pos = need[row], code[need[row]] >> 14
-            if len(at):
-                yield _record("doc tie first last", doc[at], tie[at], pos - (b - 1), pos - a + length)
+            pos = code[row] >> 14
+            if len(row):
+                yield _found(doc[row], tie[row], pos - (b - 1), pos - a + length)
 
     return run
 
 
+def _equal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key, data and place: a window like the one before it repeats an earlier one."""
+    before = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        data = b.column("data").to_pylist()
+        again = np.array([x == y for x, y in zip(data, [before, *data], strict=False)])
+        before = data[-1]
+        if again.any():
+            yield _record("doc tie first last", *(b.column(c).filter(pa.array(again)) for c in ("doc", "tie", "first", "last")))
+
+
 def _with_identity(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """docs with doc and tie, which name a document, and whether an id stands in several rows; tie is only needed then."""
+    """docs with what names a document, and whether an id stands in several rows; the tie is only needed then."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST))
     several = bool(docs.groupBy(doc.alias("d")).count().filter("count > 1").limit(1).count())
     text = F.coalesce(F.encode(F.col("text").cast("string"), "UTF-8"), F.lit(b""))
     tie = F.xxhash64(text) if several else F.lit(0).cast("long")
-    return docs.withColumns({"__doc": doc, "__tie": tie, "__text": text}), several
-
-
-def repeated_spans(docs: DataFrame, several: bool, length: int = LENGTH, k: int = K, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """Of docs with identity: the compressed texts, and doc, tie with fulls (anchors) and spans (bytes) that repeat."""
+    return docs.withColumns({DOC: doc, TIE: tie, BYTES: text}), several
+
+
+def _salts(found: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """How many documents claim to repeat each text; for those with over a thousandth of all (at most 1000) over how many keys they are dealt."""
+    named = F.array_distinct(F.transform("claims", lambda c: F.struct(c["other_doc"].alias("doc"), c["other_tie"].alias("tie"))))
+    served = found.select(F.explode(named).alias("n")).groupBy("n.doc", "n.tie").agg(F.count("*").alias("claimants"))
+    served = staged(served, "served")
+    total = served.agg(F.coalesce(F.sum("claimants"), F.lit(0))).first()[0]
+    most = max(1000, total // 1000)
+    return served, {(r["doc"], r["tie"]): -(-r["claimants"] // most) for r in served.filter(F.col("claimants") > most).collect()}
+
+
+def _repeats(texts: DataFrame, packed: DataFrame, length: int, k: int, most: int, together: int, exact: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc, tie, fulls) and (doc, tie, first, last), the latter with first < 0 for claims that failed."""
+    ctx = "binary" if exact else "long"
+    anchors = texts.mapInArrow(_anchors(length, k, CONTEXT_BITS, exact), f"key long, ctx {ctx}, doc long, tie long, code long, last long, kind byte")
+    settled = anchors.repartition("key").sortWithinPartitions("key").mapInArrow(_settle(most, exact), "doc long, tie long, kind byte, key long, code long, last long, other_doc long, other_tie long, other long")
+    of = lambda kinds, **fields: F.collect_list(F.when(F.col("kind").isin(*kinds), F.struct(*[c.alias(n) for n, c in fields.items()])))
+    found = settled.groupBy("doc", "tie").agg(
+        of([FULL], first=F.col("code"), last=F.col("last")).alias("fulls"),
+        of([NEED, HOT], key=F.col("key"), code=F.col("code"), kind=F.col("kind")).alias("needs"),
+        of([CLAIM], pos=F.shiftright("code", 14), other_doc=F.col("other_doc"), other_tie=F.col("other_tie"), other=F.col("other")).alias("claims"),
+    )
+    found = staged(found, "anchors")
+    served, salts = _salts(found)
+    wanted = found.select("doc", "tie", "needs", "claims").filter("size(needs) + size(claims) > 0").join(served, ["doc", "tie"], "full")
+    contexts = packed.join(wanted, ["doc", "tie"]).mapInArrow(_contexts(length, k, salts), "key long, doc long, tie long, code long, last long, data binary, kind byte, other_doc long, other_tie long, other long")
+    spans = staged(contexts.repartition("key").sortWithinPartitions("key", F.desc("kind")).mapInArrow(_sorter(length, k, together), FOUND_SCHEMA), "spans")
+    plain = spans.filter("key is null").select("doc", "tie", "first", "last")
+    windows = spans.filter("key is not null")
+    if windows.limit(1).count():
+        dealt = windows.repartition("key").sortWithinPartitions("key", "data", "doc", "tie", "first")
+        plain = plain.unionByName(dealt.mapInArrow(_equal_windows, "doc long, tie long, first long, last long"))
+    return found.select("doc", "tie", "fulls"), plain
+
+
+def repeated_spans(docs: DataFrame, several: bool, length: int = LENGTH, k: int = K, most: int = MOST, together: int = SORTED) -> tuple[DataFrame, DataFrame]:
+    """Of docs with identity: the compressed texts, and doc, tie with fulls and spans (first, last: bytes) that repeat."""
     if not k < length < k + 128:
         raise ValueError("length - k must be from 1 to 127")
-    texts = docs.select(F.col("__doc").alias("doc"), F.col("__tie").alias("tie"), F.col("__text").alias("text"))
+    texts = docs.select(F.col(DOC).alias("doc"), F.col(TIE).alias("tie"), F.col(BYTES).alias("text"))
     if several:
         texts = texts.dropDuplicates(["doc", "tie"])
     packed = texts.mapInArrow(_deflate, "doc long, tie long, packed binary")
-    anchors = texts.mapInArrow(_anchors(length, k), "key long, ctx long, doc long, tie long, code long, kind byte")
-    settled = anchors.repartition("key").sortWithinPartitions("key").mapInArrow(_settle(most), "doc long, tie long, code long, key long, kind byte")
-    need = F.when(F.col("kind") != FULL, F.struct("key", "code", "kind"))
-    found = settled.groupBy("doc", "tie").agg(F.collect_list(F.when(F.col("kind") == FULL, F.col("code"))).alias("fulls"), F.collect_list(need).alias("needs"))
-    found = staged(found, "anchors")
-    contexts = packed.join(found.select("doc", "tie", "needs").filter(F.size("needs") > 0), ["doc", "tie"])
-    contexts = contexts.mapInArrow(_contexts(length), "key long, hash long, doc long, tie long, code long, data binary, kind byte")
-    spans = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_sorter(length, k), "doc long, tie long, first long, last long")
+    fulls, spans = _repeats(texts, packed, length, k, most, together, exact=False)
+    if spans.filter("first < 0").limit(1).count():
+        fulls, spans = _repeats(texts, packed, length, k, most, together, exact=True)
     spans = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    return packed, found.select("doc", "tie", "fulls").join(spans, ["doc", "tie"], "full")
+    return packed, fulls.join(spans, ["doc", "tie"], "full")
 
 
-def kept(text: bytes, fulls: list[int] | None, spans: list[dict] | None, length: int, k: int) -> tuple[bytes, int]:
+def kept(text: bytes, fulls: list[dict] | None, spans: list[dict] | None) -> tuple[bytes, int]:
     """The bytes that stay, and how many runs of bytes go."""
-    gone = [(s["first"], s["last"]) for s in spans or ()] + [(max(0, (c >> 14) - (length - k)), min(len(text), (c >> 14) + length)) for c in fulls or ()]
+    gone = [(s["first"], s["last"]) for s in [*(spans or ()), *(fulls or ())]]
     parts, at, runs = [], 0, 0
     for a, b in sorted(gone):
         if a > at or not runs:
@@ -461,14 +685,14 @@ def kept(text: bytes, fulls: list[int] | None, spans: list[dict] | None, length:
     return b"".join([*parts, text[at:]]), runs
 
 
-def _each(length: int, k: int, make: Callable) -> Callable:
+def _each(make: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             texts = (unpack(x) for x in b.column("packed").to_pylist())
-            done = [(len(t), *kept(t, f, s, length, k)) for t, f, s in zip(texts, b.column("fulls").to_pylist(), b.column("spans").to_pylist(), strict=True)]
+            done = [(len(t), *kept(t, f, s)) for t, f, s in zip(texts, b.column("fulls").to_pylist(), b.column("spans").to_pylist(), strict=True)]
             yield make(b, done)
 
     return run
@@ -483,13 +707,13 @@ def _digests(b: pa.RecordBatch, done: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def report(docs: DataFrame, length: int = LENGTH, k: int = K, most: int = MOST) -> DataFrame:
+def report(docs: DataFrame, length: int = LENGTH, k: int = K, most: int = MOST, together: int = SORTED) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs."""
     docs, several = _with_identity(docs.select("doc_id", "text"))
-    packed, found = repeated_spans(docs, several, length, k, most)
-    out = packed.join(found, ["doc", "tie"], "left").mapInArrow(_each(length, k, _digests), "doc long, tie long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    packed, found = repeated_spans(docs, several, length, k, most, together)
+    out = packed.join(found, ["doc", "tie"], "left").mapInArrow(_each(_digests), "doc long, tie long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     if several:
-        out = docs.select(F.col("__doc").alias("doc"), F.col("__tie").alias("tie")).join(out, ["doc", "tie"])
+        out = docs.select(F.col(DOC).alias("doc"), F.col(TIE).alias("tie")).join(out, ["doc", "tie"])
     return out.select(F.when(F.col("doc") != FIRST, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -497,16 +721,15 @@ def _cut(b: pa.RecordBatch, done: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([b.column("doc"), b.column("tie"), pa.array([x.decode("utf-8", "ignore") for _, x, _ in done], pa.string())], names=["doc", "tie", "text"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, most: int = MOST) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, most: int = MOST, together: int = SORTED) -> DataFrame:
     """docs, in its own columns, with repeats cut from the texts; a character that a cut splits goes too.
 
     n_chars, where docs has it, is counted again. A null text becomes an empty one.
     """
     named, several = _with_identity(docs)
-    packed, found = repeated_spans(named, several, length, k, most)
-    cut = packed.join(found, ["doc", "tie"], "left").mapInArrow(_each(length, k, _cut), "doc long, tie long, text string")
-    others = named.drop("text", "__text").withColumnsRenamed({"__doc": "doc", "__tie": "tie"})
-    out = others.join(cut, ["doc", "tie"])
+    packed, found = repeated_spans(named, several, length, k, most, together)
+    cut = packed.join(found, ["doc", "tie"], "left").mapInArrow(_each(_cut), "doc long, tie long, text string").withColumnsRenamed({"doc": DOC, "tie": TIE})
+    out = named.drop("text", BYTES).join(cut, [DOC, TIE])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -47,13 +47,36 @@ def got_of(df):
     return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(df)}
 
 
-@pytest.mark.parametrize("most", [50_000, 1])
+@pytest.mark.parametrize("most,together", [(50_000, 20_000), (1, 20_000), (1, 1), (1, 7)])
 @pytest.mark.parametrize("parts", [1, 5])
-def test_against_brute_force(spark, most, parts):
+def test_against_brute_force(spark, most, together, parts):
+    """Also with all anchors as hot ones, in pieces, and with all pieces as large ones, in windows."""
     texts = messy(most + parts) + TEXTS
     random.Random(5).shuffle(texts)
     df = docs(spark, texts).withColumn("key", F.lit("clash")).withColumn("tie", F.lit(1)).repartition(parts)
-    assert got_of(report(df, most=most)) == {i: v[:4] for i, v in plain(list(enumerate(texts))).items()}
+    assert got_of(report(df, most=most, together=together)) == {i: v[:4] for i, v in plain(list(enumerate(texts))).items()}
+
+
+@pytest.mark.parametrize("most", [50_000, 1])
+@pytest.mark.parametrize("bits,rows_together", [(0, 500_000), (3, 1), (6, 1)])
+def test_contexts_of_one_hash(spark, monkeypatch, bits, rows_together, most):
+    """A context hash of few bits: equal hashes settle nothing before the bytes have been compared."""
+    for name, value in (("CONTEXT_BITS", bits), ("ROWS", rows_together), ("BLOCK", 1000)):
+        monkeypatch.setattr(f"quillstone.llm.suffix_dedup.{name}", value)
+    rng = random.Random(6)
+    shared = "".join(rng.choices("abc", k=40))
+    texts = ["".join(rng.choices("abc", k=80)) + shared + "".join(rng.choices("abc", k=80)) for _ in range(60)] + messy(8, 30)
+    assert got_of(report(docs(spark, texts).repartition(3), most=most)) == {i: v[:4] for i, v in plain(list(enumerate(texts))).items()}
+
+
+def test_many_copies_of_one_text(spark, monkeypatch):
+    """A text that many others claim to repeat is dealt over several keys."""
+    monkeypatch.setattr("quillstone.llm.suffix_dedup.ROWS", 1)
+    rng = random.Random(7)
+    base = "".join(rng.choices("abcdefgh ", k=400))
+    texts = [base] + [base[: (k := rng.randrange(400))] + "#" + base[k:] for _ in range(1500)]
+    want = plain(list(enumerate(texts)))
+    assert got_of(report(docs(spark, texts).repartition(8))) == {i: v[:4] for i, v in want.items()}
 
 
 @pytest.mark.parametrize("rows_together", [500_000, 1])
@@ -117,7 +140,8 @@ def test_repeated_ids_and_nulls(spark):
 
 def test_cleaning(spark):
     texts = messy(9) + ["é" * 120, "a" + "é" * 120]
-    df = docs(spark, texts).withColumn("packed", F.lit(3))
+    clash = {c: F.lit(3) for c in ("packed", "doc", "tie", "key", "kind", "spans", "fulls", "first")}
+    df = docs(spark, texts).withColumns(clash)
     want = plain(list(enumerate(texts)))
     got = {r["doc_id"]: (r["text"], r["n_chars"], r["packed"]) for r in rows(remove_repeats(df))}
     assert got == {i: (t := v[4].decode("utf-8", "ignore"), len(t), 3) for i, v in want.items()}
