@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir, or one of our own where it is unset and all is local (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         sc = spark.sparkContext
         if not sc.getCheckpointDir():
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         path = sc.getCheckpointDir()
     return path.rstrip("/")
@@ -36,6 +38,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def over_tasks(df: DataFrame, size: int, most: int) -> DataFrame:
+    """Rows that stand for `size` bytes of work in all, in a stated number of partitions: 128 MB each, some for every core, no more than rows.
+
+    Their own few bytes would let adaptive execution join them into one task.
+    """
+    n = min(most, max(-(-size // (128 << 20)), 4 * df.sparkSession.sparkContext.defaultParallelism))
+    return df.repartition(max(1, n))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

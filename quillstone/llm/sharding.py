@@ -19,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, staged, table
 
 LAID = "doc_id long, size long, text_crc32 long, pid int"
 
 
 def _placer(offsets: dict[int, tuple[int, int]], total: int, n_shards: int) -> Callable:
+    # A row's middle is at least at the k-th cut, in half bytes; whole numbers of Python, so nothing overflows before 2**62 bytes.
+    cuts = np.array([-(-2 * total * k // n_shards) for k in range(1, n_shards)], np.int64)
+
     def place(batches):
         at = None
         for b in batches:
@@ -34,7 +37,7 @@ def _placer(offsets: dict[int, tuple[int, int]], total: int, n_shards: int) -> C
                 at = list(offsets[b.column("pid")[0].as_py()])
             size = b.column("size").to_numpy()
             start = at[0] + np.cumsum(size) - size
-            shard = np.minimum((2 * start + size) * n_shards // (2 * total), n_shards - 1)
+            shard = np.searchsorted(cuts, 2 * start + size, "right")
             position = at[1] + np.arange(b.num_rows)
             at = [int(start[-1] + size[-1]), at[1] + b.num_rows]
             yield pa.RecordBatch.from_arrays(
@@ -50,7 +53,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(data) + F.lit(1)).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
     order = ["doc_id", "size", "text_crc32", "tie"]
-    laid = rows.withColumn("tie", F.monotonically_increasing_id() % 1024).repartitionByRange(*order).sortWithinPartitions(*order)
+    # Texts are read once: range bounds are sampled from the sizes.
+    laid = staged(rows, "sizes").withColumn("tie", F.monotonically_increasing_id() % 1024).repartitionByRange(*order).sortWithinPartitions(*order)
     laid = checkpointed(laid.select("doc_id", "size", "text_crc32", F.spark_partition_id().alias("pid")))
     # One row for each range partition: bounded by spark.sql.shuffle.partitions.
     totals = sorted(laid.groupBy("pid").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect())

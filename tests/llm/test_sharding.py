@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from quillstone.llm.sharding import op1_shard_prefix_sums, shard_by_bytes, write_shards
+from quillstone.llm.sharding import _placer, op1_shard_prefix_sums, shard_by_bytes, write_shards
 
 from .brute import crc, docs, rows
 
@@ -30,6 +30,18 @@ def test_empty_and_single(spark):
     assert [r["slot"] for r in rows(shard_by_bytes(docs(spark, ["x"])))] == [0]
 
 
+def test_cuts_do_not_overflow():
+    """Shards of 100 TB, more than 64-bit products hold."""
+    import pyarrow as pa
+
+    total, n = 10**14, 10**6
+    start = [0, 10**8 - 1, total // 2, total - 5]
+    b = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([0]), pa.array([0], pa.int32())], names=["doc_id", "size", "text_crc32", "pid"])
+    for at in start:
+        (out,) = _placer({0: (at, 0)}, total, n)([b])
+        assert out.column("shard")[0].as_py() == (2 * at + 1) * n // (2 * total)
+
+
 def test_hot_id(spark):
     texts = ["y" * (k % 7) for k in range(300)]
     check(rows(shard_by_bytes(docs(spark, texts, [1] * 150 + list(range(150))).repartition(5), 8)), list(zip([1] * 150 + list(range(150)), texts)), 8)
