@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged, table
+from .common import over_tasks, shared_dir, staged, table
 from .components import join_hot
 
 LEAST, PACKAGE_BYTES, RANGE_BYTES = 1000, 64 << 20, 4 << 20
@@ -265,9 +265,13 @@ def _reader(with_payload: bool) -> Callable:
 
 
 def read_packages(packages: DataFrame, with_payload: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """All records of the packages named in the column package; ranges are dealt over tasks before any is read."""
-    ranges = packages.select("package").repartition("package").mapInArrow(_ranges(range_bytes), "package string, start long, lengths array<long>")
-    return ranges.repartition("package", "start").mapInArrow(_reader(with_payload), READ)
+    """All records of the packages named in the column package; directories, and then ranges, are dealt over tasks before any is read."""
+    n = packages.count()
+    ranges = over_tasks(packages.select("package"), n * range_bytes, n).mapInArrow(_ranges(range_bytes), "package string, start long, lengths array<long>")
+    ranges = staged(ranges, "ranges")
+    size = F.aggregate("lengths", F.lit(0).cast("long"), lambda t, x: t + x)
+    total = ranges.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
+    return over_tasks(ranges, total["size"], total["n"]).mapInArrow(_reader(with_payload), READ)
 
 
 def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:

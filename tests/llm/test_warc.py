@@ -88,3 +88,10 @@ def test_query(spark):
     pages = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
     got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in rows(op2_warc_zip(spark, sf))}
     assert got == {i: x for i, _, *x in ((w[0], w[1], *w[2:6]) for w in want(pages)) for x in [tuple(x)]}
+
+
+def test_ranges_are_read_by_many_tasks(spark, tmp_path):
+    """However few bytes name a range, adaptive execution must not join them into one task."""
+    df = spark.createDataFrame([(i, "u", f"{i}" * 700) for i in range(400)], "page_id long, url string, html string").repartition(4)
+    back = read_packages(write_packages(df, f"file://{tmp_path}/p"), range_bytes=100)
+    assert back.rdd.getNumPartitions() > 8 and back.count() == 400
