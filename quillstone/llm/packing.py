@@ -4,8 +4,8 @@ A piece of length r belongs to class j = capacity // r (at most `classes`), and
 exactly j pieces, whatever they are: each task fills its bins alone. Documents are first cut at the
 capacity; a tail that would leave more than capacity / 64 of a bin empty in its class first gives up
 a piece of exactly capacity // (j + 1), which fills class j + 1 to the brim, so tails end after a few
-cuts. Bins that a task could not fill are filled class by class over all tasks; what is left then
-is under `classes` pieces in each class (at most 2016 rows for 64 classes), packed first-fit by one task.
+cuts. What tasks could not fill (under `classes` pieces of each class, at most 2016 rows of a task) goes up a tree: a node
+fills bins from the rests of `FANOUT` tasks or nodes and leaves as little again; the last one packs its rest first-fit.
 
 Defined results: a null text is empty and gives the end token alone; null and repeated ids are kept,
 each row packed for itself; an empty table gives no rows; further columns are ignored.
@@ -22,15 +22,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged, table, worker_cache
 
 CAPACITY, CLASSES, END_ID = 2048, 64, 1
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, sequence_id long, offset long, task long"
 #: A worker keeps at most so many words with their ids.
 CACHED_WORDS = 800_000
+#: Tasks whose unfilled bins meet in one task: at most some 500,000 rows.
+FANOUT = 256
 
 
 def cut(n: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[tuple[int, int]]:
@@ -82,10 +84,10 @@ def word_ids(tokenizer_path: str) -> Callable[[str], bytes]:
         return word.isalpha() and max(word) < "\u0180"
 
     def core(word: str) -> tuple[str, str]:
-        """A letter and the mark after it are always apart; case is ignored."""
-        mark = word[-1:] if word[-1:] in (".", ",") and word[-2:-1].isalpha() else ""
+        """A plain stem (also in lower case) and the mark after it are always apart, and its case is ignored."""
+        mark = word[-1:] if word[-1:] in (".", ",") else ""
         stem = word[: len(word) - len(mark)]
-        return (low if plain(stem) and plain(low := stem.lower()) else stem), mark
+        return (low, mark) if plain(stem) and plain(low := stem.lower()) else (word, "")
 
     def learn(words: list[str]) -> None:
         parts = [core(w) for w in words]
@@ -131,14 +133,15 @@ def _pack(tokenizer: str | None, capacity: int, classes: int) -> Callable:
             path = public_tokenizers.path("word_bpe_49k.json")
         encode = word_ids(path)
         end = np.asarray([END_ID], "<u4").tobytes()
-        base, opened = (TaskContext.get().partitionId() + 1) << 32, 0
+        task, opened = TaskContext.get().partitionId(), 0
+        base = (task + 1) << 32
         bins: dict[int, list] = {j: [] for j in range(1, classes + 1)}
         out: list[tuple] = []
 
         def flush(rows):
-            kinds = (pa.int64(),) * 5 + (pa.int32(),) + (pa.int64(),) * 2
-            names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "sequence_id", "offset")
-            columns = zip(*rows, strict=True) if rows else [()] * 8
+            kinds = (pa.int64(),) * 5 + (pa.int32(),) + (pa.int64(),) * 3
+            names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "sequence_id", "offset", "task")
+            columns = zip(*rows, strict=True) if rows else [()] * 9
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
 
         for b in batches:
@@ -151,49 +154,59 @@ def _pack(tokenizer: str | None, capacity: int, classes: int) -> Callable:
                     if len(bins[j]) == j:
                         offset = 0
                         for piece in bins[j]:
-                            out.append((*piece, base + opened, offset))
+                            out.append((*piece, base + opened, offset, task))
                             offset += piece[2]
                         opened, bins[j] = opened + 1, []
             if len(out) > 20_000:
                 yield flush(out)
                 out = []
-        yield flush(out + [(*piece, None, None) for left in bins.values() for piece in left])
+        yield flush(out + [(*piece, None, None, task) for left in bins.values() for piece in left])
 
     return pack
 
 
-def _first_fit(capacity: int) -> Callable:
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        """Longest first, each into the first bin with room; at most sum(class - 1) rows come here."""
-        rows = rows.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        room: list[int] = []
-        seq, off = [], []
-        for n in rows["length"]:
-            k = next((i for i, r in enumerate(room) if r >= n), len(room))
-            if k == len(room):
-                room.append(capacity)
-            seq.append((1 << 60) + k)
-            off.append(capacity - room[k])
-            room[k] -= n
-        return rows.assign(sequence_id=np.asarray(seq, "int64"), offset=np.asarray(off, "int64"))
-
-    return fit
+def _fill(capacity: int, level: int, last: bool) -> Callable:
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        """Bins of each class filled with its number of pieces; the last node packs the rest longest first, each into the first bin with room."""
+        node = int(rows["node"].iloc[0])
+        rows = rows.sort_values(["class", "doc_id", "start", "length", "ids_crc32"], kind="stable").reset_index(drop=True)
+        j = rows["class"].to_numpy("int64")
+        length = rows["length"].to_numpy("int64")
+        rank = rows.groupby("class").cumcount().to_numpy()
+        full = rank // j < rows.groupby("class")["class"].transform("size").to_numpy() // j
+        new = full & (rank % j == 0)
+        base = (1 << 56) + (level << 52) + (node << 20)
+        bin_, before = np.cumsum(new) - 1, np.cumsum(np.where(full, length, 0)) - length
+        offset = np.where(full, before - np.maximum.accumulate(np.where(new, before, 0)), 0)
+        seq = np.where(full, base + bin_, -1)
+        if last:
+            room: list[int] = []
+            left = np.flatnonzero(~full)
+            for i in left[np.argsort(-length[left], kind="stable")].tolist():
+                k = next((k for k, r in enumerate(room) if r >= length[i]), len(room))
+                if k == len(room):
+                    room.append(capacity)
+                seq[i], offset[i] = (1 << 60) + k, capacity - room[k]
+                room[k] -= int(length[i])
+        return rows.assign(sequence_id=pd.Series(seq, dtype="Int64").mask(seq < 0), offset=offset, node=node // FANOUT)
+
+    return fill
 
 
 def harmonic_pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, classes: int = CLASSES) -> DataFrame:
     """The pieces of all docs with the sequence and the offset each has been given."""
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pack(tokenizer, capacity, classes), PIECES)
     pieces = staged(pieces, "pieces")
-    full = pieces.filter("sequence_id is not null")
-    order = ["doc_id", "start", "length", "ids_crc32"]
-    rank = F.row_number().over(Window.partitionBy("class").orderBy(*order)) - 1
-    n = F.count("*").over(Window.partitionBy("class"))
-    left = pieces.filter("sequence_id is null").withColumn("bin", F.floor(rank / F.col("class"))).withColumn("whole", F.col("bin") < F.floor(n / F.col("class")))
-    together = Window.partitionBy("class", "bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    whole = left.filter("whole").withColumn("sequence_id", F.lit(1 << 56) + F.col("class").cast("long") * F.lit(1 << 40) + F.col("bin")).withColumn("offset", F.coalesce(F.sum("length").over(together), F.lit(0).cast("long")))
-    rest = left.filter("not whole").drop("bin", "whole").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
-    rest = rest.groupBy(F.lit(0).alias("all")).applyInPandas(_first_fit(capacity), PIECES)
-    return full.unionByName(whole.drop("bin", "whole")).unionByName(rest)
+    out = pieces.filter("sequence_id is not null").drop("task")
+    left = pieces.filter("sequence_id is null").withColumn("node", F.floor(F.col("task") / FANOUT)).drop("task")
+    nodes, level = (pieces.agg(F.max("task")).first()[0] or 0) // FANOUT, 0
+    while True:
+        filled = left.groupBy("node").applyInPandas(_fill(capacity, level, not nodes), PIECES.replace("task", "node"))
+        if not nodes:
+            return out.unionByName(filled.drop("node"))
+        filled = staged(filled, "filled")
+        out = out.unionByName(filled.filter("sequence_id is not null").drop("node"))
+        left, nodes, level = filled.filter("sequence_id is null"), nodes // FANOUT, level + 1
 
 
 def op3_pack_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:

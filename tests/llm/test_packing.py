@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -53,6 +54,25 @@ def test_many_tails_and_partitions(spark):
     assert check(rows(harmonic_pack(docs(spark, texts).repartition(7))), dict(enumerate(texts))) > 0.93
 
 
+def test_tree_of_rests(spark, monkeypatch):
+    """With two tasks a node: bins are filled on several levels, and no level leaves more than under `class` pieces a node."""
+    monkeypatch.setattr("quillstone.llm.packing.FANOUT", 2)
+    texts = [f"word{k} " * (1 + 37 * k % 300) for k in range(400)]
+    got = rows(harmonic_pack(docs(spark, texts).repartition(9)))
+    assert check(got, dict(enumerate(texts))) > 0.85
+    levels = {(r["sequence_id"] - (1 << 56)) >> 52 for r in got if 1 << 56 <= r["sequence_id"] < 1 << 60}
+    assert len(levels) > 1
+
+
+def test_words_one_by_one():
+    """Letters with and without marks, capitals that become two letters, combining marks and stops."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, encode, rng = Tokenizer.from_file(path), word_ids(path), random.Random(1)
+    letters = [*map(chr, range(0xC0, 0x180)), *map(chr, range(0x300, 0x320)), *"abcXYZ'’.,!?;0123-ΣςǅsStdre "]
+    for text in ["İ.", "İ,", "ŉ.", *("".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(5000))]:
+        assert np.frombuffer(encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_empty(spark):
     assert rows(harmonic_pack(docs(spark, []))) == []
 
