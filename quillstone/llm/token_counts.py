@@ -4,8 +4,9 @@ The model never joins a piece across the start of a run of spaces or across a li
 count is the sum over its pre-tokens. Tier one is a broadcast table of the corpus's frequent pre-tokens
 with their lengths. Every task counts all pre-tokens of its rows and sends one summary of at most
 `frequent` entries; summaries are merged in a tree of bounded nodes, so the broadcast holds at most
-`frequent` entries at any input size (20,000 pre-tokens are under 1 MB). Tier two is a cache in each worker, cleared when
-it reaches a fixed size. Neither tier alters a count.
+`frequent` entries at any input size. Tier two is a cache in each worker, cleared when it reaches a fixed number of entries.
+Pre-tokens of over `LONGEST` characters stay out of both tiers and are encoded each time, so 20,000 entries are
+under 6 MB and a cache under 300 MB. Neither tier alters a count.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; null and repeated ids are kept; an
 empty table gives no rows; further columns are ignored.
@@ -29,7 +30,7 @@ from .common import table, worker_cache
 
 SPACE = "▁"  # stands for the space in this model's pieces
 FREQUENT, TRACKED, CACHED, DOCS = 20_000, 250_000, 800_000, 100
-FANOUT = 16
+FANOUT, LONGEST = 16, 64
 PRE_TOKENS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 
@@ -69,7 +70,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for text in b.column("text").to_pylist():
             if text:
-                seen.update(pre_tokens(text))
+                seen.update(t for t in pre_tokens(text) if len(t) <= LONGEST)
                 if len(seen) > TRACKED:
                     seen = Counter(dict(seen.most_common(TRACKED // 4)))
     yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([pickle.dumps(dict(seen.most_common(FREQUENT)))], pa.binary())], names=["task", "summary"])
@@ -109,13 +110,17 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 4096, fr
             texts, n = b.column("text").to_pylist(), []
             for k in range(0, len(texts), DOCS):
                 docs_tokens = [pre_tokens(t) if t else [] for t in texts[k : k + DOCS]]
+                # Long ones are counted apart: nothing of them is kept.
+                long = [[t for t in tokens if len(t) > LONGEST] for tokens in docs_tokens]
+                extra = [sum(lengths(sp, x)) if x else 0 for x in long]
+                docs_tokens = [[t for t in tokens if len(t) <= LONGEST] if x else tokens for tokens, x in zip(docs_tokens, long, strict=True)]
                 misses = list({t for tokens in docs_tokens for t in tokens if t not in second})
                 if len(second) + len(misses) > CACHED:
                     second.clear()
                     second.update(first)
                     misses = list({t for tokens in docs_tokens for t in tokens if t not in second})
                 second.update(zip(misses, lengths(sp, misses), strict=True))
-                n += [sum(map(get, tokens)) for tokens in docs_tokens]
+                n += [sum(map(get, tokens)) + more for tokens, more in zip(docs_tokens, extra, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     text = F.col("text").cast("string")

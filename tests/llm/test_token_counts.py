@@ -27,6 +27,13 @@ def test_empty_and_small_table(spark):
     assert {r["n_tokens"] for r in got} == {1, 3} and len(got) == 40
 
 
+def test_long_pre_tokens(spark):
+    """They are in neither tier, so neither grows with them."""
+    texts = ["y" * 5000 + " a", "漢" * 300, " " * 400 + "b " + "z" * 65, "a " * 50 + "q" * 64]
+    got = rows(count_tokens(docs(spark, texts)))
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: len(SP.encode(t)) for i, t in enumerate(texts)}
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     got = {r["doc_id"]: r["n_tokens"] for r in rows(op4_token_counts_two_tier(spark, sf))}
