@@ -7,10 +7,11 @@ the pairs that promise most get tables of their own from trees of two crossed cu
 one entry of each table, added for whole batches, through a logistic.
 
 The model is fitted in one task on at most `sample` labelled rows (those of the smallest hashes of their id), which is
-the only bounded step; every row is scored. Rows with crc32(doc_id as text) mod 5 = 0 are held out.
+the only bounded step; every row is scored and, by the filter, judged by its own score, in one pass over the texts. Rows with
+crc32(doc_id as text) mod 5 = 0 are held out.
 
 Defined results: null and empty texts have all-zero features and a score like any text; a null doc_id counts as
-held out and unlabelled; of several labels of one id the smallest counts; without labels of both kinds all scores
+held out and unlabelled; of several labels of one id the smallest counts; rows of one id are judged each for itself; without labels of both kinds all scores
 are the labels' mean (0.5 without any); an empty table gives no rows; further columns are ignored by the report and
 kept by the filter.
 """
@@ -24,8 +25,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import staged, table
 
@@ -87,7 +90,7 @@ def features_of(text: bytes | None) -> list[float]:
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         values = [features_of(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(values, pa.list_(pa.float64()))], names=["row", "doc_id", "features"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(values, pa.list_(pa.float64()))], names=["doc_id", "quality", "features"])
 
 
 class Gam:
@@ -191,13 +194,17 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"model": [pickle.dumps(model.__dict__)]})
 
 
-def _scorer(sent) -> Callable:
+def _scorer(sent, threshold: float | None) -> Callable:
+    """Batches whose last column is the text get their scores in its place; with a threshold, only rows that reach it stay."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Gam.__new__(Gam)
         model.__dict__.update(pickle.loads(sent.value))
         for b in batches:
-            x = b.column("features").flatten().to_numpy().reshape(b.num_rows, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(model.score(x))], names=["row", "doc_id", "score"])
+            x = np.array([features_of(t) for t in b.column(b.num_columns - 1).to_pylist()]).reshape(b.num_rows, len(FEATURES))
+            score = pa.array(model.score(x))
+            b = pa.RecordBatch.from_arrays([*b.columns[:-1], score], names=[*b.schema.names[:-1], "score"])
+            yield b if threshold is None else b.filter(pc.greater_equal(score, threshold))
 
     return run
 
@@ -206,27 +213,35 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
-def score_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """row, doc_id, score of every row of docs; row numbers docs' rows as monotonically_increasing_id does."""
-    spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
-    rows = staged(rows.mapInArrow(_featured, "row long, doc_id long, features array<double>"), "features")
+def _utf8():
+    return F.encode(F.col("text").cast("string"), "UTF-8")
+
+
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> bytes:
+    """The model, from the features of at most `sample` labelled rows; only ids and labels are shuffled to choose them."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    train = rows.filter(~held_out()).join(known, "doc_id").select("doc_id", "row", "features", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "row").limit(sample)
-    fitted = train.groupBy(F.lit(0).alias("all")).applyInPandas(_fit, "model binary").first()
-    blob = bytes(fitted["model"]) if fitted else _fit(pd.DataFrame({"doc_id": [], "features": [], "quality": []}))["model"][0]
-    return rows.mapInArrow(_scorer(spark.sparkContext.broadcast(blob)), "row long, doc_id long, score double")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(~held_out()).distinct()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = staged(known.join(ids, "doc_id", "left_semi").orderBy(*order).limit(sample), "chosen")  # at most `sample` rows of two numbers
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _utf8().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    rows = texts.mapInArrow(_featured, "doc_id long, quality int, features array<double>").orderBy(*order, "features").limit(sample)
+    row = rows.groupBy(F.lit(0).alias("all")).applyInPandas(_fit, "model binary").first()
+    return bytes(row["model"]) if row else _fit(pd.DataFrame({"doc_id": [], "features": [], "quality": []}))["model"][0]
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs."""
-    return score_rows(docs, labels, sample).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    sent = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _utf8().alias("text"))
+    scored = rows.mapInArrow(_scorer(sent, None), "doc_id long, score double")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """docs, in its own columns, without the rows that the classifier rejects; docs' ids must be unique or null."""
-    bad = score_rows(docs, labels, sample).filter(F.col("score") < threshold).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """docs, in its own columns, without the rows that the classifier rejects; each row is judged by its own text."""
+    sent = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _utf8().alias("text"))
+    return packed.mapInArrow(_scorer(sent, threshold), T.StructType([T.StructField("row", docs.schema), T.StructField("score", T.DoubleType())])).select("row.*")
 
 
 def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
