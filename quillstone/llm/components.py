@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
+#: Tables of fewer rows are joined plainly: no key of theirs is too much for a task.
+SMALL = 20_000
+
 
 def merge_labels(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """labels (each the smallest member of its component) after linking u[i] with v[i]."""
@@ -38,8 +41,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before, digest = None, _digest(now)
     while digest != before and digest[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_hot(both.filter("v > u"), least, "u", 2 * digest[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = staged(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -49,13 +52,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
-    """left outer join with right, whose keys are unique and whose n says how many rows of left have each.
+def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, count: str = "n") -> DataFrame:
+    """left outer join with right, whose keys are unique and whose count says how many rows of left have each.
 
-    Keys with over a thousandth of the rows (so at most 1000 of them) are joined by broadcast,
+    Keys with over a thousandth of left's `total` rows (so at most 1000 of them) are joined by broadcast,
     where they lie; the others, of which no group is large, by a shuffle.
     """
+    if total < SMALL:
+        return left.join(right, key, "left")
     most = max(1000, total // 1000)
-    hot, rest = right.filter(F.col("n") > most), right.filter(F.col("n") <= most)
+    right = staged(right, "right")
+    hot, rest = right.filter(F.col(count) > most), right.filter(F.col(count) <= most)
     there = left.join(F.broadcast(hot), key)
     return there.unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, "left"))

@@ -9,8 +9,10 @@ pairs whose members are already in one component. A task returns a spanning fore
 never pairs of whole groups, and forests are united by connected components over fingerprints.
 
 Defined results: a text without words has fingerprint zero, and those link like any other; a null id
-is never a component's name unless all members have none (then it is null); repeated ids are kept; an empty
-table gives no rows; further columns are ignored by the report and kept by the deduplicating form.
+is never a component's name unless all members have none (then it is null); the report keeps repeated ids. The
+deduplicating form decides by rows: of each component one row stays, that of the smallest id (of rows of one id, and of
+rows without id if there are no others, any one). An empty table gives no rows; further columns, whatever their names,
+are ignored by the report and kept by the deduplicating form.
 """
 
 from __future__ import annotations
@@ -27,10 +29,11 @@ from .common import staged, table
 from .components import connected_components, join_hot, merge_labels
 
 SHINGLE, BITS, BUDGET, SEED, HOT = 4, 64, 4, 42, 100_000
-#: Node pairs with at most so many pairs of leaves are compared outright; a step takes so many node pairs.
-LEAF, STEP = 256, 100_000
+#: Node pairs with at most so many pairs of leaves are compared outright; a step takes so many node pairs, and compares so many leaves.
+LEAF, STEP, PAIRS = 256, 100_000, 1_000_000
 #: Rows that are joined together at least, if there are as many.
 CHUNK = 200_000
+ROW = "__quillstone_row"
 
 
 def shingle_hashes(text: bytes | None, size: int) -> Iterator[np.ndarray]:
@@ -62,7 +65,7 @@ def simhash(text: bytes | None, size: int = SHINGLE) -> int:
 def _fingerprints(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([simhash(t, size) for t in b.column("text").to_pylist()], pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array([simhash(t, size) for t in b.column("text").to_pylist()], pa.int64())], names=["doc_id", "row", "fp"])
 
     return run
 
@@ -74,6 +77,8 @@ def trie_join(keys: np.ndarray, buckets: np.ndarray, budget: int = BUDGET, accep
     """
     n = len(keys)
     labels = np.arange(n)
+    if accept is None and n:  # equal keys are links
+        labels = np.maximum.accumulate(np.where(np.concatenate([[True], (keys[1:] != keys[:-1]) | (buckets[1:] != buckets[:-1])]), labels, 0))
     edges = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1], [True]]))
     lo, hi = edges[:-1], edges[1:]
     zero = np.zeros(len(lo), np.int64)
@@ -90,6 +95,14 @@ def trie_join(keys: np.ndarray, buckets: np.ndarray, budget: int = BUDGET, accep
         nodes = nodes[:, ~joined]
         a0, a1, b0, b1, err = nodes
         small = ((a1 - a0) * (b1 - b0) <= LEAF) | (depth >= BITS)
+        wide = small & ((a1 - a0) * (b1 - b0) > PAIRS) & (a1 - a0 > 1)
+        if wide.any():
+            # Many leaves of one key: a few against all first, and the rest again if that has not joined them.
+            for x0, x1, y0, y1, e in nodes[:, wide].T.tolist():
+                cut = x0 + max(1, PAIRS // (y1 - y0))
+                stack += [(depth, np.array([[cut], [x1], [y0], [y1], [e]])), (depth, np.array([[x0], [cut], [y0], [y1], [e]]))]
+            nodes, small = nodes[:, ~wide], small[~wide]
+            a0, a1, b0, b1, err = nodes
         labels = _leaves(keys, labels, nodes[:, small], budget, accept)
         nodes = nodes[:, ~small]
         if not nodes.shape[1]:
@@ -187,24 +200,50 @@ def link_fingerprints(fps: DataFrame, budget: int = BUDGET, hot: int = HOT) -> D
     return rows.mapInArrow(_joiner(budget), "u long, v long")
 
 
+def named_components(rows: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (with fp) with n, component_id and keeper; n is null where a row is alone.
+
+    distinct has uid, fp, first (its smallest id), keeper (its first row by id, rows without id last) and n; roots has the root of
+    each linked uid.
+    """
+    rooted = staged(distinct.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid")).drop("uid"), "rooted")
+    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.min("keeper").alias("keeper"), F.count("*").alias("members"))
+    # Only fingerprints that are shared or linked need more than their own row.
+    named = join_hot(rooted.drop("keeper"), names, "root", rooted.count(), "members").filter("n > 1 or members > 1").select("fp", "n", "component_id", "keeper")
+    return join_hot(rows, named, "fp", rows.count())
+
+
+def _grouped(rows: DataFrame, size: int, budget: int, hot: int) -> DataFrame:
+    """doc_id, row, fp, n, component_id, keeper of rows (doc_id, row, text)."""
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "row", F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
+    rows = staged(rows.mapInArrow(_fingerprints(size), "doc_id long, row long, fp long"), "fingerprints")
+    keeper = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(keeper).alias("keeper"), F.count("*").alias("n")), "distinct")
+    roots = connected_components(link_fingerprints(distinct.select("fp"), budget, hot)).select(F.col("node").alias("uid"), "root")
+    return named_components(rows, distinct.withColumn("uid", F.col("fp")), roots)
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable) of every row of docs."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
-    rows = staged(rows.mapInArrow(_fingerprints(size), "doc_id long, fp long"), "fingerprints")
-    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
-    roots = connected_components(link_fingerprints(distinct.select("fp"), budget, hot)).select(F.col("node").alias("fp"), "root")
-    rooted = staged(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
-    # Only fingerprints that are shared or linked need more than their own row.
-    named = rooted.join(names, "root").filter("n > 1 or members > 1").select("fp", "n", "component_id")
-    out = join_hot(rows, named, "fp", rows.count())
+    out = _grouped(docs.select("doc_id", F.lit(0).cast("long").alias("row"), "text"), size, budget, hot)
     return out.select("doc_id", "fp", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """docs, in its own columns, with the document of the smallest id of each component; rows without id stay."""
-    gone = near_duplicates(docs, size, budget).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs written once with a number of each row, so that a row can be named again."""
+    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Numbered docs without the rows named, in their own columns."""
+    return docs.join(gone.select(F.col("row").alias(ROW)), ROW, "left_anti").drop(ROW)
+
+
+def deduplicate(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
+    """docs, in its own columns, with one row of each component."""
+    docs = numbered(docs)
+    out = _grouped(docs.select("doc_id", F.col(ROW).alias("row"), "text"), size, budget, hot)
+    return without(docs, out.filter("row <> keeper.row"))
 
 
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

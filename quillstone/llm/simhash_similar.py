@@ -2,15 +2,18 @@
 
 64 bits tell texts apart that share nearly all shingles; at a Jaccard similarity of 0.8 two fingerprints differ in
 some 15 % of their bits. Here a text has 1024 bits over its set of shingles, and these only find candidates.
-Bands of 14 bits deal fingerprints into buckets: of pairs at 0.8 all but some 0.05 % share one of 73 bands
-(independent bits assumed). In a bucket node pairs of the trie over the first 64 bits are walked down under an error
+Bands of bits deal fingerprints into buckets. Bands are as wide as the number of texts asks for (14 bits up to 4 million, two
+more for each fourfold), so that a bucket holds some hundred unrelated texts at any size, and as many that of pairs at 0.8 all
+but 0.05 % share one (73 of 14 bits; independent bits assumed). In a bucket node pairs of the trie over the first 64 bits are walked down under an error
 budget. The first round carries these 64 bits alone and only tells which fingerprints have any partner; the
 second deals those with all bits and joins pairs that differ in up to four standard deviations more bits than the
 similarity has on average. Tasks return spanning forests, whose components hold the candidates. In each component
 all pairs within that limit that are not yet joined are verified by their exact sets of shingle hashes; a large
 component is cut into blocks and every pair of blocks is a group of its own. Equal fingerprints are collapsed before.
 
-Defined results: texts without words are equal; null ids stay and are never named; an empty table gives no rows.
+Defined results: texts without words are equal; a null id is never a component's name unless all its members have none. The
+deduplicating form decides by rows: of each component one row stays, that of the smallest id (of rows of one id, and of rows
+without id if there are no others, any one). An empty table gives no rows; further columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .components import connected_components, join_hot
-from .simhash import CHUNK, shingle_hashes, trie_join
+from .components import connected_components
+from .simhash import CHUNK, ROW, named_components, numbered, shingle_hashes, trie_join, without
 
-WORDS, BAND, BANDS, SHINGLE, SIMILARITY, BUDGET = 16, 14, 73, 5, 0.8, 20
+WORDS, BAND, SHINGLE, SIMILARITY, BUDGET = 16, 14, 5, 0.8, 20
+#: Share of pairs at the similarity that may have no band in common; unrelated texts in a bucket, as a power of two.
+MISSED, FILL = 0.0005, 8
 #: Bits over the mean of the similarity, in standard deviations; fingerprints of one component that are verified together.
 DEVIATIONS, TOGETHER = 4, 2000
 # Odd multipliers that make further hashes of one hash.
@@ -68,8 +73,21 @@ def _fingerprints(size: int) -> Callable:
     return run
 
 
-def _deal(whole: bool) -> Callable:
+def bands(n: int, similarity: float, band: int = BAND) -> list[np.ndarray]:
+    """The bits of each band, for n fingerprints: pieces of the bits in their order, then of seeded shuffles of them."""
+    width = max(band, math.ceil(math.log2(max(2, n))) - FILL)
+    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    count = math.ceil(math.log(MISSED) / math.log1p(-((1 - share) ** width)))
+    out, rng, bits = [], np.random.default_rng(width), np.arange(64 * WORDS)
+    while len(out) < count:
+        out += [bits[k : k + width] for k in range(0, len(bits) - width + 1, width)]
+        bits = rng.permutation(64 * WORDS)
+    return out[:count]
+
+
+def _deal(of: list[np.ndarray], whole: bool) -> Callable:
     """A row for each band: its bucket, the first 64 bits and, in the second round, all bits."""
+    count, width = len(of), len(of[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -77,12 +95,15 @@ def _deal(whole: bool) -> Callable:
                 fps = b.column("fp").slice(s, 1000)
                 n = len(fps)
                 bits = np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(n, -1)
-                single = np.unpackbits(bits, axis=1)[:, : BANDS * BAND].reshape(n, BANDS, BAND)
-                band = np.packbits(single, axis=2).astype(np.int64) @ np.array([256, 1]) + (np.arange(BANDS) << 16)
+                single = np.unpackbits(bits, axis=1)[:, np.concatenate(of)].reshape(n, count, width)
+                band = np.zeros((n, count), np.int64)
+                for i in range(width):
+                    band = band << 1 | single[:, :, i]
+                band += np.arange(count) << width
                 uid, first = b.column("uid").slice(s, 1000).to_numpy(), np.ascontiguousarray(bits[:, :8]).view(np.int64)[:, 0]
-                columns = [pa.array(band.ravel()), pa.array(np.repeat(uid, BANDS)), pa.array(np.repeat(first, BANDS))]
+                columns = [pa.array(band.ravel()), pa.array(np.repeat(uid, count)), pa.array(np.repeat(first, count))]
                 if whole:
-                    columns.append(fps.take(pa.array(np.repeat(np.arange(n), BANDS))))
+                    columns.append(fps.take(pa.array(np.repeat(np.arange(n), count))))
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "uid", "first", "fp"][: len(columns)])
 
     return run
@@ -184,8 +205,7 @@ def _verify(limit: int, similarity: float) -> Callable:
 def _verified(rows: DataFrame, candidates: DataFrame, size: int, similarity: float, together: int) -> DataFrame:
     """(u, v) over uid: a graph with the components of all pairs of candidates (uid, row, fp, root) of the similarity or more."""
     texts = rows.join(candidates, "row").select("uid", "root", "fp", "text")
-    # Rows of one id and text are the same set.
-    sets = staged(texts.mapInArrow(_sets(size), "uid long, root long, fp binary, shingles binary"), "sets").dropDuplicates(["uid"])
+    sets = staged(texts.mapInArrow(_sets(size), "uid long, root long, fp binary, shingles binary"), "sets")
     blocks = candidates.groupBy("root").agg(F.ceil(F.count("*") / together).cast("int").alias("blocks"))
     sets = sets.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -194,31 +214,34 @@ def _verified(rows: DataFrame, candidates: DataFrame, size: int, similarity: flo
     return met.mapInArrow(_verify(differing(similarity, deviations=DEVIATIONS), similarity), "u long, v long")
 
 
-def similar_documents(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id reachable by links of the similarity or more) of every row of docs."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
-    texts = texts.withColumn("row", F.xxhash64("doc_id", "text"))
+def _grouped(docs: DataFrame, size: int, similarity: float, together: int) -> DataFrame:
+    """doc_id, row, fp, n, component_id, keeper of docs (doc_id, row, text)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row", F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
     rows = staged(texts.mapInArrow(_fingerprints(size), "doc_id long, row long, fp binary"), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min("row").alias("row"))
+    keeper = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min(keeper).alias("keeper"))
     distinct = staged(distinct.withColumn("uid", F.monotonically_increasing_id()), "distinct")
-    rows = rows.drop("row")
-    dealt = distinct.select("uid", "fp").mapInArrow(_deal(False), "bucket long, uid long, first long")
+    of = bands(distinct.count(), similarity)
+    dealt = distinct.select("uid", "fp").mapInArrow(_deal(of, False), "bucket long, uid long, first long")
     partners = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_join(None), "u long, v long").select(F.col("u").alias("uid")).distinct()
     partners = staged(distinct.join(partners, "uid", "left_semi").select("uid", "fp"), "partners")
-    dealt = partners.mapInArrow(_deal(True), "bucket long, uid long, first long, fp binary")
+    dealt = partners.mapInArrow(_deal(of, True), "bucket long, uid long, first long, fp binary")
     links = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_join(differing(similarity, deviations=DEVIATIONS)), "u long, v long")
     near = connected_components(links).select(F.col("node").alias("uid"), "root")
-    candidates = staged(distinct.join(near, "uid").select("uid", "row", "fp", "root"), "candidates")
+    candidates = staged(distinct.join(near, "uid").select("uid", F.col("keeper.row").alias("row"), "fp", "root"), "candidates")
     links = _verified(texts.select("row", "text"), candidates, size, similarity, together)
     roots = connected_components(links).select(F.col("node").alias("uid"), "root")
-    rooted = staged(distinct.join(roots, "uid", "left").select("fp", "first", "n", F.coalesce("root", "uid").alias("root")), "rooted")
-    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
-    named = rooted.join(names, "root").filter("n > 1 or members > 1").select("fp", "n", "component_id")
-    out = join_hot(rows, named, "fp", rows.count())
+    return named_components(rows, distinct, roots)
+
+
+def similar_documents(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id reachable by links of the similarity or more) of every row of docs."""
+    out = _grouped(numbered(docs.select("doc_id", "text")).withColumnRenamed(ROW, "row"), size, similarity, together)
     return out.select("doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def deduplicate_similar(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """docs, in its own columns, with the document of the smallest id of each component; rows without id stay."""
-    gone = similar_documents(docs, size, similarity).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def deduplicate_similar(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
+    """docs, in its own columns, with one row of each component."""
+    docs = numbered(docs)
+    out = _grouped(docs.select("doc_id", F.col(ROW).alias("row"), "text"), size, similarity, together)
+    return without(docs, out.filter("row <> keeper.row"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -99,6 +100,35 @@ def test_deduplicate(spark):
     assert {r["doc_id"] for r in left} == want and all(r["root"] == "kept" for r in left)
 
 
+def test_deduplicate_by_rows(spark):
+    """Repeated and null ids, and columns of any name."""
+    rows_ = [(1, PASSAGE), (1, PASSAGE), (1, "other words that stand alone here"), (None, PASSAGE), (None, "only without id a b c"), (None, "only without id a b c"), (0, "x y z w")]
+    clash = {c: F.lit(c) for c in ("row", "fp", "n", "root", "uid", "keeper", "component_id")}
+    left = rows(deduplicate(docs(spark, [t for _, t in rows_], [i for i, _ in rows_]).withColumns(clash)))
+    want = [(1, PASSAGE), (1, rows_[2][1]), (None, rows_[4][1]), (0, "x y z w")]
+    assert sorted(((r["doc_id"], r["text"]) for r in left), key=str) == sorted(want, key=str)
+    assert all(r[c] == c for r in left for c in clash)
+
+
+@pytest.mark.parametrize("small", [0, 1 << 40])
+def test_hub(spark, monkeypatch, small):
+    """A star of one node with all others, joined by broadcast where it lies and plainly."""
+    monkeypatch.setattr("quillstone.llm.components.SMALL", small)
+    edges = spark.range(1, 5000).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v")).union(spark.createDataFrame([(7000, 6000)], "u long, v long"))
+    got = {r["node"]: r["root"] for r in rows(connected_components(edges))}
+    assert got == {**{k: 0 for k in range(5000)}, 6000: 6000, 7000: 6000}
+
+
+def test_many_equal_keys_under_a_condition(monkeypatch):
+    """Leaves of one key are compared in bounded steps, and pairs that are refused stay apart."""
+    monkeypatch.setattr("quillstone.llm.simhash.PAIRS", 50)
+    keys, bucket = np.sort(np.array([5] * 60 + [9] * 40, np.uint64)), np.zeros(100, np.int64)
+    kind = np.arange(100) % 3
+    got = trie_join(keys, bucket, 0, lambda u, v: kind[u] == kind[v])
+    assert got.tolist() == [next(j for j in range(100) if keys[j] == keys[i] and kind[j] == kind[i]) for i in range(100)]
+    assert trie_join(keys, bucket, 0).tolist() == [0] * 60 + [60] * 40
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm.simhash_similar import deduplicate_similar, differing, long_simhash, similar_documents
+from quillstone.llm.simhash_similar import bands, deduplicate_similar, differing, long_simhash, similar_documents
 
 from .brute import TEXTS, docs, rows
 
@@ -98,4 +98,28 @@ def test_deduplicate(spark):
     # 0 to 3 have no words; 6, 7 and 13 are one passage.
     assert {r["doc_id"] for r in left} == {0, 4, 5, 6, 8, 9, 10, 11, 12, 14} and all(r["fp"] == "kept" for r in left)
     assert rows(similar_documents(docs(spark, []))) == []
-    assert len(rows(deduplicate_similar(docs(spark, ["a b", "a b"], [None, None])))) == 2
+
+
+def test_deduplicate_by_rows(spark):
+    """Repeated and null ids, and columns of any name."""
+    a, b, c = corpus(4)[0], corpus(5)[0], corpus(6)[0]
+    near = " ".join([*a.split(), "more"])
+    given = [(1, a), (1, a), (1, b), (None, near), (None, c), (None, c), (0, "x y z w"), (2, near)]
+    clash = {k: F.lit(k) for k in ("row", "fp", "n", "root", "uid", "keeper", "first", "component_id", "bucket")}
+    left = rows(deduplicate_similar(docs(spark, [t for _, t in given], [i for i, _ in given]).withColumns(clash)))
+    assert sorted(((r["doc_id"], r["text"]) for r in left), key=str) == sorted([(1, a), (1, b), (None, c), (0, "x y z w")], key=str)
+    assert all(r[k] == k for r in left for k in clash)
+
+
+def test_recall_of_candidates(spark):
+    """Of 400 pairs at exactly 0.8 nearly all are linked, also with the bands of a much larger table."""
+    texts = boundary(7, 400)
+    pairs = [(2 * k, 2 * k + 1) for k in range(0, 400, 2)]
+    got = {r["doc_id"]: r["component_id"] for r in rows(similar_documents(docs(spark, texts).repartition(4)))}
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.98 * len(pairs)
+    for n in (10**4, 10**7, 10**9):
+        of = bands(n, 0.8)
+        assert all(len(x) == len(of[0]) for x in of) and n >> len(of[0]) <= 256
+        fps = [np.unpackbits(np.frombuffer(long_simhash(t.encode()), np.uint8)) for t in texts]
+        met = sum(any((fps[i][x] == fps[j][x]).all() for x in of) for i, j in pairs)
+        assert met >= 0.98 * len(pairs)
