@@ -48,9 +48,7 @@ def test_stages_and_run(spark):
         if name == "quality":
             want = good_ids(spark, texts)
         elif name == "near_duplicates":
-            # The similarity is estimated from 1024 bits: surely linked at 0.85, surely not under 0.72.
-            want = set(got)
-            assert first_of_groups(texts, 0.72) <= want <= first_of_groups(texts, 0.85)
+            want = first_of_groups(texts, 0.8)
         elif name == "repeated_passages":
             cut_ = plain(list(texts.items()))
             texts, want = {i: v[4].decode("utf-8", "ignore") for i, v in cut_.items()}, set(texts)
