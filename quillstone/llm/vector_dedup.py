@@ -3,10 +3,12 @@
 Equal vectors are collapsed, the others normalised in double precision and dealt over shards; each shard becomes a
 hierarchical graph whose points have few neighbours of varied direction. Every shard's vectors are searched in
 every shard's graph (a pair of shards once), many queries in lockstep. From the hits of a beam the search floods
-on through all neighbours near the threshold, so the beam caps no group of links. Each search is audited against brute
-force on a sample of its queries, and the beam is doubled until enough links are found (a beam as wide as the shard
-finds all). Hits are verified by cosine in double precision. A task returns link counts and a spanning forest, never
-pairs, and forests are united by connected components.
+on through all neighbours near the threshold, so the beam caps no group of links. Before a pair of shards is searched, a
+sample of its queries is audited against brute force: the beam is doubled until all links of `RECALL` of those that have any
+are found or, where none has, the nearest vector of `NEAREST` of them. Where no beam reaches that, the pair is compared outright, in blocks.
+`audits` reports beam and recall of every pair. Hits are verified by cosine in double precision and folded block by block into
+link counts and a spanning forest, so that neither a task nor its result ever holds the pairs of a hot group; forests
+are united by connected components.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; vectors of
 different lengths never link; rows of one id are separate vectors; a null id is never a component's name
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,10 @@ COSINE, SHARDS, SHARD_ROWS = 0.9, 8, 100_000
 DEGREE, MOST, UPPER, EF_BUILD, EF, BATCH, EXPAND = 16, 24, 12, 32, 32, 512, 4
 #: Links that must lead to a point, and room for those that are added for it.
 LINKED, ROOM = 4, 12
-AUDITED, RECALL, MARGIN = 512, 0.995, 0.05
+AUDITED, RECALL, NEAREST, MARGIN = 512, 0.995, 0.9, 0.05
+#: Bytes of a shard's vectors in double precision, pairs that a task holds at once.
+SHARD_BYTES, PAIRS = 64 << 20, 1 << 20
+COUNT, AUDIT = -1, -2
 
 
 def _select(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, m: int) -> np.ndarray:
@@ -222,10 +227,10 @@ class Graph:
         order = np.argsort(-sims, axis=1)
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
-    def within(self, q: np.ndarray, least: float, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, point) of the points found with a similarity of `least` or more."""
+    def within(self, q: np.ndarray, least: float, ef: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, point) of the points found with a similarity of some `least` or more, each pair once, in blocks."""
         near = least - MARGIN
-        out_q, out_p = [], []
+        out_q, out_p, size = [], [], 0
         # The flood also goes against the direction of links.
         src, at = np.nonzero(self.near >= 0)
         dst = self.near[src, at]
@@ -246,34 +251,61 @@ class Graph:
                     known[new] = True
                     front = new[self.x[new] @ v >= near]
                     hits.append(front)
-                hits = np.concatenate(hits)
+                hits = np.concatenate(hits).astype(np.int64)
                 out_q.append(np.full(len(hits), s + r))
                 out_p.append(hits)
-        if not out_q:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        q_, p_ = np.concatenate(out_q), np.concatenate(out_p).astype(np.int64)
-        once = np.unique(q_ * len(self.x) + p_)
-        return once // len(self.x), once % len(self.x)
+                size += len(hits)
+                if size >= PAIRS:
+                    yield np.concatenate(out_q), np.concatenate(out_p)
+                    out_q, out_p, size = [], [], 0
+        if out_q:
+            yield np.concatenate(out_q), np.concatenate(out_p)
 
 
-def search(graph: Graph, exact: np.ndarray, q: np.ndarray, least: float, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray, float]:
-    """Verified (query, point) pairs and the audited share of queries with all their links; exact has the graph's points, q the queries, in double precision."""
+def audited_beam(graph: Graph, exact: np.ndarray, q: np.ndarray, least: float, own: bool, recall: float = RECALL, nearest: float = NEAREST) -> tuple[int | None, float]:
+    """The beam that finds enough of what a sample of the queries must find, and the share that it finds; no beam where none does.
+
+    exact has the graph's points and q the queries (its own points, if `own`), in double precision.
+    """
     sample = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int)) if len(q) else np.zeros(0, int)
-    truth = set()
+    n, links, best = len(exact), [], []
     for s in range(0, len(sample), 64):
-        r, p = np.nonzero(q[sample[s : s + 64]] @ exact.T >= least)
-        truth.update(zip(sample[s : s + 64][r].tolist(), p.tolist(), strict=True))
-    ef = EF
-    while True:
-        a, b = graph.within(q.astype(np.float32), least, ef)
-        good = np.concatenate([np.einsum("ij,ij->i", q[a[s : s + 100_000]], exact[b[s : s + 100_000]]) >= least for s in range(0, len(a), 100_000)]) if len(a) else np.zeros(0, bool)
-        a, b = a[good], b[good]
-        asked = np.isin(a, sample)
-        missed = {i for i, _ in truth - set(zip(a[asked].tolist(), b[asked].tolist(), strict=True))}
-        found = 1 - len(missed) / max(1, len({i for i, _ in truth}))
-        if found >= recall or ef >= len(exact):
-            return a, b, found
+        sims = q[sample[s : s + 64]] @ exact.T
+        if own:
+            sims[np.arange(len(sims)), sample[s : s + 64]] = -np.inf
+        r, p = np.nonzero(sims >= least)
+        links.append((r + s) * n + p)
+        best.append(sims.argmax(1))
+    if n < 2 or not len(sample):
+        return EF, 1.0
+    links, best = np.concatenate(links), np.concatenate(best)
+    asked, ef = q[sample].astype(np.float32), EF
+    while ef < n:
+        if len(links):
+            missed = links
+            for a, b in graph.within(asked, least, ef):
+                missed = missed[~np.isin(missed, a * n + b)]
+            found = 1 - len(np.unique(missed // n)) / len(np.unique(links // n))
+        else:
+            ids, _ = graph.beam(asked, ef)
+            found = float((ids == best[:, None]).any(1).mean())
+        if found >= (recall if len(links) else nearest):
+            return ef, found
         ef *= 2
+    return None, 1.0
+
+
+def search(graph: Graph, exact: np.ndarray, q: np.ndarray, least: float, ef: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Verified (query, point) pairs in blocks; without a beam by comparing all."""
+    if ef is None:
+        step = max(1, PAIRS // max(1, len(exact)))
+        for s in range(0, len(q), step):
+            a, b = np.nonzero(q[s : s + step] @ exact.T >= least)
+            yield a + s, b
+        return
+    for a, b in graph.within(q.astype(np.float32), least, ef):
+        good = np.concatenate([np.einsum("ij,ij->i", q[a[s : s + 100_000]], exact[b[s : s + 100_000]]) >= least for s in range(0, len(a), 100_000)])
+        yield a[good], b[good]
 
 
 def _build(rows: pd.DataFrame) -> pd.DataFrame:
@@ -293,45 +325,67 @@ def _compare(least: float) -> Callable:
         left, right = parts[0], parts[-1]
         graph = Graph.__new__(Graph)
         graph.__dict__.update(right["graph"])
-        a, b, _ = search(graph, right["x"], left["x"], least)
-        size = len(left["uid"])
-        if len(parts) == 1:
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            a, b = np.unique(np.stack([a[a < b], b[a < b]]), axis=1)
-            uid, base = left["uid"], 0
-        else:
-            uid, base = np.concatenate([left["uid"], right["uid"]]), size
-        count = np.bincount(a, right["n"][b], len(uid)) + np.bincount(b + base, left["n"][a], len(uid))
-        labels = merge_labels(np.arange(len(uid)), a, b + base)
+        own, size = len(parts) == 1, len(left["uid"])
+        uid, base = (left["uid"], 0) if own else (np.concatenate([left["uid"], right["uid"]]), size)
+        count, labels = np.zeros(len(uid)), np.arange(len(uid))
+        ef, recall = audited_beam(graph, right["x"], left["x"], least, own)
+        for a, b in search(graph, right["x"], left["x"], least, ef):
+            if own:
+                a, b = a[a != b], b[a != b]
+            count += np.bincount(a, right["n"][b], len(uid))
+            if not own:
+                count += np.bincount(b + base, left["n"][a], len(uid))
+            labels = merge_labels(labels, a, b + base)
         some, joined = np.flatnonzero(count), np.flatnonzero(labels != np.arange(len(uid)))
-        return pd.DataFrame({"u": np.concatenate([uid[some], uid[joined]]), "v": np.concatenate([np.full(len(some), -1), uid[labels[joined]]]), "links": np.concatenate([count[some], np.zeros(len(joined))]).astype(np.int64)})
+        shards = rows["shard"].tolist()
+        out = [(uid[some], np.full(len(some), COUNT), count[some]), (uid[joined], uid[labels[joined]], np.zeros(len(joined))), ([min(shards)], [AUDIT], [max(shards)])]
+        u, v, links = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
+        last = np.arange(len(u)) == len(u) - 1
+        return pd.DataFrame({"u": u, "v": v, "links": links, "beam": pd.Series(np.where(last, ef or 0, 0), dtype="int32"), "recall": np.where(last, recall, np.nan)})
 
     return run
 
 
-def link_vectors(vectors: DataFrame, least: float = COSINE, shards: int = SHARDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """vec_id, n_links, component_id of every row of vectors (vec_id, embedding)."""
+def _distinct(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with their vector (null if it links with nothing), and the different vectors."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     whole = F.forall("vector", lambda v: F.coalesce(F.abs(v) < F.lit(math.inf), F.lit(False)))
     good = F.coalesce(whole & F.exists("vector", lambda v: v != 0), F.lit(False))
     rows = rows.withColumn("vector", F.when(good, F.col("vector")))
     distinct = rows.filter("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
-    distinct = staged(distinct.withColumn("uid", F.monotonically_increasing_id()), "distinct")
-    n = distinct.count()
-    shards = max(shards, -(-n // shard_rows))
+    return rows, staged(distinct.withColumn("uid", F.monotonically_increasing_id()), "distinct")
+
+
+def _searched(distinct: DataFrame, least: float, shards: int, shard_rows: int) -> DataFrame:
+    """Of every pair of shards: link counts (v is COUNT), edges of a forest (u, v), and its audit (v is AUDIT; u and links are the shards)."""
+    total = distinct.agg(F.count("*").alias("n"), F.coalesce(F.sum(8 * F.size("vector").cast("long")), F.lit(0)).alias("bytes")).first()
+    shards = max(shards, -(-total["n"] // shard_rows), -(-total["bytes"] // SHARD_BYTES))
     dealt = distinct.select("uid", "n", "vector", F.size("vector").alias("dim"), F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int").alias("shard"))
     graphs = staged(dealt.groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, graph binary"), "graphs")
     names = graphs.select("dim", "shard")
     pairs = names.withColumnRenamed("shard", "i").join(names.withColumnRenamed("shard", "j"), "dim").filter("i <= j")
     sides = pairs.select("dim", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("shard"))
-    met = graphs.join(sides, ["dim", "shard"]).groupBy("dim", "i", "j").applyInPandas(_compare(least), "u long, v long, links long")
-    met = staged(met, "links")
+    met = graphs.join(sides, ["dim", "shard"]).groupBy("dim", "i", "j").applyInPandas(_compare(least), "u long, v long, links long, beam int, recall double")
+    return staged(met, "links")
+
+
+def audits(vectors: DataFrame, least: float = COSINE, shards: int = SHARDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """i, j, beam (0: compared outright), recall of the audited queries of every pair of shards."""
+    met = _searched(_distinct(vectors)[1], least, shards, shard_rows)
+    return met.filter(F.col("v") == AUDIT).select(F.col("u").cast("int").alias("i"), F.col("links").cast("int").alias("j"), "beam", "recall")
+
+
+def link_vectors(vectors: DataFrame, least: float = COSINE, shards: int = SHARDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """vec_id, n_links, component_id of every row of vectors (vec_id, embedding)."""
+    rows, distinct = _distinct(vectors)
+    met = _searched(distinct, least, shards, shard_rows)
     roots = connected_components(met.filter("v >= 0").select("u", "v")).select(F.col("node").alias("uid"), "root")
-    links = met.filter("v < 0").groupBy(F.col("u").alias("uid")).agg(F.sum("links").alias("links"))
+    links = met.filter(F.col("v") == COUNT).groupBy(F.col("u").alias("uid")).agg(F.sum("links").alias("links"))
     known = distinct.join(links, "uid", "left").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     known = staged(known.select("vector", "first", "n", F.coalesce("links", F.lit(0)).alias("links"), "root"), "known")
-    named = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = known.filter("n > 1 or links > 0").join(named, "root").select("vector", "n", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
+    named = known.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
+    some = join_hot(known.filter("n > 1 or links > 0"), named, "root", known.count(), "members")
+    named = some.select("vector", "n", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
     out = join_hot(rows, named, "vector", vectors.count())
     alone = F.col("n").isNull()
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(alone, F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm.vector_dedup import Graph, link_vectors, op7_vectors_hnsw, search
+from quillstone.llm.vector_dedup import RECALL, Graph, audited_beam, audits, link_vectors, op7_vectors_hnsw, search
 
 from .brute import rows
 
@@ -44,8 +44,9 @@ def test_graph_finds_what_brute_force_finds(n):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     g = Graph(x)
     assert sorted(g.order.tolist()) == list(range(n))
-    a, b, _ = search(g, x[g.order], x, 0.9)
-    got = set(zip(a.tolist(), g.order[b].tolist()))
+    ef, found = audited_beam(g, x[g.order], x[g.order], 0.9, True)
+    assert found >= 0.9
+    got = {(i, j) for a, b in search(g, x[g.order], x, 0.9, ef) for i, j in zip(a.tolist(), g.order[b].tolist())}
     want = set(zip(*(v.tolist() for v in np.nonzero(x @ x.T >= 0.9))))
     assert got <= want | {(i, i) for i in range(n)} and len(got) >= 0.97 * len(want)
 
@@ -80,6 +81,38 @@ def test_large_group_and_recall(spark):
     assert sum(got[i][1] == want[i][1] for i in want) >= 0.95 * len(want)
 
 
+def test_pairs_come_in_blocks(monkeypatch):
+    """A group of mutual links is never held whole, and no pair comes twice."""
+    monkeypatch.setattr("quillstone.llm.vector_dedup.PAIRS", 500)
+    x = 1 + 0.01 * np.random.default_rng(1).normal(size=(300, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = Graph(x)
+    for ef in (32, None):
+        blocks = list(search(g, x[g.order], x[g.order], 0.9, ef))
+        assert max(len(a) for a, _ in blocks) < 500 + 300 and len(blocks) > 50
+        pairs = [p for a, b in blocks for p in zip(a.tolist(), b.tolist())]
+        assert len(pairs) == len(set(pairs)) == 300 * 300
+
+
+def test_audits_are_enforced(spark, monkeypatch):
+    """A graph without links finds nothing, so every pair of shards is compared outright."""
+    pairs = list(enumerate(clusters(3, 400)))
+    df = spark.createDataFrame([(i, v, 0) for i, v in pairs], SCHEMA)
+    got = rows(audits(df, shards=3))
+    assert sorted((r["i"], r["j"]) for r in got) == [(i, j) for i in range(3) for j in range(i, 3)]
+    assert all(r["recall"] >= RECALL for r in got)
+
+    def broken(self, q, ef, live=None):
+        return np.full((len(q), 1), -1), np.full((len(q), 1), -np.inf, np.float32)
+
+    x = np.array([v for _, v in pairs])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = Graph(x)
+    monkeypatch.setattr(Graph, "beam", broken)
+    assert audited_beam(g, x[g.order], x[g.order], 0.9, True) == (None, 1.0)
+    assert audited_beam(g, x[g.order], x[g.order], 0.9999999, True) == (None, 1.0)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     pairs = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
