@@ -38,6 +38,15 @@ def mean_hydropathy(sequence: Column) -> Column:
     return F.when(F.length(sequence) > 0, total / F.length(sequence))
 
 
+def of_counts(counts: Column, letters: str) -> Column:
+    """Letters in a histogram of A to Z."""
+    return sum((counts[ord(x) - 65] for x in letters), F.lit(0))
+
+
+def hydropathy_of(counts: Column) -> Column:
+    return sum((counts[ord(k) - 65] * F.lit(v) for k, v in HYDROPATHY.items()), F.lit(0.0))
+
+
 def longest_run(sequence: Column) -> Column:
     """Of one letter repeated; 0 for an empty sequence."""
     runs = F.transform(F.regexp_extract_all(sequence, F.lit(r"((.)\2*)"), F.lit(1)), F.length)

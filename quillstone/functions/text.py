@@ -91,3 +91,65 @@ def py_literal_field(value: Column, field: str) -> Column:
     """A field of a JSON object or of its single-quoted form; null if it is neither."""
     loose = F.from_json(F.regexp_replace(F.regexp_replace(value, r"\bNone\b", "null"), r"\bTrue\b", "true"), f"{field} STRING", {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})
     return F.coalesce(F.get_json_object(value, f"$.{field}"), loose[field])
+
+
+def numbered_block(text: Column) -> Column:
+    """The lines from the first to the last one that holds a number and a dot; null without any."""
+    lines = F.split(text, "\n")
+    at = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"\d+\."), i)), lambda i: i.isNotNull())
+    return F.when(F.size(at) > 0, F.array_join(F.slice(lines, F.array_min(at) + 1, F.array_max(at) - F.array_min(at) + 1), "\n"))
+
+
+def tail_stripped(text: Column) -> Column:
+    """Without what follows a trailing ", 'role..." and without quotes, brackets and white space at the end; written line feeds become real ones."""
+    t = F.regexp_replace(text, r"""(?is),\s*['"]role.*$""", "")
+    return F.regexp_replace(F.replace(t, F.lit("\\n"), F.lit("\n")), r"""['"\]\}\s]+$""", "")
+
+
+def requirement(text: Column, marker: str) -> Column:
+    """What follows the last marker, else the numbered lines, else the whole text; each without its tail."""
+    after = after_last(text, marker)
+    return F.coalesce(*[F.nullif(F.trim(tail_stripped(c)), F.lit("")) for c in (F.coalesce(numbered_block(after), after), numbered_block(text), text)])
+
+
+def keyword_parts(text: Column) -> Column:
+    """Parts between commas and semicolons (also full-width ones) and the whole text, each once whatever its case, in order."""
+    parts = F.concat(F.transform(F.split(text, "[,，;；]"), lambda x: F.trim(x)), F.array(F.trim(text)))
+    parts = F.filter(parts, lambda x: x != "")
+    low = F.transform(parts, lambda x: F.lower(x))
+    return F.filter(parts, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+
+
+def query_tokens(text: Column, stop: list[str]) -> Column:
+    """Different tokens of three characters or more that are no stop words and not digits alone, the most telling first:
+    those with marks, digits or capitals before plain ones, longer before shorter, else in their order."""
+    found = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9\-()+./]+"), F.lit(0))
+    kept = F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 3) & ~F.lower(t).isin(stop) & ~t.rlike("^[0-9]+$")))
+    keyed = F.transform(kept, lambda t, i: F.struct((~t.rlike(r"[\-()+0-9A-Z]")).alias("plain"), (-F.length(t)).alias("size"), i.alias("i"), t.alias("t")))
+    return F.transform(F.array_sort(keyed), lambda x: x["t"])
+
+
+def ec_numbers(text: Column) -> Column:
+    """Enzyme class numbers after "EC", once each, in order."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"EC[ :=]*([0-9]+(?:\.[0-9]+){1,3})"), F.lit(1)))
+
+
+def is_ec(text: Column) -> Column:
+    return F.coalesce(F.trim(text).rlike(r"^\d+(\.\d+)*$"), F.lit(False))
+
+
+def accession_list(text: Column) -> Column:
+    return F.filter(F.split(text, r"[;,\s]+"), lambda x: x != "")
+
+
+def flag(value: Column) -> Column:
+    """A number's truth, or whether there is any text that is none."""
+    return F.coalesce(value.try_cast("int") != 0, F.coalesce(value != "", F.lit(False)))
+
+
+def prefixed(text: Column, prefix: str) -> Column:
+    return F.when(F.ltrim(text).startswith(prefix), text).otherwise(F.concat(F.lit(prefix), text))
+
+
+def contains_all(text: Column, tokens: Column) -> Column:
+    return F.forall(tokens, lambda t: F.contains(F.lower(text), F.lower(t)))

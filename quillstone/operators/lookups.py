@@ -18,7 +18,7 @@ def missing_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def enrich_last(left: DataFrame, right: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """Left join with the last value of each key."""
+    """Left join with the last value of each key; the order must be total but for equal values."""
     return left.join(right.groupBy(key).agg(F.max_by(value, order).alias(value)), key, "left")
 
 

@@ -13,7 +13,7 @@ def keep_first(df: DataFrame, keys: list[str], *order) -> DataFrame:
 
 
 def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row for each key: the values of the last in the order, and the place of the first (column first_place)."""
+    """One row for each key: the values of the last in the order, which must be total, and the place of the first (column first_place)."""
     others = [c for c in df.columns if c not in keys]
     best = df.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("__row"), F.min(order).alias("first_place"))
     return best.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in others], "first_place")
@@ -65,11 +65,14 @@ def shuffled_key(key: Column, seed: int) -> Column:
 def with_ordinal(df: DataFrame, key: str, width: int = 10_000, name: str = "ordinal") -> DataFrame:
     """Places 0, 1, ... in the order of a unique integer key.
 
-    Keys are dealt into ranges of `width`; only one count for each range meets in one place.
+    Keys are dealt into ranges of `width`, and ranges by 10,000 again; only one count for each of the latter meets in one place.
     """
     bucketed = df.withColumn("__bucket", F.floor(F.col(key) / width))
-    counts = bucketed.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    before = counts.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__before"))
+    counts = bucketed.groupBy("__bucket").agg(F.count("*").alias("__n")).withColumn("__upper", F.floor(F.col("__bucket") / 10_000))
+    upper = counts.groupBy("__upper").agg(F.sum("__n").alias("__m"))
+    upper = upper.select("__upper", (F.sum("__m").over(Window.orderBy("__upper")) - F.col("__m")).alias("__base"))
+    inside = F.sum("__n").over(Window.partitionBy("__upper").orderBy("__bucket")) - F.col("__n")
+    before = counts.withColumn("__inside", inside).join(upper, "__upper").select("__bucket", (F.col("__base") + F.col("__inside")).alias("__before"))
     place = F.row_number().over(Window.partitionBy("__bucket").orderBy(key)) - 1
     return bucketed.withColumn("__place", place).join(before, "__bucket").withColumn(name, F.col("__before") + F.col("__place")).drop("__bucket", "__place", "__before")
 

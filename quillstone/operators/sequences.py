@@ -9,7 +9,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def letter_counts(sequences: pd.Series) -> pd.Series:
+    """How often each of A to Z occurs in a sequence of capitals; one pass over the bytes."""
+    return pd.Series([np.bincount(np.frombuffer((s or "").encode(), np.uint8), minlength=91)[65:91].astype(np.int32) for s in sequences])
 
 
 def tandem_share(sequence: str | None, longest: int = 20, copies: int = 3) -> float:

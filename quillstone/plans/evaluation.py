@@ -8,6 +8,7 @@ from ..functions import seq as S
 from ..functions import text as T
 from ..operators import intervals, ranking, summary
 from ..operators.constraints import allowed, best_window, charge_ok, min_count_ok, soft_penalty
+from ..operators.sequences import letter_counts
 from ..sources.tables import table
 
 SEQ = "upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'))"
@@ -59,7 +60,11 @@ RUNS = """runs AS (SELECT doc_id, max(n) AS run FROM (
 
 def composition_charge(spark, d):
     s = F.col("seq")
-    return sequences(spark, d).select("doc_id", F.length(s).alias("n"), S.charge(s).alias("charge"), S.count_letters(s, "C").alias("n_cys"), F.round(F.try_divide(S.count_letters(s, "AVILMFWY").cast("double"), F.length(s)), 6).alias("hydrophobic"), F.round(S.mean_hydropathy(s), 6).alias("hydropathy"))
+    # One histogram of letters a row, then sums over it.
+    row = sequences(spark, d).select("doc_id", F.length(s).alias("n"), letter_counts("seq").alias("c"))
+    c, n = F.col("c"), F.col("n")
+    of = lambda letters: S.of_counts(c, letters)
+    return row.select("doc_id", "n", (of("KRH") - of("DE")).alias("charge"), of("C").alias("n_cys"), F.round(F.try_divide(of("AVILMFWY").cast("double"), n), 6).alias("hydrophobic"), F.round(F.try_divide(S.hydropathy_of(c), n), 6).alias("hydropathy"))
 
 
 def _count(letters):
@@ -76,7 +81,7 @@ def kmer_entropy(spark, d):
 
 
 def best_window_query(spark, d):
-    return best_window(sequences(spark, d).filter("length(seq) >= 40"), "doc_id", "seq", 40, 20).withColumn("start", F.col("start").cast("long"))
+    return best_window(sequences(spark, d), "doc_id", "seq", 40, 20).withColumn("start", F.col("start").cast("long"))
 
 
 def window_rules(spark, d):
@@ -201,9 +206,9 @@ SELECT q.doc_id, coalesce(string_agg(p.s[i + 1], '' ORDER BY i) FILTER (i < leng
     "merged_spans": f"""WITH q AS (SELECT doc_id, {SEQ} AS s FROM documents), l AS (SELECT doc_id, unnest(range(0, length(s))) AS i, unnest(string_split(s, '')) AS c FROM q WHERE length(s) > 0),
 w AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE c IN ('W', 'V', 'K'))
 SELECT q.doc_id, count(i) FILTER (i IS NOT NULL AND (p IS NULL OR i > p + 4)) AS n_spans, coalesce(sum(CASE WHEN i IS NULL THEN 0 WHEN p IS NULL OR i > p + 4 THEN 4 ELSE i - p END), 0)::BIGINT AS n_covered FROM q LEFT JOIN w USING (doc_id) GROUP BY q.doc_id""",
-    "best_window": f"""WITH q AS (SELECT doc_id, {SEQ} AS t FROM documents), w AS (SELECT doc_id, start, t[start + 1:start + 40] AS s FROM (SELECT doc_id, t, unnest(range(0, length(t) - 39, 20)) AS start FROM q WHERE length(t) >= 40)),
-l AS (SELECT doc_id, start, s, unnest(range(1, 41)) AS i, unnest(string_split(s, '')) AS c FROM w), g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, start, c ORDER BY i) AS g FROM l),
+    "best_window": f"""WITH q AS (SELECT doc_id, {SEQ} AS t FROM documents), w AS (SELECT doc_id, start, t[start + 1:start + 40] AS s FROM (SELECT doc_id, t, unnest(range(0, greatest(length(t) - 40, 0) + 1, 20)) AS start FROM q)),
+l AS (SELECT doc_id, start, s, unnest(range(1, length(s) + 1)) AS i, unnest(string_split(s, '')) AS c FROM w WHERE length(s) > 0), g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, start, c ORDER BY i) AS g FROM l),
 r AS (SELECT doc_id, start, max(n) AS run FROM (SELECT doc_id, start, c, g, count(*) AS n FROM g GROUP BY ALL) GROUP BY ALL),
-v AS (SELECT doc_id, start, round(0.8::DOUBLE - {_count('AVILMFWY')} / 40.0::DOUBLE + 0.3::DOUBLE * ({_count('PG')} / 40.0::DOUBLE) + 0.3::DOUBLE * run / 40.0::DOUBLE + 0.2::DOUBLE * abs({_count('KRH')} - {_count('DE')}) / 40.0::DOUBLE, 6) AS score FROM w JOIN r USING (doc_id, start))
+v AS (SELECT doc_id, start, round(0.8::DOUBLE - {_count('AVILMFWY')} / 40.0::DOUBLE + 0.3::DOUBLE * ({_count('PG')} / 40.0::DOUBLE) + 0.3::DOUBLE * coalesce(run, 0) / 40.0::DOUBLE + 0.2::DOUBLE * abs({_count('KRH')} - {_count('DE')}) / 40.0::DOUBLE, 6) AS score FROM w LEFT JOIN r USING (doc_id, start))
 SELECT doc_id, start::BIGINT AS start, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score, start) AS rn FROM v) WHERE rn = 1""",
 }

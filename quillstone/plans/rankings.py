@@ -62,7 +62,7 @@ def first_wins_lookup(spark, d):
 
 
 def last_wins_enrich(spark, d):
-    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_shipdate", "l_linenumber").alias("o"), "l_suppkey")
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_shipdate", "l_linenumber", "l_suppkey").alias("o"), "l_suppkey")
     return lookups.enrich_last(table(spark, d, "orders").select("o_orderkey"), l, "o_orderkey", "l_suppkey", "o")
 
 
@@ -150,7 +150,7 @@ SELECT * FROM r WHERE rank <= CASE WHEN p_brand IN ('Brand#11', 'Brand#1') THEN
     "new_rows_antijoin": "SELECT DISTINCT o_custkey, o_orderpriority FROM orders n WHERE o_orderdate >= '1996-01-01' AND NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_orderdate < '1996-01-01' AND b.o_custkey IS NOT DISTINCT FROM n.o_custkey AND b.o_orderpriority IS NOT DISTINCT FROM n.o_orderpriority)",
     "whitelist_semijoin": "SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 5000)",
     "first_wins_lookup": "SELECT o_orderkey, o_custkey, l_linenumber, l_partkey FROM orders JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rn FROM lineitem) ON l_orderkey = o_orderkey AND rn = 1",
-    "last_wins_enrich": "SELECT o_orderkey, l_suppkey FROM orders LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC) AS rn FROM lineitem) ON l_orderkey = o_orderkey AND rn = 1",
+    "last_wins_enrich": "SELECT o_orderkey, l_suppkey FROM orders LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_suppkey DESC) AS rn FROM lineitem) ON l_orderkey = o_orderkey AND rn = 1",
     "missing_keys": "SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
     "best_instance": "SELECT n_name, level, s_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY level, s_suppkey) AS rn FROM (SELECT n_name, CASE WHEN s_acctbal > 9000 THEN 1 WHEN s_acctbal > 0 THEN 2 ELSE 3 END AS level, s_suppkey FROM nation JOIN supplier ON n_nationkey = s_nationkey)) WHERE rn = 1",
     "edge_inversion": "SELECT l_suppkey, count(DISTINCT l_partkey) AS n_parts, array_to_string(list_sort(list(DISTINCT l_partkey)), ',') AS parts FROM lineitem GROUP BY l_suppkey",

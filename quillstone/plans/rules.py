@@ -83,6 +83,10 @@ SELECT doc_id, name, penalty::BIGINT AS penalty, g[1:length(g) - 6] || t[1:3] ||
 c AS (SELECT doc_id, 'N[^P][ST][^P]' AS pattern, len(regexp_extract_all(s, 'N[^P][ST][^P]')) AS n FROM q UNION ALL SELECT doc_id, 'TH.{{2,3}}R', len(regexp_extract_all(s, 'TH.{{2,3}}R')) FROM q UNION ALL SELECT doc_id, '^[AT].{{2}}E', len(regexp_extract_all(s, '^[AT].{{2}}E')) FROM q
  UNION ALL SELECT doc_id, 'C..C', len(regexp_extract_all(s, 'C..C')) FROM q UNION ALL SELECT doc_id, '[RK]{{2}}.[DE]', len(regexp_extract_all(s, '[RK]{{2}}.[DE]')) FROM q)
 SELECT doc_id, pattern, n::BIGINT AS n FROM c WHERE n > 0""",
+    "pattern_scan": f"""WITH q AS (SELECT doc_id, {SEQ} AS s FROM documents), p(pattern, r) AS (VALUES ('N[^P][ST][^P]', 'N[^P][ST][^P]'), ('TH.{{2,3}}R', 'TH.{{2,3}}R'), ('C..C', 'C..C'), ('[RK]{{2}}.[DE]', '[RK]{{2}}.[DE]')),
+m AS (SELECT doc_id, pattern, s, len(regexp_extract_all(s, r)) AS n, regexp_split_to_array(s, r) AS parts FROM q, p)
+SELECT doc_id, pattern, n::BIGINT AS n, length(parts[1])::BIGINT AS first, (length(s) - length(parts[-1]))::BIGINT AS last FROM m WHERE n > 0
+UNION ALL SELECT doc_id, '^[AT].{{2}}E', 1, 0, 4 FROM q WHERE regexp_matches(s, '^[AT].{{2}}E')""",
     "mask_windows": f"""WITH q AS (SELECT doc_id, {SEQ} AS s FROM documents), m AS (SELECT doc_id, s, unnest(list_filter(range(0, 80), lambda i: (i >= 2 AND i < 23 OR i >= 57 AND i < 73) AND i NOT IN (6, 7, 64))) AS i FROM q)
 SELECT q.doc_id, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (i < length(m.s)), '') AS masked FROM q LEFT JOIN m USING (doc_id) GROUP BY q.doc_id""",
     "blocked_points": f"""WITH q AS (SELECT doc_id, length({SEQ}) AS n FROM documents), b AS (SELECT doc_id, n, list_filter(range(0, n), lambda p: p % 9 < 2 AND p NOT IN (0, 10)) AS x,

@@ -87,8 +87,8 @@ def keyword_filter(spark, d):
 
 
 def query_cascade(spark, d):
-    """Documents with the first words of the stated items: all of them, else two neighbours, else any."""
-    items = asked(table(spark, d, "benchmark"), "item_id").select("item_id", F.concat_ws(" ", F.slice(T.tokens(F.col("text")), 1, 4)).alias("text"))
+    """Documents with the words of the stated items: all of them, else two neighbours, else any."""
+    items = asked(table(spark, d, "benchmark"), "item_id").select("item_id", "text")
     return search.cascade(table(spark, d, "documents"), "doc_id", items, "item_id", "text").select("item_id", "doc_id", F.col("level").cast("long").alias("level"))
 
 
@@ -126,6 +126,16 @@ QUALITY = """n AS (SELECT *, row_number() OVER (PARTITION BY query_id, relevant
 TERMS = """dt AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_-]+')) AS t FROM documents) GROUP BY ALL), qt AS (SELECT item_id, t, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_-]+')) AS t FROM benchmark WHERE item_id % 100 = 0) GROUP BY ALL)"""
 
 ORACLES = {
+    "negative_sample_hit": """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings), t AS (SELECT count(*) AS n FROM v), h AS (SELECT id, ('0x' || md5(id || '|3')[1:15])::BIGINT AS h FROM v), p AS (SELECT id AS negative, row_number() OVER (ORDER BY h) - 1 AS place FROM h),
+w AS (SELECT id AS query_id, x, unnest(range(0, 36)) AS try, ('0x' || md5(id || '|4')[1:15])::BIGINT % n AS start FROM v, t WHERE id % 100 = 0),
+f AS (SELECT query_id, x, negative, row_number() OVER (PARTITION BY query_id ORDER BY try) AS rank FROM w, t JOIN p ON place = (start + try) % n WHERE negative <> query_id),
+s AS (SELECT query_id, any_value(f.x) AS x, count(*) AS n, count(DISTINCT negative) AS n_distinct, max(list_dot_product(f.x, v.x)) AS best FROM f JOIN v ON v.id = negative WHERE rank <= 31 GROUP BY query_id)
+SELECT query_id, n, n_distinct, 0 AS self, list_dot_product(x, x) > best AS hit FROM s""",
+    "repeat_fraction": """WITH q AS (SELECT doc_id, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS s FROM documents), l AS (SELECT doc_id, i, c, n FROM (SELECT doc_id, length(s) AS n, unnest(range(1, length(s) + 1)) AS i, unnest(string_split(s, '')) AS c FROM q WHERE length(s) > 0)),
+e AS (SELECT a.doc_id, k.w, a.i, a.i - row_number() OVER (PARTITION BY a.doc_id, k.w ORDER BY a.i) AS g FROM l a, (SELECT unnest(range(1, 21)) AS w) k JOIN l b ON b.doc_id = a.doc_id AND b.i = a.i + k.w AND b.c = a.c WHERE k.w <= a.n // 2),
+r AS (SELECT doc_id, w, min(i) AS s, max(i) + w AS e FROM e GROUP BY doc_id, w, g HAVING count(*) >= 2 * w),
+c AS (SELECT doc_id, count(DISTINCT p) AS k FROM (SELECT doc_id, unnest(range(s, e + 1)) AS p FROM r) GROUP BY doc_id)
+SELECT doc_id, round(coalesce(k, 0) / greatest(length(s), 1), 6)::DOUBLE AS repeat FROM q LEFT JOIN c USING (doc_id)""",
     "knn_topk": f"WITH {RANKED} SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
     "pairwise_score": "SELECT a.vec_id AS id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dot, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "retrieval_map_mrr_auc": f"WITH {RANKED}, {QUALITY} SELECT query_id, round(ap, 6) AS ap, round(mrr, 6) AS mrr, round(CASE WHEN p > 0 AND a > p THEN (p * (a - p) - (s - p * (p + 1) / 2)) / (p * (a - p)) ELSE 0 END, 6)::DOUBLE AS auc, p AS n_relevant FROM g",
@@ -138,7 +148,7 @@ x AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.
 y AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x) SELECT * FROM y WHERE rank <= 10""",
     "substring_token_score": "SELECT doc_id, (CASE WHEN contains(lower(text), 'the thing') THEN 5 ELSE 0 END + len(list_filter(regexp_extract_all(lower(text), '[a-z0-9_-]+'), lambda t: t IN ('the', 'thing'))))::BIGINT AS score FROM documents",
     "keyword_filter": "SELECT doc_id, lang FROM documents WHERE (contains(lower(text), 'the') OR contains(lower(text), 'une')) AND contains(lower(text), 'of the') AND contains(lower(text), 'ing')",
-    "query_cascade": """WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_-]+')[1:4]) AS x, regexp_extract_all(lower(text), '[a-z0-9_-]+')[1:4] AS y FROM benchmark WHERE item_id % 100 = 0), o AS (SELECT item_id, list_filter(y, lambda v, i: list_position(y, v) = i) AS t FROM q),
+    "query_cascade": """WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_-]+')) AS x, regexp_extract_all(lower(text), '[a-z0-9_-]+') AS y FROM benchmark WHERE item_id % 100 = 0), o AS (SELECT item_id, list_filter(y, lambda v, i: list_position(y, v) = i) AS t FROM q),
 v AS (SELECT item_id, 1 AS level, t AS terms FROM o UNION ALL SELECT item_id, 2, t[i:i + 1] FROM (SELECT item_id, t, unnest(range(1, len(t))) AS i FROM o) UNION ALL SELECT item_id, 3, [unnest(t)] FROM o),
 d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_-]+')) AS w FROM documents), m AS (SELECT DISTINCT item_id, doc_id, level FROM v JOIN d ON list_has_all(w, terms)), b AS (SELECT item_id, min(level) AS level FROM m GROUP BY item_id)
 SELECT item_id, doc_id, level::BIGINT AS level FROM m JOIN b USING (item_id, level)""",

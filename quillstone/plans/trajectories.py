@@ -95,7 +95,7 @@ def props_json(spark, d):
     e = table(spark, d, "events").select("event_id", "props")
     loose = F.when(F.col("event_id") % 3 == 0, F.translate("props", '"', "'")).when(F.col("event_id") % 3 == 1, F.col("props")).otherwise(F.concat(F.lit("not json "), F.col("props")))
     fields = ["k", "session", "page", "a"]
-    return e.select("event_id", *[T.py_literal_field(loose, f).alias(f"f_{f}") for f in fields[:1]], F.length("props").alias("n"))
+    return e.select("event_id", *[T.py_literal_field(loose, f).alias(f"f_{f}") for f in fields], F.length("props").alias("n"))
 
 
 def tool_call_parse(spark, d):
@@ -147,7 +147,7 @@ z AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED P
     "role_validation": "SELECT conv_id, count(*) AS n_turns, count(*) FILTER (coalesce(role = 'system' AND turn > 0 OR role NOT IN ('system', 'user', 'assistant', 'tool'), true)) AS n_bad, count(*) FILTER (role = 'assistant') AS n_assistant FROM conversations GROUP BY conv_id",
     "session_key_hash": """WITH x AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'Session /' || conv_id ELSE 'req-' || left(sha256(coalesce(text, '')), 8) END AS session FROM conversations)
 SELECT conv_id, turn, session, left(trim(lower(regexp_replace(session, '[^A-Za-z0-9._-]+', '-', 'g')), '-'), 64) || '-' || left(sha256(session), 8) AS folder FROM x""",
-    "props_json": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN props->>'$.k' END AS f_k, length(props)::INT AS n FROM events",
+    "props_json": "SELECT event_id, " + ", ".join(f"CASE WHEN event_id % 3 < 2 THEN props->>'$.{f}' END AS f_{f}" for f in ("k", "session", "page", "a")) + ", length(props)::INT AS n FROM events",
     "tool_call_parse": "SELECT event_id, event_type AS name, event_id AS v FROM events",
     "running_best_delta": f"""WITH {EVENTS}, b AS (SELECT user_id, event_id, max(score) OVER (w ROWS UNBOUNDED PRECEDING) AS best, max(score) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_best FROM e WHERE success WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id, event_id, round(best, 6) AS best, round(prev_best, 6) AS prev_best, round(CASE WHEN prev_best IS NULL THEN best ELSE best - prev_best END, 6) AS delta FROM b""",
