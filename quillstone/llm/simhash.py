@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import ROW, by_number, numbered, staged, table
 from .components import connected_components, join_hot, merge_labels
 
 SHINGLE, BITS, BUDGET, SEED, HOT = 4, 64, 4, 42, 100_000
@@ -33,7 +33,6 @@ SHINGLE, BITS, BUDGET, SEED, HOT = 4, 64, 4, 42, 100_000
 LEAF, STEP, PAIRS = 256, 100_000, 1_000_000
 #: Rows that are joined together at least, if there are as many.
 CHUNK = 200_000
-ROW = "__quillstone_row"
 
 
 def shingle_hashes(text: bytes | None, size: int) -> Iterator[np.ndarray]:
@@ -229,21 +228,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET,
     return out.select("doc_id", "fp", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs written once with a number of each row, so that a row can be named again."""
-    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-
-
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Numbered docs without the rows named, in their own columns."""
-    return docs.join(gone.select(F.col("row").alias(ROW)), ROW, "left_anti").drop(ROW)
-
-
 def deduplicate(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
     """docs, in its own columns, with one row of each component."""
     docs = numbered(docs)
     out = _grouped(docs.select("doc_id", F.col(ROW).alias("row"), "text"), size, budget, hot)
-    return without(docs, out.filter("row <> keeper.row"))
+    return by_number(docs, out.filter("row <> keeper.row"), keep=False).drop(ROW)
 
 
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,9 @@ some 15 % of their bits. Here a text has 1024 bits over its set of shingles, and
 Bands of bits deal fingerprints into buckets. Bands are as wide as the number of texts asks for (14 bits up to 4 million, two
 more for each fourfold), so that a bucket holds some hundred unrelated texts at any size, and as many that of pairs at 0.8 all
 but 0.05 % share one (73 of 14 bits; independent bits assumed). In a bucket node pairs of the trie over the first 64 bits are walked down under an error
-budget. The first round carries these 64 bits alone and only tells which fingerprints have any partner; the
-second deals those with all bits and joins pairs that differ in up to four standard deviations more bits than the
-similarity has on average. Tasks return spanning forests, whose components hold the candidates. In each component
+budget, and pairs of leaves accepted that differ in up to four standard deviations more bits than the similarity has on
+average. The first round carries 128 bits and only tells which fingerprints have any partner; the second deals those with
+all bits. Tasks return spanning forests, whose components hold the candidates. In each component
 all pairs within that limit that are not yet joined are verified by their exact sets of shingle hashes; a large
 component is cut into blocks and every pair of blocks is a group of its own. Equal fingerprints are collapsed before.
 
@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import ROW, by_number, numbered, staged
 from .components import connected_components
-from .simhash import CHUNK, ROW, named_components, numbered, shingle_hashes, trie_join, without
+from .simhash import CHUNK, named_components, shingle_hashes, trie_join
 
 WORDS, BAND, SHINGLE, SIMILARITY, BUDGET = 16, 14, 5, 0.8, 20
 #: Share of pairs at the similarity that may have no band in common; unrelated texts in a bucket, as a power of two.
@@ -86,7 +86,7 @@ def bands(n: int, similarity: float, band: int = BAND) -> list[np.ndarray]:
 
 
 def _deal(of: list[np.ndarray], whole: bool) -> Callable:
-    """A row for each band: its bucket, the first 64 bits and, in the second round, all bits."""
+    """A row for each band: its bucket, the first 64 bits, and the next 64 or, in the second round, all bits."""
     count, width = len(of), len(of[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,16 +101,14 @@ def _deal(of: list[np.ndarray], whole: bool) -> Callable:
                     band = band << 1 | single[:, :, i]
                 band += np.arange(count) << width
                 uid, first = b.column("uid").slice(s, 1000).to_numpy(), np.ascontiguousarray(bits[:, :8]).view(np.int64)[:, 0]
-                columns = [pa.array(band.ravel()), pa.array(np.repeat(uid, count)), pa.array(np.repeat(first, count))]
-                if whole:
-                    columns.append(fps.take(pa.array(np.repeat(np.arange(n), count))))
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "uid", "first", "fp"][: len(columns)])
+                more = fps.take(pa.array(np.repeat(np.arange(n), count))) if whole else pa.array(np.repeat(np.ascontiguousarray(bits[:, 8:16]).view(np.int64)[:, 0], count))
+                yield pa.RecordBatch.from_arrays([pa.array(band.ravel()), pa.array(np.repeat(uid, count)), pa.array(np.repeat(first, count)), more], names=["bucket", "uid", "first", "fp" if whole else "second"])
 
     return run
 
 
-def _join(limit: int | None) -> Callable:
-    """Rows come sorted by bucket. Without a limit: (u, u) of all that have a partner; with it: a spanning forest of links."""
+def _join(limit: int, all_bits: bool) -> Callable:
+    """Rows come sorted by bucket. Over 128 bits: (u, u) of all that have a partner; over all: a spanning forest of links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def joined(t: pa.Table) -> pa.RecordBatch:
@@ -118,18 +116,19 @@ def _join(limit: int | None) -> Callable:
             keys = keys.view(np.uint64)
             order = np.lexsort((uid, keys, bucket))
             bucket, uid, keys = bucket[order], uid[order], keys[order]
-            accept = None
-            if limit is not None:
+            if all_bits:
                 words = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, WORDS)
+            else:
+                words = np.stack([t.column("first").to_numpy(), t.column("second").to_numpy()], 1).view(np.uint64)
 
-                def accept(u, v):
-                    out = [np.bitwise_count(words[order[u[k : k + 100_000]]] ^ words[order[v[k : k + 100_000]]]).sum(1) <= limit for k in range(0, len(u), 100_000)]
-                    return np.concatenate(out) if out else np.zeros(0, bool)
+            def accept(u, v):
+                out = [np.bitwise_count(words[order[u[k : k + 100_000]]] ^ words[order[v[k : k + 100_000]]]).sum(1) <= limit for k in range(0, len(u), 100_000)]
+                return np.concatenate(out) if out else np.zeros(0, bool)
 
             labels = trie_join(keys, bucket, BUDGET, accept)
             linked = np.flatnonzero(labels != np.arange(len(labels)))
             u, v = uid[linked], uid[labels[linked]]
-            if limit is None:
+            if not all_bits:
                 u = v = np.unique(np.concatenate([u, v]))
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
@@ -202,8 +201,10 @@ def _verify(limit: int, similarity: float) -> Callable:
     return run
 
 
-def _verified(rows: DataFrame, candidates: DataFrame, size: int, similarity: float, together: int) -> DataFrame:
+def _verified(docs: DataFrame, candidates: DataFrame, size: int, similarity: float, together: int) -> DataFrame:
     """(u, v) over uid: a graph with the components of all pairs of candidates (uid, row, fp, root) of the similarity or more."""
+    # Only candidates' texts are moved.
+    rows = by_number(docs, candidates, keep=True).select(F.col(ROW).alias("row"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
     texts = rows.join(candidates, "row").select("uid", "root", "fp", "text")
     sets = staged(texts.mapInArrow(_sets(size), "uid long, root long, fp binary, shingles binary"), "sets")
     blocks = candidates.groupBy("root").agg(F.ceil(F.count("*") / together).cast("int").alias("blocks"))
@@ -215,33 +216,33 @@ def _verified(rows: DataFrame, candidates: DataFrame, size: int, similarity: flo
 
 
 def _grouped(docs: DataFrame, size: int, similarity: float, together: int) -> DataFrame:
-    """doc_id, row, fp, n, component_id, keeper of docs (doc_id, row, text)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row", F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
+    """doc_id, row, fp, n, component_id, keeper of numbered docs (doc_id, text)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(ROW).alias("row"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
     rows = staged(texts.mapInArrow(_fingerprints(size), "doc_id long, row long, fp binary"), "fingerprints")
     keeper = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min(keeper).alias("keeper"))
     distinct = staged(distinct.withColumn("uid", F.monotonically_increasing_id()), "distinct")
     of = bands(distinct.count(), similarity)
-    dealt = distinct.select("uid", "fp").mapInArrow(_deal(of, False), "bucket long, uid long, first long")
-    partners = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_join(None), "u long, v long").select(F.col("u").alias("uid")).distinct()
+    dealt = distinct.select("uid", "fp").mapInArrow(_deal(of, False), "bucket long, uid long, first long, second long")
+    partners = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_join(differing(similarity, 128, DEVIATIONS), False), "u long, v long").select(F.col("u").alias("uid")).distinct()
     partners = staged(distinct.join(partners, "uid", "left_semi").select("uid", "fp"), "partners")
     dealt = partners.mapInArrow(_deal(of, True), "bucket long, uid long, first long, fp binary")
-    links = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_join(differing(similarity, deviations=DEVIATIONS)), "u long, v long")
+    links = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_join(differing(similarity, deviations=DEVIATIONS), True), "u long, v long")
     near = connected_components(links).select(F.col("node").alias("uid"), "root")
     candidates = staged(distinct.join(near, "uid").select("uid", F.col("keeper.row").alias("row"), "fp", "root"), "candidates")
-    links = _verified(texts.select("row", "text"), candidates, size, similarity, together)
+    links = _verified(docs, candidates, size, similarity, together)
     roots = connected_components(links).select(F.col("node").alias("uid"), "root")
     return named_components(rows, distinct, roots)
 
 
 def similar_documents(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable by links of the similarity or more) of every row of docs."""
-    out = _grouped(numbered(docs.select("doc_id", "text")).withColumnRenamed(ROW, "row"), size, similarity, together)
+    out = _grouped(numbered(docs.select("doc_id", "text")), size, similarity, together)
     return out.select("doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def deduplicate_similar(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
     """docs, in its own columns, with one row of each component."""
     docs = numbered(docs)
-    out = _grouped(docs.select("doc_id", F.col(ROW).alias("row"), "text"), size, similarity, together)
-    return without(docs, out.filter("row <> keeper.row"))
+    out = _grouped(docs.select("doc_id", ROW, "text"), size, similarity, together)
+    return by_number(docs, out.filter("row <> keeper.row"), keep=False).drop(ROW)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import over_tasks, shared_dir, staged, table
+from .common import file_system, over_tasks, shared_dir, staged, table
 from .components import join_hot
 
 LEAST, PACKAGE_BYTES, RANGE_BYTES = 1000, 64 << 20, 4 << 20
@@ -42,13 +42,6 @@ NONE = -(1 << 63)
 READ = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
-def file_system(uri: str):
-    """pyarrow's file system for uri, and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
-
-
 # Writing
 
 
