@@ -15,7 +15,10 @@ STATE = "ids array<long>, values array<double>"
 
 
 def _folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/") + "/stream-" + uuid.uuid4().hex
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (shared or tempfile.mkdtemp(prefix="spark-")).rstrip("/") + "/stream-" + uuid.uuid4().hex
 
 
 def best_of_stream(spark: SparkSession, path: str, k: int = 3) -> DataFrame:
