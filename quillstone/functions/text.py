@@ -153,3 +153,17 @@ def prefixed(text: Column, prefix: str) -> Column:
 
 def contains_all(text: Column, tokens: Column) -> Column:
     return F.forall(tokens, lambda t: F.contains(F.lower(text), F.lower(t)))
+
+
+def query_variants(full: Column, terms: Column) -> Column:
+    """Queries from strict to loose as structs (label, query): the phrase, the first 5, 4 and 3 terms together, then 4, 3 and 2 where
+    there are more, any of the first ten, and any of the first twelve runs of three, then two, neighbours."""
+    n = F.size(terms)
+    row = lambda when, label, query: F.when(when, F.struct(F.lit(label).alias("label"), query.alias("query")))
+    first = lambda k: F.array_join(F.slice(terms, 1, k), " ")
+    starts = lambda size: F.when(n >= size, F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    runs = F.concat(*[F.transform(starts(size), lambda i: F.array_join(F.slice(terms, i, F.lit(size)), " ")) for size in (3, 2)])  # noqa: B023
+    rows = [row(full != "", "Q1_full_phrase", F.concat(F.lit('"'), full, F.lit('"')))]
+    rows += [row(n >= k, f"Q2_and_top{k}", first(k)) for k in (5, 4, 3)] + [row(k < F.least(F.lit(5), n), f"Q3_and_{k}", first(k)) for k in (4, 3, 2)]
+    rows += [row(n > 0, "Q4_or_top", F.array_join(F.slice(terms, F.lit(1), F.least(F.lit(10), F.greatest(F.lit(6), n))), " OR ")), row(n > 1, "Q5_ngram_or", F.array_join(F.slice(runs, 1, 12), " OR "))]
+    return F.filter(F.array(*rows), lambda x: x.isNotNull())

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import evaluation, more, rankings, records, rules, searches, trajectories
+from . import entries, evaluation, more, rankings, records, rules, searches, trajectories
 
-MODULES = (evaluation, trajectories, rankings, searches, rules, more, records)
+MODULES = (evaluation, trajectories, rankings, searches, rules, more, records, entries)
 QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLES.items()}
