@@ -61,10 +61,12 @@ BUCKETS = {
 
 def first_class(text: Column, rules: list[tuple[str, str]], otherwise: str) -> Column:
     """The class of the first rule found in the text, whatever its case and white space."""
-    low, out = F.lower(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"\s+", " ")), None
-    for name, rule in rules:
-        out = F.when(low.rlike(rule), name) if out is None else out.when(low.rlike(rule), name)
-    return out.otherwise(otherwise)
+
+    def of(low):
+        return F.coalesce(*[F.when(low.rlike(rule), name) for name, rule in rules], F.lit(otherwise))
+
+    # The plain form of a text is made once, not once a rule.
+    return F.element_at(F.transform(F.array(F.lower(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"\s+", " "))), of), 1)
 
 
 def cofactor_words(text: Column) -> Column:
@@ -94,9 +96,14 @@ def reaction_sides(equation: Column) -> Column:
 
 def location(json: Column) -> Column:
     """start and end of a place: one position, or the values of its start and end, or its begin and end; null where none is a number."""
-    at = lambda *paths: F.coalesce(*[F.get_json_object(json, p).try_cast("int") for p in paths])
-    one = at("$.position.value")
-    return F.struct(F.coalesce(one, at("$.start.value", "$.begin")).alias("start"), F.coalesce(one, at("$.end.value", "$.end")).alias("end"))
+    read = F.from_json(json, "position struct<value: string>, start struct<value: string>, begin string, end string")
+
+    def ends(x):
+        one = x["position"]["value"].try_cast("int")
+        last = F.when(x["end"].startswith("{"), F.get_json_object(x["end"], "$.value")).otherwise(x["end"])
+        return F.struct(F.coalesce(one, x["start"]["value"].try_cast("int"), x["begin"].try_cast("int")).alias("start"), F.coalesce(one, last.try_cast("int")).alias("end"))
+
+    return F.element_at(F.transform(F.array(read), ends), 1)
 
 
 def bucketed(features: Column) -> dict[str, Column]:

@@ -46,18 +46,30 @@ def soft_penalty(sequence: Column, max_cys: int, charges: tuple[int, int], max_r
     return over + sum((F.contains(sequence, F.lit(w)).cast("int") for w in forbidden), F.lit(0))
 
 
-def window_score(window: Column, size: int) -> Column:
-    """Lower is better: the share of hydrophobic letters, of glycine and proline, the longest run and the net charge of a window."""
-    share = lambda letters: S.count_letters(window, letters) / F.lit(float(size))
-    return F.lit(0.8) - share("AVILMFWY") + 0.3 * share("PG") + 0.3 * S.longest_run(window) / float(size) + 0.2 * F.abs(S.charge(window)) / float(size)
+def window_score(window: Column, size: int, desire: str) -> Column:
+    """Lower is better: the share of desired letters, of glycine and proline, the longest run, and the net charge as far as the desire
+    (DE; CH or FWY) minds it. A window that is too short is worst."""
+    share = lambda letters: S.count_letters(window, letters) / F.lit(float(size)) if letters else F.lit(0.0)
+    c = S.charge(window)
+    unwanted = -F.least(F.lit(0), c) if desire == "DE" else F.greatest(F.lit(0), -c) if desire in ("CH", "FWY") else F.lit(0)
+    score = F.lit(0.8) - share(desire) + 0.3 * share("PG") + 0.3 * S.longest_run(window) / float(size) + 0.2 * unwanted
+    return F.when(F.length(window) < size, F.lit(1e9)).otherwise(F.round(score, 6))
 
 
-def best_window(df: DataFrame, key: str, sequence: str, size: int, step: int) -> DataFrame:
-    """key, start, score of the window of the least rounded score; the first one of equals."""
-    w = df.select(key, sequence, F.explode(S.windows(F.length(sequence), size, step)).alias("start"))
-    scored = w.withColumn("score", F.round(window_score(F.substring(F.col(sequence), F.col("start") + 1, F.lit(size)), size), 6))
-    best = scored.groupBy(key).agg(F.min(F.struct("score", "start")).alias("b"))
-    return best.select(key, F.col("b.start").alias("start"), F.col("b.score").alias("score"))
+def window_texts(sequence: Column, size: int, step: int) -> Column:
+    """The letters of each sliding window, put together from pieces of `step` letters, so that a long sequence is walked once."""
+    pieces = F.regexp_extract_all(sequence, F.lit(f".{{1,{step}}}"), F.lit(0))
+    out = pieces
+    for j in range(1, -(-size // step)):
+        out = F.zip_with(out, F.slice(pieces, F.lit(j + 1), F.greatest(F.lit(0), F.size(pieces) - j)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    n = F.floor(F.greatest(F.lit(0), F.length(sequence) - size) / step).cast("int") + 1
+    return F.when(sequence == "", F.array(F.lit(""))).otherwise(F.transform(F.slice(out, F.lit(1), n), lambda w: F.left(w, F.lit(size))))
+
+
+def best_window(sequence: Column, size: int, step: int, desire: str, locked: Column) -> Column:
+    """overlap, score, start of the window with the fewest locked positions (from 0), then the least rounded score, then the first."""
+    inside = lambda start: F.size(F.filter(locked, lambda p: (p >= start) & (p < start + size)))
+    return F.array_min(F.transform(window_texts(sequence, size, step), lambda w, i: F.struct(inside(i * step).alias("overlap"), window_score(w, size, desire).alias("score"), (i * step).alias("start"))))
 
 
 def mask_positions(length: Column, spans: Column, flank: int, locked: Column) -> Column:
@@ -91,34 +103,36 @@ def merged_documents(fragments: DataFrame, key: str, order: str, lists: list[str
     return merged.withColumns({c: F.array_distinct(F.flatten(F.filter(F.col(c), lambda x: x.isNotNull()))) for c in lists})
 
 
-# Signal peptides by host, for the choice below.
+# Signal peptides and their hosts, the preferred ones first; the small letters before a cut.
 SIGNALS = [
-    ("ecoli_pelB", "ecoli", "MKYLLPTAAAGLLLLAAQPAMA"),
-    ("ecoli_ompA", "ecoli", "MKKTAIAIAVALAGFATVAQA"),
-    ("yeast_alpha", "yeast", "MRFPSIFTAVLFAASSALA"),
-    ("human_il2", "mammal", "MYRMQLLSCIALSLALVTNS"),
-    ("bacillus_amyQ", "bacillus", "MIQKRKRTVSFRLVLMCTLLFVSLPITKTSA"),
+    ("pelb", "bacteria", "MKYLLPTAAAGLLLLAAQPAMA"),
+    ("ompa", "bacteria", "MKKTAIAIAVALAGFATVAQA"),
+    ("dsba", "bacteria", "MKKIWLALAGLVLAFSASA"),
+    ("phoa", "bacteria", "MKQSTIALALLPLLFTPVTKA"),
+    ("igk", "mammal", "METDTLLLWVLLLWVPGSTG"),
+    ("il2", "mammal", "MYRMQLLSCIALSLALVTNS"),
+    ("tpa", "mammal", "MDAMKRGLCCVLLLCGAVFVSPS"),
+    ("mfalpha", "yeast", "MKFFSSGLVAGAAAATVAFVATS"),
 ]
+SMALL = "ASGTV"
 
 
-def signal_penalty(signal: Column, same_host: Column) -> Column:
-    """Small is good: another host, large letters before the cut, charged or proline near it, few positive starts, odd lengths."""
+def signal_penalty(signal: Column, other_host: Column, sequence: Column) -> Column:
+    """Small is good: another host, a letter before the cut that is not small, charged letters or prolines near it, an acid after it, odd lengths."""
     n = F.length(signal)
-    small = lambda at: F.substring(signal, n + at + 1, F.lit(1)).isin("A", "G", "S", "T", "C").cast("int")
-    tail = F.substring(signal, n - 5, F.lit(6))
-    return (
-        F.when(same_host, 0).otherwise(1)
-        + (2 - small(-3) - small(-1))
-        + S.count_letters(tail, "DEKRP")
-        + F.when(S.count_letters(F.substring(signal, 1, 6), "KR") > 0, 0).otherwise(1)
-        + F.when((n < 15) | (n > 30), 1).otherwise(0)
-    )
+    good = F.right(signal, F.lit(3)).rlike(f"^[{SMALL}].[{SMALL}]$")
+    return other_host.cast("int") + F.when(good, 0).otherwise(2) + S.count_letters(F.right(signal, F.lit(6)), "DEKRHP") + F.left(sequence, F.lit(1)).isin("D", "E").cast("int") + ((n < 15) | (n > 30)).cast("int")
 
 
 def cleavage_fixed(signal: Column) -> Column:
     """The letters three and one before the cut become A unless small; so do charged ones and prolines among the last six."""
-    n = F.length(signal)
-    head, tail = F.substring(signal, F.lit(1), n - 6), F.translate(F.substring(signal, n - 5, F.lit(6)), "DEKRP", "AAAAA")
-    fix = lambda c: F.when(c.isin("A", "G", "S", "T", "C"), c).otherwise(F.lit("A"))
-    fixed = F.concat(head, F.substring(tail, 1, 3), fix(F.substring(tail, 4, 1)), F.substring(tail, 5, 1), fix(F.substring(tail, 6, 1)))
-    return F.when(n >= 6, fixed).otherwise(signal)
+    fix = lambda at: F.when(F.substring(signal, at, 1).rlike(f"[{SMALL}]"), F.substring(signal, at, 1)).otherwise(F.lit("A"))
+    whole = F.concat(F.left(signal, F.length(signal) - 3), fix(-3), F.substring(signal, -2, 1), fix(-1))
+    head = F.left(whole, F.greatest(F.lit(0), F.length(signal) - 6))
+    return F.when(F.length(signal) >= 3, F.concat(head, F.translate(F.right(whole, F.least(F.lit(6), F.length(signal))), "DEKRHP", "AAAAAA"))).otherwise(signal)
+
+
+def with_signal(signal: Column, sequence: Column, fix: bool = True) -> Column:
+    """The signal before the sequence, with a leading M; no signal changes nothing."""
+    led = F.when(signal.startswith("M"), signal).otherwise(F.concat(F.lit("M"), signal))
+    return F.when(F.coalesce(signal, F.lit("")) != "", F.concat(cleavage_fixed(led) if fix else led, sequence)).otherwise(sequence)

@@ -28,8 +28,7 @@ def feature_buckets(spark, d):
     place = E.location(F.when(F.col("l_suppkey") % 3 == 0, one).when(F.col("l_suppkey") % 3 == 1, two).otherwise(flat))
     lines = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", kind.alias("type"), place.alias("p")).alias("f"))
     entries = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("f")).alias("features"))  # an order has a few lines
-    features = F.transform("features", lambda f: F.struct(f["type"].alias("type"), f["p"]["start"].alias("start"), f["p"]["end"].alias("end")))
-    return entries.select("l_orderkey", *[_listed(c).alias(b) for b, c in E.bucketed(features).items()])
+    return entries.select("l_orderkey", *[_listed(F.transform(c, lambda f: f["p"])).alias(b) for b, c in E.bucketed(F.col("features")).items()])
 
 
 def feature_locks(spark, d):
@@ -143,8 +142,10 @@ UNION ALL SELECT item_id, 'Q2_and_top' || k, array_to_string(t[1:k], ' ') FROM g
 UNION ALL SELECT item_id, 'Q3_and_' || k, array_to_string(t[1:k], ' ') FROM g, (VALUES (4), (3), (2)) v(k) WHERE k < least(5, n)
 UNION ALL SELECT item_id, 'Q4_or_top', array_to_string(t[1:least(10, greatest(6, n))], ' OR ') FROM g WHERE n > 0
 UNION ALL SELECT item_id, 'Q5_ngram_or', array_to_string(g, ' OR ') FROM g WHERE len(g) > 0""",
-    "keep_marks": f"""WITH q AS (SELECT doc_id, {SEQ} AS s FROM documents), m AS (SELECT doc_id, array_to_string(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN i BETWEEN 6 AND 12 OR i BETWEEN 41 AND 44 OR substring(s, i, 3) = 'ANA' OR i > 1 AND substring(s, i - 1, 3) = 'ANA' OR i > 2 AND substring(s, i - 2, 3) = 'ANA' OR substring(s, i, 2) = 'EE' OR i > 1 AND substring(s, i - 1, 2) = 'EE' THEN '#' ELSE '.' END), '') AS m FROM q)
-SELECT doc_id, length(replace(m, '.', '')) AS n_kept, md5(m) AS mask FROM m""",
+    "keep_marks": f"""WITH q AS (SELECT doc_id, {SEQ} AS s FROM documents), l AS (SELECT doc_id, unnest(range(1, length(s) + 1)) AS i, unnest(string_split(s, '')) AS c FROM q WHERE length(s) > 0),
+n AS (SELECT doc_id, i, c, coalesce(lag(c, 2) OVER w, '.') || coalesce(lag(c) OVER w, '.') || c || coalesce(lead(c) OVER w, '.') || coalesce(lead(c, 2) OVER w, '.') AS x FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT doc_id, string_agg(CASE WHEN i BETWEEN 6 AND 12 OR i BETWEEN 41 AND 44 OR contains(x, 'ANA') OR x LIKE '_EE__' OR x LIKE '__EE_' THEN '#' ELSE '.' END, '' ORDER BY i) AS m FROM n GROUP BY doc_id)
+SELECT doc_id, length(replace(coalesce(m, ''), '.', '')) AS n_kept, md5(coalesce(m, '')) AS mask FROM q LEFT JOIN m USING (doc_id)""",
     "masked_structure": f"""WITH q AS (SELECT doc_id, {SEQ} AS s FROM documents), r AS (SELECT doc_id, string_split(s, '') AS a, string_split({STRUCTURE.format('s')}, '') AS b FROM q)
 SELECT doc_id, md5(CASE WHEN a = [''] OR len(a) = 0 THEN CASE WHEN doc_id % 100 < 70 THEN '#' ELSE '' END ELSE array_to_string(list_transform(a, lambda x, i: x || CASE WHEN (ascii(x) * 31 + (i - 1) * 17 + doc_id) % 100 < 70 THEN '#' ELSE lower(b[i]) END), '') END) AS pairs FROM r""",
     "part_codes": """WITH p AS (SELECT *, p_partkey AS i, 'pynwrqhgdlvtmfsaeikc' AS l FROM part) SELECT p_partkey, CASE WHEN i < 1500 THEN l[(i // 400 % 20 + 1)::INT] || l[(i // 20 % 20 + 1)::INT] || l[(i % 20 + 1)::INT] ELSE '#' END AS code, '-7C ' || p_size || 'A' AS locked, regexp_replace(upper(p_name), '[^ACDEFGHIKLMNPQRSTVWXY]', 'X', 'g') AS motif FROM p""",

@@ -81,7 +81,10 @@ def kmer_entropy(spark, d):
 
 
 def best_window_query(spark, d):
-    return best_window(sequences(spark, d), "doc_id", "seq", 40, 20).withColumn("start", F.col("start").cast("long"))
+    """The window of 40 letters that is richest in aromatic ones and avoids what is locked: every 211th position."""
+    locked = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("seq") - 1), F.lit(211))
+    best = sequences(spark, d).select("doc_id", best_window(F.col("seq"), 40, 20, "FWY", locked).alias("b"))
+    return best.select("doc_id", F.col("b.overlap").cast("long").alias("overlap"), F.col("b.score").alias("score"), F.col("b.start").cast("long").alias("start"))
 
 
 def window_rules(spark, d):
@@ -206,9 +209,9 @@ SELECT q.doc_id, coalesce(string_agg(p.s[i + 1], '' ORDER BY i) FILTER (i < leng
     "merged_spans": f"""WITH q AS (SELECT doc_id, {SEQ} AS s FROM documents), l AS (SELECT doc_id, unnest(range(0, length(s))) AS i, unnest(string_split(s, '')) AS c FROM q WHERE length(s) > 0),
 w AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE c IN ('W', 'V', 'K'))
 SELECT q.doc_id, count(i) FILTER (i IS NOT NULL AND (p IS NULL OR i > p + 4)) AS n_spans, coalesce(sum(CASE WHEN i IS NULL THEN 0 WHEN p IS NULL OR i > p + 4 THEN 4 ELSE i - p END), 0)::BIGINT AS n_covered FROM q LEFT JOIN w USING (doc_id) GROUP BY q.doc_id""",
-    "best_window": f"""WITH q AS (SELECT doc_id, {SEQ} AS t FROM documents), w AS (SELECT doc_id, start, t[start + 1:start + 40] AS s FROM (SELECT doc_id, t, unnest(range(0, greatest(length(t) - 40, 0) + 1, 20)) AS start FROM q)),
+    "best_window": f"""WITH q AS (SELECT doc_id, {SEQ} AS t FROM documents), w AS (SELECT doc_id, start, t[start + 1:start + 40] AS s, len(list_filter(range(0, greatest(length(t), 1), 211), lambda p: p >= start AND p < start + 40)) AS overlap FROM (SELECT doc_id, t, unnest(range(0, greatest(length(t) - 40, 0) + 1, 20)) AS start FROM q)),
 l AS (SELECT doc_id, start, s, unnest(range(1, length(s) + 1)) AS i, unnest(string_split(s, '')) AS c FROM w WHERE length(s) > 0), g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, start, c ORDER BY i) AS g FROM l),
 r AS (SELECT doc_id, start, max(n) AS run FROM (SELECT doc_id, start, c, g, count(*) AS n FROM g GROUP BY ALL) GROUP BY ALL),
-v AS (SELECT doc_id, start, round(0.8::DOUBLE - {_count('AVILMFWY')} / 40.0::DOUBLE + 0.3::DOUBLE * ({_count('PG')} / 40.0::DOUBLE) + 0.3::DOUBLE * coalesce(run, 0) / 40.0::DOUBLE + 0.2::DOUBLE * abs({_count('KRH')} - {_count('DE')}) / 40.0::DOUBLE, 6) AS score FROM w LEFT JOIN r USING (doc_id, start))
-SELECT doc_id, start::BIGINT AS start, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score, start) AS rn FROM v) WHERE rn = 1""",
+v AS (SELECT doc_id, start, overlap, CASE WHEN length(s) < 40 THEN 1e9::DOUBLE ELSE round(0.8::DOUBLE - {_count('FWY')} / 40.0::DOUBLE + 0.3::DOUBLE * ({_count('PG')} / 40.0::DOUBLE) + 0.3::DOUBLE * coalesce(run, 0) / 40.0::DOUBLE + 0.2::DOUBLE * greatest(0, {_count('DE')} - {_count('KRH')}), 6) END AS score FROM w LEFT JOIN r USING (doc_id, start))
+SELECT doc_id, overlap::BIGINT AS overlap, score, start::BIGINT AS start FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overlap, score, start) AS rn FROM v) WHERE rn = 1""",
 }

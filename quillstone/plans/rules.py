@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
+from ..functions import text as T
 from ..operators import constraints as C
 from ..operators import ranking, sessions
 from ..operators import sequences as Q
@@ -14,13 +15,13 @@ from .trajectories import EVENTS, event_rows
 
 
 def signal_choice(spark, d):
-    """The signal of the least penalty for each document's host (its language, mapped to one)."""
-    host = F.create_map(*[F.lit(x) for x in ("en", "ecoli", "de", "yeast", "fr", "mammal", "es", "bacillus")])
-    docs = table(spark, d, "documents").select("doc_id", host[F.col("lang")].alias("host"))
-    signals = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(h).alias("signal_host"), F.lit(s).alias("signal")) for n, h, s in C.SIGNALS])
-    choice = docs.withColumn("s", F.explode(signals)).select("doc_id", "host", "s.*").withColumn("penalty", C.signal_penalty(F.col("signal"), F.coalesce(F.col("signal_host") == F.col("host"), F.lit(False))))
-    best = choice.groupBy("doc_id").agg(F.min(F.struct("penalty", "name", "signal")).alias("b"))  # five signals a document, combined before the shuffle
-    return best.select("doc_id", F.col("b.name").alias("name"), F.col("b.penalty").cast("long").alias("penalty"), C.cleavage_fixed(F.col("b.signal")).alias("fixed"))
+    """The signal of the least penalty for each document's host (its language, mapped to one) and first letter, and the sequence behind it."""
+    host = F.coalesce(F.create_map(*[F.lit(x) for x in ("en", "bacteria", "de", "yeast", "fr", "mammal")])[F.col("lang")], F.lit("bacteria"))
+    docs = table(spark, d, "documents").select("doc_id", T.letters(F.coalesce("text", F.lit(""))).alias("seq"), host.alias("host"))
+    one = lambda i, x: F.struct((C.signal_penalty(F.lit(x[2]), F.col("host") != x[1], F.col("seq"))).alias("penalty"), (F.col("host") != x[1]).alias("other"), F.lit(i).alias("place"), F.lit(x[0]).alias("name"), F.lit(x[2]).alias("signal"))
+    best = docs.withColumn("b", F.array_min(F.array(*[one(i, x) for i, x in enumerate(C.SIGNALS)])))
+    whole = C.with_signal(F.col("b.signal"), F.col("seq"))
+    return best.select("doc_id", F.col("b.name").alias("name"), F.col("b.penalty").cast("long").alias("penalty"), C.cleavage_fixed(F.col("b.signal")).alias("fixed"), F.md5(whole).alias("whole"))
 
 
 PATTERNS = ["N-{P}-[ST]-{P}.", "T-H-x(2,3)-R.", "<[AT]-x(2)-E.", "C-x-x-C.", "[RK](2)-x-[DE]."]
@@ -72,13 +73,13 @@ def stream_session_topk(spark, d):
 
 QUERIES = {f.__name__: f for f in (signal_choice, pattern_scan, pattern_counts, mask_windows, blocked_points, session_rounds, stream_session_topk)}
 
-SIGNAL_ROWS = ", ".join(f"('{n}', '{h}', '{s}')" for n, h, s in C.SIGNALS)
+SIGNAL_ROWS = ", ".join(f"({i}, '{n}', '{h}', '{s}')" for i, (n, h, s) in enumerate(C.SIGNALS))
 ORACLES = {
-    "signal_choice": f"""WITH s(name, host, g) AS (VALUES {SIGNAL_ROWS}), d AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'ecoli' WHEN 'de' THEN 'yeast' WHEN 'fr' THEN 'mammal' WHEN 'es' THEN 'bacillus' END AS host FROM documents),
-p AS (SELECT doc_id, name, g, CASE WHEN coalesce(s.host = d.host, false) THEN 0 ELSE 1 END + 2 - (g[-3] IN ('A', 'G', 'S', 'T', 'C'))::INT - (g[-1] IN ('A', 'G', 'S', 'T', 'C'))::INT + length(right(g, 6)) - length(translate(right(g, 6), 'DEKRP', ''))
- + CASE WHEN regexp_matches(left(g, 6), '[KR]') THEN 0 ELSE 1 END + CASE WHEN length(g) < 15 OR length(g) > 30 THEN 1 ELSE 0 END AS penalty FROM d, s),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY penalty, name) AS rn, translate(right(g, 6), 'DEKRP', 'AAAAA') AS t FROM p)
-SELECT doc_id, name, penalty::BIGINT AS penalty, g[1:length(g) - 6] || t[1:3] || CASE WHEN t[4] IN ('A', 'G', 'S', 'T', 'C') THEN t[4] ELSE 'A' END || t[5] || CASE WHEN t[6] IN ('A', 'G', 'S', 'T', 'C') THEN t[6] ELSE 'A' END AS fixed FROM b WHERE rn = 1""",
+    "signal_choice": f"""WITH s(place, name, host, g) AS (VALUES {SIGNAL_ROWS}), d AS (SELECT doc_id, {SEQ} AS t, CASE lang WHEN 'de' THEN 'yeast' WHEN 'fr' THEN 'mammal' ELSE 'bacteria' END AS host FROM documents),
+p AS (SELECT doc_id, t, name, place, g, s.host <> d.host AS other, (s.host <> d.host)::INT + CASE WHEN regexp_matches(right(g, 3), '^[ASGTV].[ASGTV]$') THEN 0 ELSE 2 END + length(right(g, 6)) - length(translate(right(g, 6), 'DEKRHP', '')) + (t[1:1] IN ('D', 'E'))::INT + (length(g) < 15 OR length(g) > 30)::INT AS penalty FROM d, s),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY penalty, other, place) AS rn, translate(right(g, 6), 'DEKRHP', 'AAAAAA') AS x FROM p),
+f AS (SELECT *, g[1:length(g) - 6] || x[1:3] || CASE WHEN contains('ASGTV', x[4]) THEN x[4] ELSE 'A' END || x[5] || CASE WHEN contains('ASGTV', x[6]) THEN x[6] ELSE 'A' END AS fixed FROM b WHERE rn = 1)
+SELECT doc_id, name, penalty::BIGINT AS penalty, fixed, md5(fixed || t) AS whole FROM f""",
     "pattern_counts": f"""WITH q AS (SELECT doc_id, {SEQ} AS s FROM documents), p(pattern) AS (VALUES ('N[^P][ST][^P]'), ('TH.{{2,3}}R'), ('^[AT].{{2}}E'), ('C..C'), ('[RK]{{2}}.[DE]')),
 c AS (SELECT doc_id, 'N[^P][ST][^P]' AS pattern, len(regexp_extract_all(s, 'N[^P][ST][^P]')) AS n FROM q UNION ALL SELECT doc_id, 'TH.{{2,3}}R', len(regexp_extract_all(s, 'TH.{{2,3}}R')) FROM q UNION ALL SELECT doc_id, '^[AT].{{2}}E', len(regexp_extract_all(s, '^[AT].{{2}}E')) FROM q
  UNION ALL SELECT doc_id, 'C..C', len(regexp_extract_all(s, 'C..C')) FROM q UNION ALL SELECT doc_id, '[RK]{{2}}.[DE]', len(regexp_extract_all(s, '[RK]{{2}}.[DE]')) FROM q)
