@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.seq import clean
+from ..operators.ranking import with_ordinal
 
 CANDIDATE = T.StructType([T.StructField("accession", T.StringType()), T.StructField("sequence", T.StringType()), T.StructField("score", T.DoubleType())])
 MESSAGE = T.StructType([T.StructField(c, T.StringType()) for c in ("role", "content", "name", "tool_call_id", "tool_calls")])
@@ -35,12 +36,12 @@ def write_csv(df: DataFrame, path: str, order: str, separator: str = ",") -> Non
     df.repartitionByRange(order).sortWithinPartitions(order).write.option("header", True).option("sep", separator).option("escape", '"').mode("overwrite").csv(path)
 
 
-def overwrite(df: DataFrame, path: str) -> None:
+def overwrite(df: DataFrame, path: str, kind: str = "parquet", **options) -> None:
     """Replaces path even where df is read from it: written beside it first, then moved."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     new, old = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(new)
+    df.write.format(kind).options(**options).save(new)
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs = at(path).getFileSystem(conf)
     if fs.exists(at(path)):
@@ -74,6 +75,18 @@ def json_documents(spark: SparkSession, path: str, schema: T.StructType | str) -
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def append_documents(df: DataFrame, path: str) -> None:
+    """Adds rows to JSON documents or arrays of them; damaged ones there are dropped, nothing there is an empty list."""
+    spark = df.sparkSession
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        df = spark.read.schema(df.schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path).unionByName(df)
+    # A reader of whole files takes one document a file, so each file gets one array.
+    rows = df.select(F.to_json(F.struct(*df.columns)).alias("row"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    blocks = rows.groupBy("part", F.floor(F.col("at") / 100_000).alias("block")).agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "row"))), lambda x: x["row"]), ","), F.lit("]")).alias("value"))
+    overwrite(blocks.select("value"), path, "text", maxRecordsPerFile=1)
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """accession, sequence (clean, not empty), score."""
     return json_documents(spark, path, CANDIDATE).withColumn("sequence", clean(F.col("sequence"))).filter("sequence <> ''")
@@ -105,6 +118,11 @@ def fasta(spark: SparkSession, path: str, longest: int | None = None) -> DataFra
     return rows.filter(F.length("sequence") <= longest) if longest else rows
 
 
+def numbered(df: DataFrame, name: str = "ordinal") -> DataFrame:
+    """Rows as read with their places 0, 1, ... in the order of files and splits."""
+    return with_ordinal(df.withColumn("__at", F.monotonically_increasing_id()), "__at", 1 << 33, name).drop("__at")
+
+
 def sequence_lines(spark: SparkSession, path: str) -> DataFrame:
     """One sequence a line, without comments and blank lines."""
     return spark.read.text(path).filter(~F.ltrim("value").startswith("#")).select(clean(F.col("value")).alias("sequence")).filter("sequence <> ''")
@@ -185,3 +203,9 @@ def write_vectors(df: DataFrame, path: str, *partitions: str) -> None:
     if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
         df = df.join(spark.read.parquet(path).select("row_id", *partitions), ["row_id", *partitions], "left_anti")
     df.write.mode("append").partitionBy(*partitions).parquet(path)
+
+
+def vectors(spark: SparkSession, *paths: str, **only: list[str]) -> DataFrame:
+    """Vector tables of several shards as one; `only` names partition columns (modality, subsection) and the values to read."""
+    df = parquet_union(spark, *paths)
+    return df.filter(reduce(lambda a, b: a & b, [F.col(c).isin(v) for c, v in only.items()], F.lit(True)))

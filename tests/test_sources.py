@@ -92,3 +92,35 @@ def test_scorers(spark):
     scorers.register("hash", scorers.HashScorer("q"))
     scorers.register("hash", scorers.HashScorer("s"))
     assert scorers.named("hash_2").columns == ("s",)
+
+
+def test_append_documents(spark, tmp_path):
+    at = str(tmp_path / "rounds")
+    rows = lambda *n: spark.createDataFrame([(f"a{i}", float(i)) for i in n], "accession string, score double")
+    S.append_documents(rows(1, 2), at)
+    S.append_documents(rows(3), at)
+    S.append_documents(rows(), at)
+    got = S.json_documents(spark, at, rows().schema)
+    assert sorted(tuple(r) for r in got.collect()) == [("a1", 1.0), ("a2", 2.0), ("a3", 3.0)]
+
+
+def test_append_to_damaged(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "part.json").write_text("no list")
+    S.append_documents(spark.createDataFrame([("a", 1.0)], "accession string, score double"), str(tmp_path / "x"))
+    assert S.json_documents(spark, str(tmp_path / "x"), "accession string, score double").count() == 1
+
+
+def test_numbered(spark, tmp_path):
+    (tmp_path / "s.fa").write_text("".join(f">p{i}\nAC{'G' * i}\n" for i in range(9)))
+    rows = S.numbered(S.fasta(spark, str(tmp_path / "s.fa"), 8)).orderBy("ordinal").collect()
+    assert [(r["ordinal"], r["id"]) for r in rows] == [(i, f"p{i}") for i in range(7)]
+
+
+def test_vectors(spark, tmp_path):
+    v = spark.createDataFrame([(1, "seq", "a", [1.0]), (2, "text", "a", [2.0]), (3, "text", "b", [3.0])], "row_id long, modality string, subsection string, vector array<double>")
+    S.write_vectors(v.filter("row_id < 3"), str(tmp_path / "v1"), "modality", "subsection")
+    S.write_vectors(v.filter("row_id = 3"), str(tmp_path / "v2"), "modality", "subsection")
+    both = [str(tmp_path / "v1"), str(tmp_path / "v2")]
+    assert sorted(r["row_id"] for r in S.vectors(spark, *both).collect()) == [1, 2, 3]
+    assert [r["row_id"] for r in S.vectors(spark, *both, modality=["text"], subsection=["b"]).collect()] == [3]
