@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, packing, quality, sharding, simhash, suffix_dedup, token_counts, vector_dedup, warc
+from . import decontamination, fill_middle, html_text, packing, quality, sharding, simhash, suffix_dedup, token_counts, vector_dedup, warc
 
-MODULES = (sharding, warc, packing, token_counts, decontamination, quality, vector_dedup, html_text, simhash, suffix_dedup)
+MODULES = (sharding, warc, packing, token_counts, decontamination, quality, vector_dedup, html_text, simhash, suffix_dedup, fill_middle)
 
 
 def queries() -> dict:
