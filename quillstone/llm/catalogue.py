@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alignment, decontamination, fill_middle, html_text, packing, quality, sharding, simhash, suffix_dedup, token_counts, vector_dedup, warc
+from . import alignment, decontamination, fill_middle, html_text, line_dedup, packing, quality, sharding, simhash, suffix_dedup, token_counts, vector_dedup, warc
 
-MODULES = (sharding, warc, packing, token_counts, decontamination, quality, vector_dedup, html_text, simhash, suffix_dedup, fill_middle, alignment)
+MODULES = (sharding, warc, packing, token_counts, decontamination, quality, vector_dedup, html_text, simhash, suffix_dedup, line_dedup, fill_middle, alignment)
 
 
 def queries() -> dict:

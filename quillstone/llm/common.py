@@ -43,9 +43,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def file_system(uri: str):
-    """pyarrow's file system for uri, and the path in it."""
+    """pyarrow's file system for uri, and the path in it; Hadoop's names of object stores are told in pyarrow's."""
     from pyarrow import fs
 
+    for name, own in (("s3a://", "s3://"), ("s3n://", "s3://"), ("dbfs:/", "file:///dbfs/")):
+        if uri.startswith(name):
+            uri = own + uri[len(name) :].lstrip("/")
     return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
 
 
