@@ -1,6 +1,8 @@
 """Alignment of two tokenizers' ids over the same bytes, and how often ids end together in the whole corpus.
 
-A task encodes a text by both tokenizers, takes the running byte ends of each id list in a dictionary
+Neither tokenizer joins anything over a single space between two other letters (the first cuts its words there, and
+no piece of the second has a space after a letter, which is asked of its vocabulary), so a text is the sum of its parts
+between such spaces, each with its space before it. A task encodes each distinct part by both tokenizers, takes the running byte ends of each id list in a dictionary
 from end to place, and intersects the two sets of ends. The common ends, sorted, slice both lists into groups;
 in each slice the tokens whose ranges end at its end are linked, each with each (one pair, unless a token has
 no bytes). What a text needs later is staged with it: its distinct linked pairs and how often each occurs.
@@ -17,10 +19,12 @@ repeated ones each time; an empty table gives no rows; further columns are ignor
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
+import re
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import staged, table, worker_cache
 
 SPACE = "▁"  # stands for the space in the second tokenizer's pieces
-FREQUENT, HELD, TEXTS = 1_000_000, 1_000_000, 64
+FREQUENT, HELD, TEXTS = 1_000_000, 1_000_000, 256
+LONGEST, KEPT = 40, 300_000
+BORDER = re.compile(r" (?<=\S )(?=\S)")
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
 
@@ -66,23 +72,30 @@ class Sides:
             self.bytes_a[i] = bytes(map(letters.__getitem__, token)) if all(map(letters.__contains__, token)) else token.encode()
         self.b = sentencepiece.SentencePieceProcessor(model_file=_file(path_b, "piece_bpe_32k.model"))
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.size_a, self.size_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
+        self.size_a, self.size_b = ([len(x) for x in side] for side in (self.bytes_a, self.bytes_b))
+        self.empty = 0 in self.size_a or 0 in self.size_b
+        # Where the second has no piece that goes on over a space, and the first cuts its words before each, parts are encoded apart.
+        cut = '"ByteLevel"' in (first := self.a.pre_tokenizer.__getstate__().decode() if self.a.pre_tokenizer else "") and '"use_regex":false' not in first
+        self.apart = cut and not any(SPACE in self.b.id_to_piece(i).lstrip(SPACE) for i in range(self.b.get_piece_size()))
         self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE, " ").encode()
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """The ids of each text on both sides, none where their bytes are not the text's."""
-        full = [k for k, t in enumerate(texts) if t]
-        out: list[tuple[list[int], list[int]]] = [([], [])] * len(texts)
-        ids_a = self.a.encode_batch_fast([" " + texts[k] for k in full], add_special_tokens=False)
-        ids_b = self.b.encode([texts[k] for k in full], num_threads=1)
-        for k, a, b in zip(full, ids_a, ids_b, strict=True):
-            want, a = b" " + texts[k].encode(), a.ids
-            if b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b)):
-                out[k] = a, b
+    def parts(self, text: str) -> list[str]:
+        """The parts of a text that both tokenizers encode each by itself, without the space before each."""
+        return BORDER.split(text) if self.apart else [text]
+
+    def found(self, parts: list[str]) -> list[tuple | None]:
+        """What align gives for each part, none where the bytes of its tokens are not its own."""
+        ids_a = self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)
+        ids_b = self.b.encode(parts, num_threads=1)
+        out = []
+        for p, a, b in zip(parts, ids_a, ids_b, strict=True):
+            want, a = b" " + p.encode(), a.ids
+            same = b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b))
+            out.append(align(self, a, b) if same else None)
         return out
 
 
@@ -100,11 +113,15 @@ def slices(size_a: list[int], size_b: list[int]) -> list[tuple[int, int, int, in
 
     A dictionary keeps the last place of each end, so tokens without bytes belong to the group that ends where they stand.
     """
-    place_a = dict(zip(np.cumsum(size_a).tolist(), range(1, len(size_a) + 1), strict=True))
-    place_b = dict(zip(np.cumsum(size_b).tolist(), range(1, len(size_b) + 1), strict=True))
+    place_a = dict(zip(accumulate(size_a), range(1, len(size_a) + 1), strict=True))
+    place_b = dict(zip(accumulate(size_b), range(1, len(size_b) + 1), strict=True))
     ends = sorted(place_a.keys() & place_b.keys())
-    cuts = [(0, 0), *((place_a[e], place_b[e]) for e in ends)]
-    return [(a, a_to, b, b_to) for (a, b), (a_to, b_to) in pairwise(cuts)]
+    out, a, b = [], 0, 0
+    for e in ends:
+        a_to, b_to = place_a[e], place_b[e]
+        out.append((a, a_to, b, b_to))
+        a, b = a_to, b_to
+    return out
 
 
 def ending(sizes: list[int], low: int, high: int) -> int:
@@ -115,23 +132,30 @@ def ending(sizes: list[int], low: int, high: int) -> int:
     return at
 
 
-def align(s: Sides, a: list[int], b: list[int]) -> tuple[int, int, str, np.ndarray, np.ndarray]:
-    """n_groups, n_links, the hash of the groups, distinct linked pairs (first id * 2**32 + second id) and how often each occurs."""
-    if not a:
-        return 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int32)
-    size_a, size_b = s.size_a[a].tolist(), s.size_b[b].tolist()
+def align(s: Sides, a: list[int], b: list[int]) -> tuple[int, int, int, str, tuple[int, ...]]:
+    """n_a, n_b, n_groups, the groups' ids as text, and the links (first id * 2**32 + second id) of two id lists over the same bytes."""
+    size_a, size_b = [s.size_a[i] for i in a], [s.size_b[i] for i in b]
     cut = slices(size_a, size_b)
-    name_a, name_b = [s.names[i] for i in a], [s.names[i] for i in b]
-    groups = ";".join([f"{','.join(name_a[i:j])}|{','.join(name_b[k:m])}" for i, j, k, m in cut])
-    links_a, links_b = [], []
-    for i, j, k, m in cut:
-        first, second = ending(size_a, i, j), ending(size_b, k, m)
-        for x in range(first, j):
-            for y in range(second, m):
-                links_a.append(a[x])
-                links_b.append(b[y])
-    pairs, times = np.unique((np.array(links_a, np.int64) << 32) | np.array(links_b, np.int64), return_counts=True)
-    return len(cut), len(links_a), hashlib.sha256(groups.encode()).hexdigest(), pairs, times.astype(np.int32)
+    name = s.names.__getitem__
+    groups = ";".join([f"{name(a[i])}|{name(b[k])}" if j - i == m - k == 1 else f"{','.join(map(name, a[i:j]))}|{','.join(map(name, b[k:m]))}" for i, j, k, m in cut])
+    if s.empty:
+        links = [a[x] << 32 | b[y] for i, j, k, m in cut for x in range(ending(size_a, i, j), j) for y in range(ending(size_b, k, m), m)]
+    else:
+        links = [a[j - 1] << 32 | b[m - 1] for _, j, _, m in cut]
+    return len(a), len(b), len(cut), groups, tuple(links)
+
+
+NOTHING = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+
+def summed(found: list[tuple | None]) -> tuple:
+    """The figures of a text from those of its parts: n_a, n_b, n_groups, n_links, hash of the groups, distinct links and how often each occurs."""
+    if not found or not all(found):
+        return NOTHING
+    n_a, n_b, n_groups, groups, links = zip(*found, strict=True)
+    links = np.fromiter(chain.from_iterable(links), np.int64)
+    pairs, times = np.unique(links, return_counts=True)
+    return sum(n_a), sum(n_b), sum(n_groups), len(links), hashlib.sha256(";".join(groups).encode()).hexdigest(), pairs, times.astype(np.int32)
 
 
 def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_a: str | None = None, path_b: str | None = None) -> DataFrame:
@@ -139,14 +163,23 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sides(path_a, path_b)
+        kept = worker_cache(f"aligned:{path_a}:{path_b}")
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()))
         for batch in batches:
             for k in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(k, TEXTS)
-                ids = s.encode(part.column("text").to_pylist())
-                made = [align(s, a, b) for a, b in ids]
-                counts = [pa.array([len(x[side]) for x in ids], pa.int64()) for side in (0, 1)]
-                more = [pa.array([x[f] for x in made], kind) for f, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())))]
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), *counts, *more], names=[f.split()[0] for f in ALIGNED.split(", ")])
+                rows = batch.slice(k, TEXTS)
+                parts = [s.parts(t) if t else [] for t in rows.column("text").to_pylist()]
+                if len(kept) > KEPT:
+                    kept.clear()
+                misses = list({p for text in parts for p in text if p not in kept})
+                kept.update(zip(misses, s.found(misses), strict=True))
+                gc.freeze()  # the collector need not look through what is kept again and again
+                made = [summed(list(map(kept.__getitem__, text))) for text in parts]
+                for p in misses:
+                    if len(p) > LONGEST:
+                        del kept[p]
+                more = [pa.array([x[f] for x in made], kind) for f, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), *more], names=[f.split()[0] for f in ALIGNED.split(", ")])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return staged(rows.mapInArrow(run, ALIGNED), "aligned")
