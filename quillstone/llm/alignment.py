@@ -35,7 +35,7 @@ from .common import staged, table, worker_cache
 
 SPACE = "▁"  # stands for the space in the second tokenizer's pieces
 FREQUENT, HELD, TEXTS = 1_000_000, 1_000_000, 256
-LONGEST, KEPT = 40, 300_000
+LONGEST, KEPT = 40, 250_000
 BORDER = re.compile(r" (?<=\S )(?=\S)")
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
@@ -169,15 +169,20 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
             for k in range(0, batch.num_rows, TEXTS):
                 rows = batch.slice(k, TEXTS)
                 parts = [s.parts(t) if t else [] for t in rows.column("text").to_pylist()]
-                if len(kept) > KEPT:
-                    kept.clear()
-                misses = list({p for text in parts for p in text if p not in kept})
-                kept.update(zip(misses, s.found(misses), strict=True))
+                young, old = kept.get("young", {}), kept.get("old", {})
+                if len(young) > KEPT:
+                    young, old = {}, young  # what is met again before the next turn comes back from the old ones
+                distinct = set(chain.from_iterable(parts))
+                unseen = distinct - young.keys()
+                misses = list(unseen - old.keys())
+                young.update((p, old[p]) for p in unseen & old.keys())
+                young.update(zip(misses, s.found(misses), strict=True))
                 gc.freeze()  # the collector need not look through what is kept again and again
-                made = [summed(list(map(kept.__getitem__, text))) for text in parts]
+                made = [summed(list(map(young.__getitem__, text))) for text in parts]
                 for p in misses:
                     if len(p) > LONGEST:
-                        del kept[p]
+                        del young[p]
+                kept["young"], kept["old"] = young, old
                 more = [pa.array([x[f] for x in made], kind) for f, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), *more], names=[f.split()[0] for f in ALIGNED.split(", ")])
 
