@@ -1,40 +1,77 @@
-"""Search over embedding tables by blocks of queries, and how good a ranking is."""
+"""Search over embedding tables by tiles of queries and rows, an inverted-file index, and how good a ranking is.
+
+Queries are dealt into chunks and rows into groups; each pair of a chunk and a group is a tile, which is one
+task's work and bounded whatever the numbers of either. Nothing passes through the driver but counts.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import top_k
 
-#: Queries of one block: what a task holds of them is bounded, and more queries take more passes.
-BLOCK = 2048
+#: Queries and rows of a tile, at most about; scores held at a time; partial results that meet in one task.
+QUERIES, ROWS, SCORES, FAN_IN = 16_384, 32_768, 1 << 22, 64
+#: Entries of relevant rows that a tile counts for.
+ENTRIES = 4_000_000
+#: Rows that an inverted file's centres are fitted on, for each centre; the most centres.
+SAMPLE, CELLS = 64, 4096
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks()
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def _filled(df: DataFrame) -> DataFrame:
+    return df.filter("vector is not null and size(vector) > 0")
+
+
+def _groups(n: int, size: int, spark) -> int:
+    """Groups for n rows: of at most `size`, and small tables still over several tasks."""
+    return max(1, -(-n // size), min(2 * spark.sparkContext.defaultParallelism, n // 2048))
+
 
+def _place(n: int) -> Column:
+    """Even groups for any ids, repeated ones too: by the place of the row, not by its id."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
 
-def _best(ids: np.ndarray, vectors: np.ndarray, k: int, skip_self: bool, least: float | None) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            own = b.column("id").to_numpy()
-            sims = vectors @ _matrix(b.column("vector")).T
+
+def _every(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def best_of_tile(k: int, skip_self: bool, least: float | None) -> Callable:
+    """The k best rows of a tile for each of its queries; of equal scores the smaller ids."""
+
+    def run(q: pa.Table, v: pa.Table) -> pa.Table:
+        ids, own = q.column("query_id").to_numpy(), v.column("id").to_numpy()
+        order = np.argsort(own, kind="stable")
+        own, rows, asked = own[order], _matrix(v.column("vector"))[order], _matrix(q.column("asked"))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        step = max(1, SCORES // max(1, len(own)))
+        for at in range(0, len(ids) if len(own) else 0, step):
+            block = ids[at : at + step]
+            sims = asked[at : at + step] @ rows.T
             if skip_self:
-                sims[ids[:, None] == own[None, :]] = -np.inf
+                sims[block[:, None] == own[None, :]] = -np.inf
             n = min(k, sims.shape[1])
-            # Ties at the cut must not depend on batches, so all rows that reach the k-th score go on.
-            bar = np.partition(sims, -n, axis=1)[:, -n]
-            q, r = np.nonzero((sims >= bar[:, None]) & (sims > (-np.inf if least is None else least)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[r]), pa.array(sims[q, r])], names=["query_id", "id", "score"])
+            bar = np.partition(sims, -n, axis=1)[:, -n][:, None]
+            above, level = sims > bar, sims == bar
+            # Rows are in the order of their ids, so the first ones at the bar fill what is left.
+            keep = above | level & (np.cumsum(level, axis=1) <= n - above.sum(axis=1, keepdims=True))
+            keep &= sims > (-np.inf if least is None else least)
+            a, b = np.nonzero(keep)
+            out.append((block[a], own[b], sims[a, b]))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(columns, ["query_id", "id", "score"])
 
     return run
 
@@ -42,30 +79,178 @@ def _best(ids: np.ndarray, vectors: np.ndarray, k: int, skip_self: bool, least:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, skip_self: bool = True, least: float | None = None) -> DataFrame:
     """query_id, id, score, rank of the k best of vectors (id, vector) by inner product for each of queries (id, vector).
 
-    Each task keeps its own k best of every query before anything is shuffled.
+    Queries go to every group of rows and rows to every chunk of queries. Each tile gives at most k rows a query,
+    of which each task keeps k before they are shuffled. Queries of one id share their k; nulls take no part.
     """
     spark = vectors.sparkSession
-    rows = vectors.select("id", "vector").filter("vector is not null and size(vector) > 0")
-    parts, block = [], []
-
-    def add():
-        ids, matrix = np.array([r["id"] for r in block], np.int64), np.array([r["vector"] for r in block], np.float64)
-        sent = spark.sparkContext.broadcast((ids, matrix))
-
-        def run(batches, sent=sent):
-            yield from _best(*sent.value, k, skip_self, least)(batches)
-
-        parts.append(rows.mapInArrow(run, "query_id long, id long, score double"))
-
-    for row in queries.select("id", "vector").filter("vector is not null and size(vector) > 0").toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK:
-            add()
-            block = []
-    if block or not parts:
-        block = block or []
-        add()
-    found = reduce(DataFrame.unionByName, parts)
+    queries, vectors = _filled(queries).select(F.col("id").alias("query_id"), F.col("vector").alias("asked")), _filled(vectors.select("id", "vector"))
+    chunks, groups = max(1, -(-queries.count() // QUERIES)), _groups(vectors.count(), ROWS, spark)
+    q = queries.withColumn("chunk", _place(chunks)).withColumn("group", _every(groups))
+    v = vectors.withColumn("group", _place(groups)).withColumn("chunk", _every(chunks))
+    found = q.groupBy("chunk", "group").cogroup(v.groupBy("chunk", "group")).applyInArrow(best_of_tile(k, skip_self, least), "query_id long, id long, score double")
+    return top_k(found, ["query_id"], k, F.desc("score"), "id")
+
+
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of all rows of a and b, each summed in the order of its components, so that a pair's score never depends on its tile."""
+    out, b = np.multiply.outer(a[:, 0], b[:, 0]), np.ascontiguousarray(b.T)
+    for j in range(1, a.shape[1]):
+        out += a[:, j : j + 1] * b[j]
+    return out
+
+
+def _entries(q: pa.Table, v: pa.Table) -> pa.Table:
+    """A row for each query of a tile: the scores and ids of its relevant rows there."""
+    own, kind, rows, asked = v.column("id").to_numpy(), v.column("kind").to_numpy(), _matrix(v.column("vector")), _matrix(q.column("asked"))
+    out: list[list] = [[], [], [], [], [], []]
+    for i, (query, want) in enumerate(zip(q.column("query_id").to_pylist(), q.column("want").to_pylist(), strict=True)):
+        at = np.flatnonzero((kind == want) & (own != query))
+        if len(at):
+            for column, x in zip(out, (query, want, v.column("group")[0].as_py(), asked[i], dots(asked[i : i + 1], rows[at])[0], own[at]), strict=True):
+                column.append(x)
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()))
+    return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["query_id", "want", "block", "asked", "scores", "ids"])
+
+
+def _count(e: pa.Table, v: pa.Table) -> pa.Table:
+    """For each block of entries: how many rows of the tile, and how many relevant ones, stand before each entry."""
+    own, kind, rows = v.column("id").to_numpy(), v.column("kind").to_numpy(), _matrix(v.column("vector"))
+    asked = _matrix(e.column("asked"))
+    query, want, block = (e.column(c).to_pylist() for c in ("query_id", "want", "block"))
+    out: list[list] = [[], [], [], [], []]
+    for i in sorted(range(len(query)), key=lambda i: query[i]) if len(own) else []:
+        if not out[0] or out[0][-1] != query[i]:  # the blocks of a query share its scores
+            others = own != query[i]
+            score, ids, relevant = dots(asked[i : i + 1], rows)[0][others], own[others], (kind == want[i])[others]
+        mine, names = np.array(e.column("scores")[i].as_py()), np.array(e.column("ids")[i].as_py(), np.int64)
+        n = len(mine)
+        # An entry comes before the row that is itself.
+        order = np.lexsort((np.r_[np.zeros(n), np.ones(len(ids))], np.r_[names, ids], -np.r_[mine, score]))
+        before, hits = (np.cumsum(np.r_[np.zeros(n, np.int64), x.astype(np.int64)][order]) for x in (np.ones(len(ids)), relevant))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        for column, x in zip(out, (query[i], block[i], v.column("group")[0].as_py() // FAN_IN, before[place[:n]], hits[place[:n]]), strict=True):
+            column.append(x)
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["query_id", "block", "node", "before", "hits"])
+
+
+def _add(rows: pa.Table) -> pa.Table:
+    """The sum of the counts of one block that meet at a node."""
+    sums = [np.sum([np.array(x) for x in rows.column(c).to_pylist()], axis=0) for c in ("before", "hits")]
+    first = rows.slice(0, 1)
+    return pa.table([first.column("query_id"), first.column("block"), pa.array([first.column("node")[0].as_py() // FAN_IN], pa.int32()), *(pa.array([x], pa.list_(pa.int64())) for x in sums)], rows.column_names)
+
+
+def quality_by_counts(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """query_id, ap, mrr, auc, n_relevant of the ranking of all vectors (id, vector, kind) but itself for each of queries (id, vector, kind).
+
+    Relevant are rows of the query's kind. No ranking is made: the rank of a relevant row is one more than the rows
+    that stand before it (by score, then by id), and each tile counts those among its own rows. Counts of a block of
+    relevant rows are added in a tree of at most FAN_IN at a time. What is shuffled grows with queries times relevant rows.
+    """
+    spark = vectors.sparkSession
+    vectors = _filled(vectors.select("id", "vector", F.col("kind").cast("long").alias("kind")))
+    queries = _filled(queries).select(F.col("id").alias("query_id"), F.col("vector").alias("asked"), F.col("kind").cast("long").alias("want"))
+    n, kinds = vectors.count(), vectors.groupBy("kind").agg(F.count("*").alias("n"))
+    entries = queries.groupBy(F.col("want").alias("kind")).count().join(kinds, "kind").agg(F.sum(F.col("count") * F.col("n"))).first()[0] or 0
+    chunks, groups = max(1, -(-queries.count() // QUERIES)), _groups(n, ROWS, spark)
+    grouped = vectors.withColumn("group", _place(groups))
+    q = queries.withColumn("chunk", _place(chunks)).withColumn("group", _every(groups))
+    v = grouped.withColumn("chunk", _every(chunks))
+    found = q.groupBy("chunk", "group").cogroup(v.groupBy("chunk", "group")).applyInArrow(_entries, "query_id long, want long, block int, asked array<double>, scores array<double>, ids array<long>")
+    # Blocks of a query meet in one chunk where they fit, so that its scores are taken once a group.
+    parts = max(chunks, -(-entries // ENTRIES))
+    spread = F.pmod(F.xxhash64("query_id") + F.floor(F.col("block") * F.lit(ROWS) / F.lit(ENTRIES)), F.lit(parts)).cast("int")
+    e = found.withColumn("chunk", spread).withColumn("group", _every(groups))
+    v = grouped.withColumn("chunk", _every(parts))
+    counts = e.groupBy("chunk", "group").cogroup(v.groupBy("chunk", "group")).applyInArrow(_count, "query_id long, block int, node int, before array<long>, hits array<long>")
+    nodes = groups
+    while nodes > 1:
+        counts = counts.groupBy("query_id", "block", "node").applyInArrow(_add, counts.schema)
+        nodes = -(-nodes // FAN_IN)
+    each = counts.select("query_id", F.transform(F.arrays_zip("before", "hits"), lambda x: F.struct((x["before"] + 1).alias("rank"), (x["hits"] + 1).alias("nth"))).alias("x"))
+    total = lambda f: F.aggregate("x", F.lit(0.0), lambda a, x: a + f(x))
+    blocks = each.select("query_id", total(lambda x: x["nth"] / x["rank"]).alias("share"), F.array_min(F.col("x.rank")).alias("first"), total(lambda x: x["rank"].cast("double")).alias("ranks"), F.size("x").cast("long").alias("n"))
+    g = queries.select("query_id").distinct().join(blocks, "query_id", "left").groupBy("query_id").agg(*[F.sum(c).alias(c) for c in ("share", "ranks", "n")], F.min("first").alias("first"))
+    inside = vectors.select(F.col("id").alias("query_id")).distinct().withColumn("own", F.lit(1))
+    pos = F.coalesce("n", F.lit(0))
+    neg = F.lit(n) - F.coalesce("own", F.lit(0)) - pos
+    before = pos * neg - (F.col("ranks") - pos * (pos + 1) / 2)
+    auc = F.when((pos > 0) & (neg > 0), before / (pos * neg)).otherwise(0.0)
+    return g.join(inside, "query_id", "left").select("query_id", F.coalesce(F.col("share") / F.col("n"), F.lit(0.0)).alias("ap"), F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)).alias("mrr"), auc.alias("auc"), pos.alias("n_relevant"))
+
+
+def _centres(cells: int, rounds: int) -> Callable:
+    def run(sample: pa.Table) -> pa.Table:
+        rows = _matrix(sample.column("vector"))[np.argsort(sample.column("order").to_numpy(), kind="stable")]
+        rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+        centres = np.unique(rows, axis=0)
+        centres = centres[np.random.default_rng(7).permutation(len(centres))[:cells]]
+        for _ in range(rounds):
+            cell = np.argmax(rows @ centres.T, axis=1)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, cell, rows)
+            size = np.linalg.norm(sums, axis=1, keepdims=True)
+            centres = np.where(size > 0, sums / np.maximum(size, 1e-300), centres)
+        return pa.table([pa.array(range(len(centres)), pa.int32()), pa.array(list(centres), pa.list_(pa.float64()))], ["cell", "centre"])
+
+    return run
+
+
+def inverted_file(vectors: DataFrame, path: str, cells: int | None = None, rounds: int = 8) -> DataFrame:
+    """Writes vectors (id, vector) under path/rows by cell, and the cells' centres (returned) under path/centres.
+
+    The centres are fitted by spherical k-means on at most SAMPLE rows a cell, those of the smallest hashes; every row
+    is indexed, in the cell of the centre with the greatest inner product. By default one cell for 39 rows, at most CELLS.
+    """
+    spark = vectors.sparkSession
+    rows = _filled(vectors.select("id", "vector"))
+    cells = cells or max(1, min(rows.count() // 39, CELLS))
+    sample = rows.select("vector", F.xxhash64("id", "vector").alias("order")).orderBy("order").limit(SAMPLE * cells)
+    fitted = sample.groupBy(F.lit(0).alias("all")).applyInArrow(_centres(cells, rounds), "cell int, centre array<double>")
+    fitted.write.mode("overwrite").parquet(f"{path}/centres")
+    centres = spark.read.schema("cell int, centre array<double>").parquet(f"{path}/centres")
+    rows.withColumn("cell", F.element_at(cells_of(rows, centres, 1, "vector"), 1)).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+    return centres
+
+
+def cells_of(df: DataFrame, centres: DataFrame, probes: int, vector: str) -> Column:
+    """The cells of the `probes` centres (at most CELLS, so they are broadcast) with the greatest inner products."""
+    kept = centres.orderBy("cell").collect()
+    names, matrix = np.array([r["cell"] for r in kept], np.int32), np.array([r["centre"] for r in kept])
+    sent = df.sparkSession.sparkContext.broadcast((names, matrix))
+
+    @F.pandas_udf("array<int>")
+    def near(v: pd.Series) -> pd.Series:
+        names, matrix = sent.value
+        sims = np.stack(v.to_list()).astype(np.float64) @ matrix.T if len(v) else np.zeros((0, len(names)))
+        return pd.Series(list(names[np.argsort(-sims, axis=1, kind="stable")[:, :probes]]))
+
+    return near(vector)
+
+
+def probe(queries: DataFrame, path: str, k: int, probes: int = 8, skip_self: bool = True) -> DataFrame:
+    """query_id, id, score, rank: the k best for each of queries (id, vector) among the rows of the `probes` nearest cells of an inverted file.
+
+    Only the folders of cells that some query asks for are read. A cell of many rows is dealt over several tiles, and so are
+    the queries that ask for it.
+    """
+    spark = queries.sparkSession
+    centres = spark.read.schema("cell int, centre array<double>").parquet(f"{path}/centres")
+    asked = _filled(queries).select(F.col("id").alias("query_id"), F.col("vector").alias("asked"))
+    asked = asked.withColumn("cell", F.explode(cells_of(asked, centres, probes, "asked")))
+    wanted = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most CELLS rows
+    rows = spark.read.schema("id long, vector array<float>, cell int").parquet(f"{path}/rows").filter(F.col("cell").isin(sorted(wanted) or [-1]))
+    sizes = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    plan = spark.createDataFrame([(c, -(-wanted[c] // QUERIES), -(-n // ROWS)) for c, n in sizes.items()], "cell int, chunks int, groups int")
+    mixed = F.abs(F.xxhash64(F.monotonically_increasing_id()))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    q = asked.withColumn("at", mixed).join(F.broadcast(plan), "cell").withColumn("chunk", F.pmod("at", "chunks").cast("int")).withColumn("group", every("groups"))
+    v = rows.withColumn("at", mixed).join(F.broadcast(plan), "cell").withColumn("group", F.pmod("at", "groups").cast("int")).withColumn("chunk", every("chunks"))
+    q, v = q.select("cell", "chunk", "group", "query_id", "asked"), v.select("cell", "chunk", "group", "id", "vector")
+    keys = ["cell", "chunk", "group"]
+    found = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(best_of_tile(k, skip_self, None), "query_id long, id long, score double")
     return top_k(found, ["query_id"], k, F.desc("score"), "id")
 
 
