@@ -72,6 +72,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_-]+"), F.lit(0))
 
 
+def stem(word: Column) -> Column:
+    """A lower-case English word without its endings: plural s, ies and es, then ing and ed where three letters or more, with a vowel, are left."""
+    one = F.when(word.rlike("[^ae]ies$") & (F.length(word) > 4), F.regexp_replace(word, "ies$", "y"))
+    one = one.when(word.rlike("(ss|x|ch|sh)es$"), F.regexp_replace(word, "es$", ""))
+    one = one.when(word.rlike("[^su]s$") & (F.length(word) > 3), F.regexp_replace(word, "s$", "")).otherwise(word)
+    return F.when(one.rlike("^[a-z]{3,}(ing|ed)$") & one.rlike("[aeiouy].*(ing|ed)$"), F.regexp_replace(one, "(ing|ed)$", "")).otherwise(one)
+
+
 def keyword_match(text: Column, query: str) -> Column:
     """Space means and, a bar means or, quotes make a phrase, an empty query matches all; any case."""
     import re

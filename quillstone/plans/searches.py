@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import lookups, ranking, retrieval, search
+from ..operators import lookups, postings, ranking, retrieval, search
 from ..operators import sequences as Q
 from ..sources.tables import shared_folder, table
 
@@ -81,6 +81,22 @@ def bm25_topk(spark, d):
     return search.best_matches(search.bm25(docs, "doc_id", asked(items, "item_id"), "item_id", "text"), "doc_id", "item_id", 10).select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def item_keywords(text):
+    """Any two neighbouring words of an item as a phrase, and one of three frequent terms."""
+    t = T.tokens(text)
+    pairs = F.zip_with(t, F.slice(t, F.lit(2), F.size(t)), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    return F.array(F.concat_ws("|", F.array_compact(pairs)), F.lit("src3|the|Ways of"))
+
+
+def fielded_search(spark, d):
+    """The stated items' neighbouring words in texts, and sources or frequent words beside them."""
+    docs, path = table(spark, d, "documents").select("doc_id", "text", "source"), shared_folder(spark, "postings")
+    postings.build(docs, "doc_id", {"text": F.col("text"), "source": F.col("source")}, path)
+    items = asked(table(spark, d, "benchmark"), "item_id").select("item_id", item_keywords(F.coalesce("text", F.lit(""))).alias("keywords"))
+    found = postings.search(path, postings.parsed(items, "item_id", "keywords"), {"text": 1.0, "source": 2.0}, 10)
+    return found.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
 def substring_token_score(spark, d):
     """All texts against one stated phrase."""
     text, phrase = F.coalesce("text", F.lit("")), F.lit("the thing")
@@ -123,14 +139,32 @@ def item_fuzzy_ratio(spark, d):
     return c.join(n, "c_custkey").select("c_custkey", F.round(Q.fuzzy_ratio(F.col("c_mktsegment"), F.col("s2")), 6).alias("ratio"), F.round(Q.local_identity(F.col("c_name"), F.col("n2")), 6).alias("identity"))
 
 
-QUERIES = {f.__name__: f for f in (knn_topk, pairwise_score, retrieval_map_mrr_auc, macro_level_mean, inverted_file_topk, negative_sample_hit, token_cosine, bm25_topk, substring_token_score, keyword_filter, query_cascade, prefix_identity, repeat_fraction, page_links, item_fuzzy_ratio)}
+QUERIES = {f.__name__: f for f in (knn_topk, pairwise_score, retrieval_map_mrr_auc, macro_level_mean, inverted_file_topk, negative_sample_hit, token_cosine, bm25_topk, fielded_search, substring_token_score, keyword_filter, query_cascade, prefix_identity, repeat_fraction, page_links, item_fuzzy_ratio)}
 
 RANKED = """v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, label FROM embeddings), r AS (SELECT q.id AS query_id, q.label AS ql, v.id, v.label = q.label AS relevant, list_dot_product(q.x, v.x) AS score,
  row_number() OVER (PARTITION BY q.id ORDER BY list_dot_product(q.x, v.x) DESC, v.id) AS rank, q.label AS label FROM v q JOIN v ON q.id % 100 = 0 AND v.id <> q.id)"""
 QUALITY = """n AS (SELECT *, row_number() OVER (PARTITION BY query_id, relevant ORDER BY rank) AS nth FROM r), g AS (SELECT query_id, any_value(ql) AS label, coalesce(avg(nth / rank) FILTER (relevant), 0) AS ap, coalesce(1.0::DOUBLE / min(rank) FILTER (relevant), 0) AS mrr, count(*) FILTER (relevant) AS p, count(*) AS a, coalesce(sum(rank) FILTER (relevant), 0) AS s FROM n GROUP BY query_id)"""
 TERMS = """dt AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_-]+')) AS t FROM documents) GROUP BY ALL), qt AS (SELECT item_id, t, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_-]+')) AS t FROM benchmark WHERE item_id % 100 = 0) GROUP BY ALL)"""
 
+STEM_ONE = r"(CASE WHEN regexp_matches(x, '[^ae]ies$') AND length(x) > 4 THEN regexp_replace(x, 'ies$', 'y') WHEN regexp_matches(x, '(ss|x|ch|sh)es$') THEN regexp_replace(x, 'es$', '') WHEN regexp_matches(x, '[^su]s$') AND length(x) > 3 THEN regexp_replace(x, 's$', '') ELSE x END)"
+STEM = "(CASE WHEN regexp_matches(y, '^[a-z]{3,}(ing|ed)$') AND regexp_matches(y, '[aeiouy].*(ing|ed)$') THEN regexp_replace(y, '(ing|ed)$', '') ELSE y END)"
+
 ORACLES = {
+    "fielded_search": f"""WITH f AS (SELECT doc_id, 'text' AS field, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_-]+') AS t FROM documents UNION ALL SELECT doc_id, 'source', regexp_extract_all(lower(coalesce(source, '')), '[a-z0-9_-]+') FROM documents),
+v AS (SELECT x, {STEM.replace("y,", STEM_ONE + ",").replace("ELSE y", "ELSE " + STEM_ONE)} AS term FROM (SELECT DISTINCT unnest(t) AS x FROM f UNION SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9_-]+')) FROM benchmark UNION SELECT unnest(['src3', 'the', 'ways', 'of']))),
+w AS (SELECT doc_id, field, n, pos, term FROM (SELECT doc_id, field, len(t) AS n, unnest(t) AS x, unnest(range(len(t))) AS pos FROM f) JOIN v USING (x)),
+a AS (SELECT field, avg(len(t)) AS mean FROM f GROUP BY field), s AS (SELECT count(*) AS docs FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_-]+') AS t FROM benchmark WHERE item_id % 100 = 0),
+p AS (SELECT item_id, 0 AS clause, alt, nth, 2 AS m, x FROM (SELECT item_id, unnest(range(1, len(t))) AS alt, t FROM i), (SELECT unnest([0, 1]) AS nth), LATERAL (SELECT t[alt + nth] AS x) UNION ALL SELECT item_id, 1, c.alt, c.nth, c.m, c.x FROM i, (VALUES (0, 0, 1, 'src3'), (1, 0, 1, 'the'), (2, 0, 2, 'ways'), (2, 1, 2, 'of')) c(alt, nth, m, x)),
+q AS (SELECT item_id, clause, alt, nth, m, term FROM p JOIN v USING (x)),
+df AS (SELECT term, count(DISTINCT doc_id) AS df FROM w WHERE term IN (SELECT term FROM q) GROUP BY term),
+idf AS (SELECT item_id, clause, alt, sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) AS idf FROM q JOIN df USING (term), s GROUP BY ALL),
+h AS (SELECT item_id, clause, alt, m, doc_id, field, n, pos - nth AS start FROM q JOIN w USING (term) GROUP BY ALL HAVING count(DISTINCT nth) = m),
+tf AS (SELECT item_id, clause, alt, doc_id, field, n, count(*) AS tf FROM h GROUP BY ALL),
+t AS (SELECT item_id, clause, alt, doc_id, sum(CASE field WHEN 'text' THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END * tf / (0.25::DOUBLE + 0.75::DOUBLE * n / mean)) AS t FROM tf JOIN a USING (field) GROUP BY ALL),
+g AS (SELECT item_id, doc_id, round(sum(idf * t * 2.5::DOUBLE / (t + 1.5::DOUBLE)), 6) AS score, count(DISTINCT clause) AS had FROM t JOIN idf USING (item_id, clause, alt) GROUP BY ALL),
+c AS (SELECT item_id, count(DISTINCT clause) AS clauses FROM q GROUP BY item_id),
+y AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM g JOIN c USING (item_id) WHERE had = clauses) SELECT * FROM y WHERE rank <= 10""",
     "negative_sample_hit": """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings), t AS (SELECT count(*) AS n FROM v), h AS (SELECT id, ('0x' || md5(id || '|3')[1:15])::BIGINT AS h FROM v), p AS (SELECT id AS negative, row_number() OVER (ORDER BY h) - 1 AS place FROM h),
 w AS (SELECT id AS query_id, x, unnest(range(0, 36)) AS try, ('0x' || md5(id || '|4')[1:15])::BIGINT % n AS start FROM v, t WHERE id % 100 = 0),
 f AS (SELECT query_id, x, negative, row_number() OVER (PARTITION BY query_id ORDER BY try) AS rank FROM w, t JOIN p ON place = (start + try) % n WHERE negative <> query_id),
