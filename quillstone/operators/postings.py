@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import stem, tokens
+from ..sources.tables import shared_folder
 from .ranking import top_k
 
 POSTINGS = "term string, field string, doc long, positions array<int>, n int"
@@ -56,6 +57,9 @@ def build(docs: DataFrame, key: str, fields: dict[str, Column], path: str) -> Da
     words = docs.select(F.col(key).cast("long").alias("doc"), *texts).mapInArrow(lambda b: _rows(b, names), POSTINGS)
     stems = words.withColumn("term", stem(F.col("term"))).groupBy("term", "field", "doc")
     rows = stems.agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"), F.max("n").alias("n"))
+    # Ranges are found by a first look at the rows, so those are written before.
+    rows.write.mode("overwrite").parquet(f"{path}/rows")
+    rows = docs.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows")
     rows.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
     lengths = docs.select(*[F.size(tokens(F.coalesce(c, F.lit("")))).cast("long").alias(f) for f, c in fields.items()])
     lengths.agg(F.count("*").alias("docs"), *[F.avg(f).alias(f) for f in names]).write.mode("overwrite").parquet(f"{path}/sizes")
@@ -95,6 +99,10 @@ def search(path: str, wanted: DataFrame, weights: dict[str, float], k: int, k1:
     counted = of_terms(postings, wanted.select("term").distinct())
     df_ = counted.select("term", "doc").distinct().groupBy("term").agg(F.count("*").alias("df"))
     known = wanted.join(df_, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    # The queries' terms with their frequencies are used four times: written once.
+    asked_for = shared_folder(spark, "asked")
+    known.write.parquet(asked_for)
+    known = spark.read.schema(known.schema).parquet(asked_for)
     idf = F.log(1 + (F.lit(float(sizes["docs"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     alts = known.groupBy("query", "clause", "alt").agg(F.sum(idf).alias("idf"), F.min("df").alias("least"), F.min_by("term", F.struct("df", "nth")).alias("lead"))
     cost = alts.groupBy("query", "clause").agg(F.sum("least").alias("cost"))

@@ -4,41 +4,62 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
 def letter_counts(sequences: pd.Series) -> pd.Series:
-    """How often each of A to Z occurs in a sequence of capitals; one pass over the bytes."""
-    return pd.Series([np.bincount(np.frombuffer((s or "").encode(), np.uint8), minlength=91)[65:91].astype(np.int32) for s in sequences])
+    """How often each of A to Z occurs in a sequence of capitals: one count of (row, letter) over the whole batch."""
+    rows = [(x or "").encode() for x in sequences]
+    letters = np.frombuffer(b"".join(rows), np.uint8)
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    known = (letters >= 65) & (letters < 91)
+    counts = np.bincount(row[known] * 26 + (letters[known] - np.uint8(65)), minlength=26 * len(rows))
+    return pd.Series(list(counts.reshape(-1, 26).astype(np.int32)))
 
 
-def tandem_share(sequence: str | None, longest: int = 20, copies: int = 3) -> float:
-    """The share of letters in tandem repeats: at least `copies` equal neighbours of 1 to `longest` letters."""
-    n = len(sequence or "")
-    if not n:
-        return 0.0
-    s = np.frombuffer(sequence.encode("utf-32-le"), np.uint32)
-    covered = np.zeros(n + 1, np.int64)
-    for w in range(1, min(longest, n // 2) + 1):
+def tandem_shares(sequences: list[str | None], longest: int = 20, copies: int = 3) -> np.ndarray:
+    """Each sequence's share of letters in tandem repeats: at least `copies` equal neighbours of 1 to `longest` letters.
+
+    All sequences lie end to end, with a letter of its own before each, and are held against themselves once a shift.
+    """
+    size = np.array([len(x or "") for x in sequences], np.int64)
+    begin = np.cumsum(size + longest) - size  # as many foreign letters between two as the longest shift
+    whole = -np.arange(1, int((size + longest).sum()) + 1, dtype=np.int32)  # no two alike, so nothing repeats over a border
+    inside = np.zeros(len(whole) + 1, np.int32)
+    np.add.at(inside, begin, 1)
+    np.add.at(inside, begin + size, -1)
+    inside = np.cumsum(inside)[:-1] > 0
+    whole[inside] = np.frombuffer("".join(x or "" for x in sequences).encode("utf-32-le"), np.int32)
+    covered = np.zeros(len(whole) + 1, np.int32)
+    for w in range(1, longest + 1):
         # A stretch of k letters that equal those w before is k // w + 1 whole copies of some unit.
-        same = np.concatenate([[0], (s[w:] == s[:-w]).astype(np.int8), [0]])
-        edge = np.diff(same)
+        edge = np.diff(np.concatenate([[0], (whole[w:] == whole[:-w]).view(np.int8), [0]]))
         start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         enough = stop - start >= (copies - 1) * w
+        # Stretches of one shift do not overlap, but one's last copy may reach into the next.
         np.add.at(covered, start[enough], 1)
         np.add.at(covered, stop[enough] + w, -1)
-    return float((np.cumsum(covered)[:n] > 0).mean())
+    hit = np.concatenate([[0], np.cumsum(np.cumsum(covered)[:-1] > 0)])
+    return (hit[begin + size] - hit[begin]) / np.maximum(size, 1)
 
 
 @F.pandas_udf(DoubleType())
 def repeat_fraction(sequences: pd.Series) -> pd.Series:
-    return sequences.map(tandem_share)
+    out, rows, at = [], sequences.tolist(), 0
+    while at < len(rows):  # a few million letters at a time
+        to, letters = at, 0
+        while to < len(rows) and letters < 4_000_000:
+            letters += len(rows[to] or "")
+            to += 1
+        out.append(tandem_shares(rows[at:to]))
+        at = to
+    return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
 
 @F.pandas_udf(DoubleType())
@@ -65,24 +86,53 @@ def local_identity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else local_identity_of(x, y) for x, y in zip(a, b)])
 
 
-def pattern_spans(patterns: list[str]):
-    """A function from a sequence to all places of the patterns: (pattern, s, e), half-open, not overlapping within a pattern.
+def _placed(i: int, pattern: str):
+    def step(x, y):
+        s, e = x["at"] + y["g"], x["at"] + y["g"] + y["m"]
+        one = F.array(F.struct(F.lit(i).alias("i"), F.lit(pattern).alias("pattern"), s.alias("s"), e.alias("e")))
+        return F.struct(e.alias("at"), F.when(y["m"] > 0, F.concat(x["out"], one)).otherwise(x["out"]).alias("out"))
+
+    return step
+
+
+def pattern_spans(sequence: Column, patterns: list[str]) -> Column:
+    """All places of the patterns in a sequence: an array of (place of the pattern in the list, pattern, s, e).
 
-    Patterns that do not compile are left out, once and on the driver.
+    Spans are half-open, in order, not empty, and do not overlap within a pattern. A pattern's matches and the pieces between
+    them alternate, so their lengths add up to the places; all stays in the JVM. Patterns that do not compile are left
+    out, once and on the driver; a null sequence has no places.
     """
-    good = []
-    for p in patterns:
+    sequence, found = F.coalesce(sequence, F.lit("")), []
+    for i, p in enumerate(patterns):
         try:
-            good.append((p, re.compile(p)))
+            re.compile(p)
         except re.error:
             continue
+        matches, pieces = F.regexp_extract_all(sequence, F.lit(p), F.lit(0)), F.split(sequence, p, -1)
+        # An empty match at the very start has no piece before it.
+        pieces = F.when(F.size(pieces) == F.size(matches), F.concat(F.array(F.lit("")), pieces)).otherwise(pieces)
+        lengths = F.zip_with(matches, pieces, lambda m, g: F.struct(F.coalesce(F.length(m), F.lit(0)).alias("m"), F.coalesce(F.length(g), F.lit(0)).alias("g")))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<i:int,pattern:string,s:int,e:int>>").alias("out"))
+
+        found.append(F.aggregate(lengths, start, _placed(i, p), lambda x: x["out"]))
+    return F.concat(*found) if found else F.array().cast("array<struct<i:int,pattern:string,s:int,e:int>>")
+
+
+def longest_spans(spans: Column, most: int = 5) -> Column:
+    """The `most` longest spans of pattern_spans, the longest first; of equal ones the earlier pattern's, then the earlier place."""
+    keyed = F.transform(spans, lambda x: F.struct((x["s"] - x["e"]).alias("order"), x["i"].alias("i"), x["s"].alias("s"), x["e"].alias("e"), x["pattern"].alias("pattern")))
+    return F.slice(F.array_sort(keyed), 1, most)
+
+
+def widened(spans: Column, length: Column, win: int) -> Column:
+    """Spans as (first, last), from 1 and inclusive, at least `win` letters wide around their middle, inside the sequence."""
 
-    @F.pandas_udf("array<struct<pattern:string,s:int,e:int>>")
-    def spans(sequences: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in sequences:
-            yield batch.map(lambda s: [{"pattern": p, "s": m.start(), "e": m.end()} for p, r in good for m in r.finditer(s or "") if m.end() > m.start()])
+    def one(x):
+        wide = F.greatest(F.lit(win), x["e"] - x["s"])
+        first = F.greatest(F.lit(1), F.floor((x["s"] + 1 + x["e"]) / 2).cast("int") - F.floor(wide / 2).cast("int"))
+        return F.struct(first.alias("first"), F.least(length, first + wide - 1).alias("last"))
 
-    return spans
+    return F.transform(spans, one)
 
 
 def shortest_match(pattern: str) -> str:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import design as D
+from ..functions import entries as E
 from ..functions import seq as S
 from ..functions import text as T
 from ..operators import constraints as C
@@ -30,10 +32,36 @@ PATTERNS = ["N-{P}-[ST]-{P}.", "T-H-x(2,3)-R.", "<[AT]-x(2)-E.", "C-x-x-C.", "[R
 def pattern_scan(spark, d):
     """All places of five patterns in each sequence, as counts and as the first and last place."""
     regex = [r[0] for r in spark.createDataFrame([(p,) for p in PATTERNS], "p string").select(S.pattern_to_regex(F.col("p"))).collect()]  # the stated patterns
-    s = sequences(spark, d).select("doc_id", F.explode(Q.pattern_spans([*regex, "(bad"])("seq")).alias("x"))
+    s = sequences(spark, d).select("doc_id", F.explode(Q.pattern_spans(F.col("seq"), [*regex, "(bad"])).alias("x"))
     return s.groupBy("doc_id", F.col("x.pattern").alias("pattern")).agg(F.count("*").alias("n"), F.min("x.s").cast("long").alias("first"), F.max("x.e").cast("long").alias("last"))
 
 
+#: A catalogue of motifs as a user's table would have it: pattern and description.
+MOTIFS = [("N[^P][ST][^P]", "Asn linked site"), ("C..C", "zinc finger"), ("[RK]{2}.[DE]", "ATP or GTP site, P-loop"), ("TH.{2,3}R", "phosphate loop"), ("A[ST]{2,3}", "NADP fold"), ("[ILV]{3,}", "membrane stretch")]
+#: Which exemplars' weak rules a class of motif descriptions takes; other classes have none.
+EXEMPLARS = {"nad": "auto_nad", "flavin": "auto_nad", "atp_gtp": "auto_atp_gtp"}
+
+
+def motif_scan_rules(spark, d):
+    """Rules from the motifs found in each sequence: the five longest hits name the class and the patterns to keep; the class's
+    exemplars bound letters, charge and hydropathy in windows of 16 letters around the first three, and hydropathy in the whole."""
+    s = sequences(spark, d).select("doc_id", "seq", F.length("seq").alias("n"))
+    told = F.array(*[F.lit(t) for _, t in MOTIFS])
+    hits = s.withColumn("hits", Q.longest_spans(Q.pattern_spans(F.col("seq"), [p for p, _ in MOTIFS]))).filter("size(hits) > 0")
+    text = F.concat_ws(" ", F.transform("hits", lambda x: F.element_at(told, x["i"] + 1)))
+    hits = hits.withColumn("class", E.first_class(text, E.PATTERN_TEXT_RULES, "unknown")).withColumn("windows", Q.widened(F.slice("hits", 1, 3), F.col("n"), 16))
+    keys = F.coalesce(*[F.when(F.col("class") == c, a) for c, a in EXEMPLARS.items()])
+    rules = F.broadcast(spark.createDataFrame([r for r in D.RULES if r[0].startswith("auto_") and r[2] != "any"], D.RULE_COLUMNS).withColumnRenamed("class", "auto"))  # a fixed list
+    bound = hits.withColumn("auto", keys).join(rules, "auto")
+    spans = F.when(F.col("place") == "span", F.col("windows")).otherwise(F.array(F.struct(F.lit(1).alias("first"), F.col("n").alias("last"))))
+    bound = bound.select("doc_id", "class", "kind", "what", "divisor", "value", F.posexplode(spans).alias("nth", "w"))
+    wide = F.col("w.last") - F.col("w.first") + 1
+    value = F.when(F.col("divisor") > 0, F.greatest(F.lit(1), F.floor(wide / F.col("divisor"))).cast("double")).otherwise(F.col("value"))
+    bound = bound.select("doc_id", "class", "kind", "what", "nth", F.col("w.first").alias("first"), F.col("w.last").alias("last"), value.alias("value"))
+    kept = hits.select("doc_id", "class", F.lit("regex_allow").alias("kind"), F.explode(F.array_distinct(F.transform("hits", lambda x: x["pattern"]))).alias("what"))
+    return bound.unionByName(kept, allowMissingColumns=True)
+
+
 def pattern_counts(spark, d):
     """The same counts without leaving the JVM."""
     s = sequences(spark, d).withColumn("pattern", F.explode(F.array(*[S.pattern_to_regex(F.lit(p)) for p in PATTERNS])))
@@ -71,10 +99,24 @@ def stream_session_topk(spark, d):
     return best_of_stream(spark, f"{d}/events.parquet", k=3)
 
 
-QUERIES = {f.__name__: f for f in (signal_choice, pattern_scan, pattern_counts, mask_windows, blocked_points, session_rounds, stream_session_topk)}
+QUERIES = {f.__name__: f for f in (signal_choice, pattern_scan, motif_scan_rules, pattern_counts, mask_windows, blocked_points, session_rounds, stream_session_topk)}
 
 SIGNAL_ROWS = ", ".join(f"({i}, '{n}', '{h}', '{s}')" for i, (n, h, s) in enumerate(C.SIGNALS))
+_MOTIFS = ", ".join(f"({i}, '{p}', '{t}')" for i, (p, t) in enumerate(MOTIFS))
+_SCANS = " UNION ALL ".join(f"SELECT doc_id, s, {i} AS i, regexp_extract_all(s, '{p}') AS m, regexp_split_to_array(s, '{p}') AS g FROM q" for i, (p, _) in enumerate(MOTIFS))
+_CLASS = "CASE " + " ".join(f"WHEN regexp_matches(text, '{r}') THEN '{c}'" for c, r in E.PATTERN_TEXT_RULES) + " ELSE 'unknown' END"
+_WEAK = ", ".join(f"('{c}', '{k}', '{p}', '{w}', {v}::DOUBLE, {n})" for c, k, p, w, v, n in D.RULES if c.startswith("auto_") and p != "any")
 ORACLES = {
+    "motif_scan_rules": f"""WITH q AS (SELECT doc_id, {SEQ} AS s FROM documents), p(i, pattern, told) AS (VALUES {_MOTIFS}), x AS ({_SCANS}),
+l AS (SELECT doc_id, s, i, unnest(range(1, len(m) + 1)) AS k, unnest(m) AS m, unnest(g[1:len(m)]) AS g FROM x),
+h AS (SELECT doc_id, length(s) AS n, i, length(m) AS w, sum(length(g) + length(m)) OVER (PARTITION BY doc_id, i ORDER BY k) AS e FROM l),
+t AS (SELECT *, e - w AS b, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, i, e) AS r FROM h),
+f AS (SELECT doc_id, n, r - 1 AS nth, pattern, told, greatest(16, w) AS wide, greatest(1, (b + 1 + e) // 2 - greatest(16, w) // 2) AS first FROM t JOIN p USING (i) WHERE r <= 5),
+c AS (SELECT doc_id, any_value(n) AS n, lower(string_agg(told, ' ' ORDER BY nth)) AS text FROM f GROUP BY doc_id), k AS (SELECT doc_id, n, {_CLASS} AS class FROM c),
+a AS (SELECT *, CASE WHEN class IN ('nad', 'flavin') THEN 'auto_nad' WHEN class = 'atp_gtp' THEN 'auto_atp_gtp' END AS auto FROM k), rule(auto, kind, place, what, value, divisor) AS (VALUES {_WEAK}),
+s AS (SELECT doc_id, class, auto, 'span' AS place, nth, first, least(a.n, first + wide - 1) AS last FROM a JOIN f USING (doc_id) WHERE nth < 3 UNION ALL SELECT doc_id, class, auto, 'whole', 0, 1, n FROM a)
+SELECT doc_id, class, kind, what, nth::INT AS nth, first::INT AS first, last::INT AS last, CASE WHEN divisor > 0 THEN greatest(1, (last - first + 1) // divisor)::DOUBLE ELSE value END AS value FROM s JOIN rule USING (auto, place)
+UNION ALL SELECT DISTINCT doc_id, class, 'regex_allow', pattern, NULL, NULL, NULL, NULL FROM a JOIN f USING (doc_id)""",
     "signal_choice": f"""WITH s(place, name, host, g) AS (VALUES {SIGNAL_ROWS}), d AS (SELECT doc_id, {SEQ} AS t, CASE lang WHEN 'de' THEN 'yeast' WHEN 'fr' THEN 'mammal' ELSE 'bacteria' END AS host FROM documents),
 p AS (SELECT doc_id, t, name, place, g, s.host <> d.host AS other, (s.host <> d.host)::INT + CASE WHEN regexp_matches(right(g, 3), '^[ASGTV].[ASGTV]$') THEN 0 ELSE 2 END + length(right(g, 6)) - length(translate(right(g, 6), 'DEKRHP', '')) + (t[1:1] IN ('D', 'E'))::INT + (length(g) < 15 OR length(g) > 30)::INT AS penalty FROM d, s),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY penalty, other, place) AS rn, translate(right(g, 6), 'DEKRHP', 'AAAAAA') AS x FROM p),
