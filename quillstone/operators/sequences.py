@@ -86,13 +86,22 @@ def local_identity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else local_identity_of(x, y) for x, y in zip(a, b)])
 
 
-def _placed(i: int, pattern: str):
+SPANS = "array<struct<i:int,pattern:string,s:int,e:int>>"
+
+
+def _places(i: int, pattern: str):
     def step(x, y):
         s, e = x["at"] + y["g"], x["at"] + y["g"] + y["m"]
         one = F.array(F.struct(F.lit(i).alias("i"), F.lit(pattern).alias("pattern"), s.alias("s"), e.alias("e")))
         return F.struct(e.alias("at"), F.when(y["m"] > 0, F.concat(x["out"], one)).otherwise(x["out"]).alias("out"))
 
-    return step
+    def of(parts):
+        # An empty match at the very start has no piece before it.
+        pieces = F.when(F.size(parts["g"]) == F.size(parts["m"]), F.concat(F.array(F.lit("")), parts["g"])).otherwise(parts["g"])
+        lengths = F.zip_with(parts["m"], pieces, lambda m, g: F.struct(F.coalesce(F.length(m), F.lit(0)).alias("m"), F.coalesce(F.length(g), F.lit(0)).alias("g")))
+        return F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")), step, lambda x: x["out"])
+
+    return of
 
 
 def pattern_spans(sequence: Column, patterns: list[str]) -> Column:
@@ -108,14 +117,9 @@ def pattern_spans(sequence: Column, patterns: list[str]) -> Column:
             re.compile(p)
         except re.error:
             continue
-        matches, pieces = F.regexp_extract_all(sequence, F.lit(p), F.lit(0)), F.split(sequence, p, -1)
-        # An empty match at the very start has no piece before it.
-        pieces = F.when(F.size(pieces) == F.size(matches), F.concat(F.array(F.lit("")), pieces)).otherwise(pieces)
-        lengths = F.zip_with(matches, pieces, lambda m, g: F.struct(F.coalesce(F.length(m), F.lit(0)).alias("m"), F.coalesce(F.length(g), F.lit(0)).alias("g")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<i:int,pattern:string,s:int,e:int>>").alias("out"))
-
-        found.append(F.aggregate(lengths, start, _placed(i, p), lambda x: x["out"]))
-    return F.concat(*found) if found else F.array().cast("array<struct<i:int,pattern:string,s:int,e:int>>")
+        parts = F.struct(F.regexp_extract_all(sequence, F.lit(p), F.lit(0)).alias("m"), F.split(sequence, p, -1).alias("g"))
+        found.append(F.element_at(F.transform(F.array(parts), _places(i, p)), 1))  # the parts are made once
+    return F.concat(*found) if found else F.array().cast(SPANS)
 
 
 def longest_spans(spans: Column, most: int = 5) -> Column:

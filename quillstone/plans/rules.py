@@ -47,19 +47,21 @@ def motif_scan_rules(spark, d):
     exemplars bound letters, charge and hydropathy in windows of 16 letters around the first three, and hydropathy in the whole."""
     s = sequences(spark, d).select("doc_id", "seq", F.length("seq").alias("n"))
     told = F.array(*[F.lit(t) for _, t in MOTIFS])
-    hits = s.withColumn("hits", Q.longest_spans(Q.pattern_spans(F.col("seq"), [p for p, _ in MOTIFS]))).filter("size(hits) > 0")
+    hits = s.select("doc_id", "n", Q.longest_spans(Q.pattern_spans(F.col("seq"), [p for p, _ in MOTIFS])).alias("hits"))
     text = F.concat_ws(" ", F.transform("hits", lambda x: F.element_at(told, x["i"] + 1)))
-    hits = hits.withColumn("class", E.first_class(text, E.PATTERN_TEXT_RULES, "unknown")).withColumn("windows", Q.widened(F.slice("hits", 1, 3), F.col("n"), 16))
-    keys = F.coalesce(*[F.when(F.col("class") == c, a) for c, a in EXEMPLARS.items()])
-    rules = F.broadcast(spark.createDataFrame([r for r in D.RULES if r[0].startswith("auto_") and r[2] != "any"], D.RULE_COLUMNS).withColumnRenamed("class", "auto"))  # a fixed list
-    bound = hits.withColumn("auto", keys).join(rules, "auto")
-    spans = F.when(F.col("place") == "span", F.col("windows")).otherwise(F.array(F.struct(F.lit(1).alias("first"), F.col("n").alias("last"))))
-    bound = bound.select("doc_id", "class", "kind", "what", "divisor", "value", F.posexplode(spans).alias("nth", "w"))
-    wide = F.col("w.last") - F.col("w.first") + 1
-    value = F.when(F.col("divisor") > 0, F.greatest(F.lit(1), F.floor(wide / F.col("divisor"))).cast("double")).otherwise(F.col("value"))
-    bound = bound.select("doc_id", "class", "kind", "what", "nth", F.col("w.first").alias("first"), F.col("w.last").alias("last"), value.alias("value"))
-    kept = hits.select("doc_id", "class", F.lit("regex_allow").alias("kind"), F.explode(F.array_distinct(F.transform("hits", lambda x: x["pattern"]))).alias("what"))
-    return bound.unionByName(kept, allowMissingColumns=True)
+    hits = hits.select("doc_id", "n", E.first_class(text, E.PATTERN_TEXT_RULES, "unknown").alias("class"), Q.widened(F.slice("hits", 1, 3), F.col("n"), 16).alias("windows"), F.array_distinct(F.transform("hits", lambda x: x["pattern"])).alias("kept"))
+    weak = [F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(r[1:], ("kind", "place", "what", "value", "divisor"))]) for r in D.RULES if r[0] == auto and r[2] != "any"]) for auto in EXEMPLARS.values()]
+    rules = F.coalesce(*[F.when(F.col("class") == c, w) for c, w in zip(EXEMPLARS, weak)], F.slice(weak[0], 1, 0))
+    whole = F.array(F.struct(F.lit(1).alias("first"), F.col("n").alias("last")))
+    row = lambda kind, what, nth, first, last, value: F.struct(kind.alias("kind"), what.alias("what"), nth.alias("nth"), first.alias("first"), last.alias("last"), value.alias("value"))
+
+    def bound(r):
+        value = lambda w: F.when(r["divisor"] > 0, F.greatest(F.lit(1), F.floor((w["last"] - w["first"] + 1) / r["divisor"])).cast("double")).otherwise(r["value"])
+        return F.transform(F.when(r["place"] == "span", F.col("windows")).otherwise(whole), lambda w, i: row(r["kind"], r["what"], i, w["first"], w["last"], value(w)))
+
+    none = F.lit(None).cast("int")
+    kept = F.transform("kept", lambda p: row(F.lit("regex_allow"), p, none, none, none, F.lit(None).cast("double")))
+    return hits.select("doc_id", "class", F.explode(F.concat(F.flatten(F.transform(rules, bound)), kept)).alias("x")).select("doc_id", "class", "x.*")
 
 
 def pattern_counts(spark, d):
