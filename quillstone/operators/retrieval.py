@@ -122,14 +122,17 @@ def _count(e: pa.Table, v: pa.Table) -> pa.Table:
         if not out[0] or out[0][-1] != query[i]:  # the blocks of a query share its scores
             others = own != query[i]
             score, ids, relevant = dots(asked[i : i + 1], rows)[0][others], own[others], (kind == want[i])[others]
-        mine, names = np.array(e.column("scores")[i].as_py()), np.array(e.column("ids")[i].as_py(), np.int64)
-        n = len(mine)
-        # An entry comes before the row that is itself.
-        order = np.lexsort((np.r_[np.zeros(n), np.ones(len(ids))], np.r_[names, ids], -np.r_[mine, score]))
-        before, hits = (np.cumsum(np.r_[np.zeros(n, np.int64), x.astype(np.int64)][order]) for x in (np.ones(len(ids)), relevant))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        for column, x in zip(out, (query[i], block[i], v.column("group")[0].as_py() // FAN_IN, before[place[:n]], hits[place[:n]]), strict=True):
+            order = np.lexsort((ids, -score))
+            key, ids, hits = -score[order], ids[order], np.concatenate([[0], np.cumsum(relevant[order])])
+        mine, names = -np.array(e.column("scores")[i].as_py()), np.array(e.column("ids")[i].as_py(), np.int64)
+        # How many rows stand before an entry; of those with its very score the ones with smaller ids.
+        before, to = np.searchsorted(key, mine, "left"), np.searchsorted(key, mine, "right")
+        one = np.flatnonzero(to - before == 1)
+        many = np.flatnonzero(to - before > 1)
+        before[one] += ids[before[one]] < names[one]
+        for x in many.tolist():
+            before[x] += np.searchsorted(ids[before[x] : to[x]], names[x])
+        for column, x in zip(out, (query[i], block[i], v.column("group")[0].as_py() // FAN_IN, before, hits[before]), strict=True):
             column.append(x)
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
     return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["query_id", "block", "node", "before", "hits"])
