@@ -80,6 +80,18 @@ def stem(word: Column) -> Column:
     return F.when(one.rlike("^[a-z]{3,}(ing|ed)$") & one.rlike("[aeiouy].*(ing|ed)$"), F.regexp_replace(one, "(ing|ed)$", "")).otherwise(one)
 
 
+def stemmed(word: str) -> str:
+    """What stem gives, for one word inside a task."""
+    if word.endswith("ies") and len(word) > 4 and word[-4] not in "ae":
+        word = word[:-3] + "y"
+    elif word.endswith(("sses", "xes", "ches", "shes")):
+        word = word[:-2]
+    elif word.endswith("s") and len(word) > 3 and word[-2] not in "su":
+        word = word[:-1]
+    left = word[:-3] if word.endswith("ing") else word[:-2] if word.endswith("ed") else ""
+    return left if len(left) > 2 and left.isascii() and left.isalpha() and any(c in "aeiouy" for c in left) else word
+
+
 def keyword_match(text: Column, query: str) -> Column:
     """Space means and, a bar means or, quotes make a phrase, an empty query matches all; any case."""
     import re

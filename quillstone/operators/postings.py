@@ -1,7 +1,8 @@
 """An inverted index with positions over several weighted fields: stems, phrases, and/or, BM25F.
 
-The index is a table (term, field, doc, positions, n) in the shared folder, laid out in ranges of (term, doc): a
-frequent term is cut into ranges of documents, and the statistics of the files say which terms they hold. Queries are a table
+The index is a table (term, field, doc, positions, n) in the shared folder. Each task that reads texts writes its own documents'
+postings in the order of the terms: nothing is shuffled, a frequent term lies in as many files as there are tasks, and the
+statistics of the row groups say which terms they hold. Queries are a table
 too, of any number. A query's clauses must all match, one alternative of a clause is enough, an alternative of several terms
 is a phrase in one field. The documents to look at come from each query's rarest clause, and of a phrase from
 its rarest term, so a frequent term is only ever asked for in documents that something rarer has found.
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import stem, tokens
+from ..functions.text import stem, stemmed, tokens
 from ..sources.tables import shared_folder
 from .ranking import top_k
 
@@ -28,8 +29,11 @@ _WORD = re.compile("[a-z0-9_-]+")
 
 def _rows(batches: Iterator[pa.RecordBatch], fields: list[str]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in POSTINGS.split(", ")]
+    stems: dict[str, str] = {}
     for b in batches:
         for k in range(0, b.num_rows, 64):
+            if len(stems) > 500_000:
+                stems.clear()
             part = b.slice(k, 64)
             out: list[list] = [[], [], [], [], []]
             texts = [part.column(f"t{i}").to_pylist() for i in range(len(fields))]
@@ -38,7 +42,7 @@ def _rows(batches: Iterator[pa.RecordBatch], fields: list[str]) -> Iterator[pa.R
                     words = _WORD.findall(column[at] or "")
                     places: dict[str, list[int]] = {}
                     for p, w in enumerate(words):
-                        places.setdefault(w, []).append(p)
+                        places.setdefault(stems.get(w) or stems.setdefault(w, stemmed(w)), []).append(p)
                     for w, p in places.items():
                         for to, x in zip(out, (w, field, doc, p, len(words)), strict=True):
                             to.append(x)
@@ -47,20 +51,11 @@ def _rows(batches: Iterator[pa.RecordBatch], fields: list[str]) -> Iterator[pa.R
 
 
 def build(docs: DataFrame, key: str, fields: dict[str, Column], path: str) -> DataFrame:
-    """Writes the postings of docs under path and reads them again.
-
-    Words are found in the tasks that read the texts, and what is shuffled is one row a word of a document, with its stem.
-    Stems that fall together are joined again, so each (term, field, doc) is one row. Ids must be filled and unique.
-    """
+    """Writes the postings of docs under path and reads them again. Ids must be filled and unique."""
     texts = [F.lower(c).alias(f"t{i}") for i, c in enumerate(fields.values())]
     names = list(fields)
-    words = docs.select(F.col(key).cast("long").alias("doc"), *texts).mapInArrow(lambda b: _rows(b, names), POSTINGS)
-    stems = words.withColumn("term", stem(F.col("term"))).groupBy("term", "field", "doc")
-    rows = stems.agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"), F.max("n").alias("n"))
-    # Ranges are found by a first look at the rows, so those are written before.
-    rows.write.mode("overwrite").parquet(f"{path}/rows")
-    rows = docs.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows")
-    rows.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
+    rows = docs.select(F.col(key).cast("long").alias("doc"), *texts).mapInArrow(lambda b: _rows(b, names), POSTINGS)
+    rows.sortWithinPartitions("term", "doc").write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
     lengths = docs.select(*[F.size(tokens(F.coalesce(c, F.lit("")))).cast("long").alias(f) for f, c in fields.items()])
     lengths.agg(F.count("*").alias("docs"), *[F.avg(f).alias(f) for f in names]).write.mode("overwrite").parquet(f"{path}/sizes")
     return docs.sparkSession.read.parquet(f"{path}/postings")
@@ -96,8 +91,8 @@ def search(path: str, wanted: DataFrame, weights: dict[str, float], k: int, k1:
     spark = wanted.sparkSession
     postings = spark.read.parquet(f"{path}/postings")
     sizes = spark.read.parquet(f"{path}/sizes").first()
-    counted = of_terms(postings, wanted.select("term").distinct())
-    df_ = counted.select("term", "doc").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    postings = of_terms(postings, wanted.select("term").distinct())  # from here on only the queries' terms
+    df_ = postings.select("term", "doc").distinct().groupBy("term").agg(F.count("*").alias("df"))
     known = wanted.join(df_, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     # The queries' terms with their frequencies are used four times: written once.
     asked_for = shared_folder(spark, "asked")

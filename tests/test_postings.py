@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import stem
+from quillstone.functions.text import stem, stemmed
 from quillstone.operators import postings
 
 TEXTS = [
@@ -87,6 +87,7 @@ def test_search(spark, tmp_path, monkeypatch, most):
 
 
 def test_stem(spark):
-    some = ["families", "glasses", "boxes", "cats", "bus", "glass", "binding", "sing", "red", "bound", "species", "used", "ies", "sss", "watches", "added", "x-rays"]
+    some = ["families", "glasses", "boxes", "cats", "bus", "glass", "binding", "sing", "red", "bound", "species", "used", "ies", "sss", "watches", "added", "x-rays", "4ing", "a_bed", "bcding", "ys", "ees", "aes", "ching"]
+    assert [stemmed(w) for w in some] == [plain_stem(w) for w in some]
     df = spark.createDataFrame([(w,) for w in some], "w string")
     assert {r[0]: r[1] for r in df.select("w", stem(F.col("w"))).collect()} == {w: plain_stem(w) for w in some}
