@@ -1,7 +1,8 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 A page becomes lines, one for each block element. Markup, scripts, styles and the parts that the page itself names as
-menus, headers, footers, sidebars, notices, adverts, forms or comments are stripped and leave empty lines. A line weighs
+menus, headers, footers, sidebars, notices, adverts, forms or comments are stripped and leave empty lines, but for a form or
+open dialog around the article, or around most of a page that marks none. A line weighs
 its characters without those of links (up to `SATURATED`, so that one long paragraph does not dwarf the others), and far more
 where the page marks it as article or main: markup adds weight, and the curve decides. The curve is the sum over
 windows of `width` lines. A surge is a window over `SURGE` of the page's peak, the dive after it the first window
@@ -35,7 +36,8 @@ WIDTH, SATURATED, SURGE, DIVE = 3, 344, 1 / 4, 1 / 32
 # HTML element names by their role, and the words by which pages name parts that are not the article.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-LEFT_OUT = frozenset("head nav footer aside form menu dialog button select datalist noscript template svg math canvas object audio video".split())
+LEFT_OUT = frozenset("head nav footer aside menu button select datalist noscript template svg math canvas object audio video".split())
+UNLESS_ROUND_ALL = frozenset("form dialog".split())
 UNLESS_IN_ARTICLE = frozenset("header".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset("article main".split())
@@ -54,17 +56,20 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 ZEROS, HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
-SURELY, BY_NAME = 2, 1
+SURELY, BY_NAME, BY_TAG = 3, 2, 1
 
 
 def _leaves_out(tag: str, attributes: str, in_article: bool, nested: bool) -> int:
     """A class or id names a part if all words of one of its values do: cookie-banner, but not has-banner or comments-open."""
     if tag in LEFT_OUT or (tag in UNLESS_IN_ARTICLE and not in_article):
         return SURELY
+    if tag == "dialog" and not any(m[1].lower() == "open" for m in ATTRIBUTE.finditer(attributes)):
+        return SURELY
+    by_tag = BY_TAG if tag in UNLESS_ROUND_ALL else 0
     if not attributes.strip() or tag in ("html", "body", "main"):
-        return 0
+        return by_tag
     names = NAMES if in_article else NAMES | OUTER_NAMES
-    named = 0
+    named = by_tag
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
@@ -138,6 +143,7 @@ def lines_of(page: str, width: int = WIDTH) -> list[Line]:
     """All lines in order; stripped parts and the borders of an article are empty lines."""
     tags = tags_of(page)
     ends, blocks, mains, articles = _ends(tags), _counts(tags, BLOCKS), _counts(tags, frozenset(["main"])), _counts(tags, frozenset(["article"]))
+    texts = [0, *accumulate(len(page[a:t[0]].strip()) for a, t in zip([0, *(t[1] for t in tags)], tags, strict=False))]
     marked = width * SATURATED / DIVE  # no window of unmarked lines reaches the dive of a page with marked ones
     out: list[Line] = []
     parts: list[str] = []
@@ -165,6 +171,10 @@ def lines_of(page: str, width: int = WIDTH) -> list[Line]:
         """main, or all articles of the page, are in it."""
         return mains[end] > mains[i] or articles[end] - articles[i] == articles[-1] > 0
 
+    def holds_most(end: int) -> bool:
+        """Nothing on the page is marked, and over half of its text is in it."""
+        return mains[-1] == articles[-1] == 0 and 2 * (texts[end + 1] - texts[i]) > texts[-1]
+
     while i < len(tags):
         start, end, tag, closing, attributes = tags[i]
         add(page[at:start])
@@ -173,7 +183,7 @@ def lines_of(page: str, width: int = WIDTH) -> list[Line]:
             continue
         if not closing and tag not in VOID and tag not in RAW and ends[i - 1] >= 0:
             why = _leaves_out(tag, attributes, inside > 0, open_["article"] > 0)
-            if why == BY_NAME and not inside and holds_article(ends[i - 1]):
+            if why in (BY_NAME, BY_TAG) and not inside and (holds_article(ends[i - 1]) or why == BY_TAG and holds_most(ends[i - 1])):
                 why = 0
             if why:
                 if tag in BLOCKS or tag in LEFT_OUT:

@@ -62,6 +62,25 @@ def test_names_of_parts(page):
     assert main_text(page) == NAMED[page]
 
 
+WORDS = "word " * 59 + "word"
+ROUND_ALL = {
+    f"<body><form id=aspnetForm><nav>m</nav><article><p>{WORDS}</p><form>f</form></article><button>b</button></form></body>": WORDS,
+    f"<body><form id=aspnetForm><nav>menu</nav><div><p>{WORDS}</p></div><select><option>o</select></form><p>x</p></body>": WORDS,
+    f"<dialog open><main><p>{WORDS}</p></main></dialog>": WORDS,
+    f"<dialog open><p>{WORDS}</p></dialog>": WORDS,
+    f"<dialog><p>no {WORDS}</p></dialog><div><p>{WORDS}</p></div>": WORDS,
+    f"<form hidden><p>no {WORDS}</p></form><div><p>{WORDS}</p></div>": WORDS,
+    f"<form class=login><p>no {WORDS}</p></form><div><p>few</p></div>": "few",
+    f"<form><p>no</p></form><div><p>{WORDS}</p></div>": WORDS,
+    f"<form><p>no {WORDS}</p></form><article><p>few</p></article>": "few",
+}
+
+
+@pytest.mark.parametrize("page", ROUND_ALL)
+def test_forms_and_dialogs_around_the_text(page):
+    assert main_text(page) == ROUND_ALL[page]
+
+
 def plain_spans(weights, width=3, surge=0.25, dive=1 / 32):
     """Line blocks by their definition."""
     block = lambda i: sum(weights[i : i + width])
