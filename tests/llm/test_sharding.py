@@ -61,3 +61,19 @@ def test_written_shards(spark, tmp_path):
     write_shards(df, str(tmp_path / "out"), 3)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == df.count() and set(df.columns) <= set(back.columns)
+
+
+def test_written_shards_keep_every_row(spark, tmp_path):
+    """Null and repeated ids, and columns of the layout's own names."""
+    values = [(1, "a", 7, "x"), (1, "a", 7, "x"), (None, "bb", None, "y"), (2, None, 9, None), (None, "", 1, "z")]
+    df = spark.createDataFrame(values, "doc_id long, text string, slot long, Shard string").repartition(2)
+    write_shards(df, str(tmp_path / "out"), 2)
+    back = rows(spark.read.parquet(str(tmp_path / "out")))
+    assert sorted(((r["doc_id"], r["text"], r["slot"], r["Shard"]) for r in back), key=str) == sorted(values, key=str)
+    for k in (0, 1):
+        own = sorted(r["_slot"] for r in back if r["_shard"] == k)
+        assert own == list(range(len(own)))
+
+
+def test_written_shards_of_an_empty_table(spark, tmp_path):
+    write_shards(docs(spark, []), str(tmp_path / "out"), 3)
