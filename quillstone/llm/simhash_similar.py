@@ -30,11 +30,12 @@ from .common import ROW, by_number, numbered, staged
 from .components import connected_components
 from .simhash import CHUNK, named_components, shingle_hashes, trie_join
 
-WORDS, BAND, SHINGLE, SIMILARITY, BUDGET = 16, 14, 5, 0.8, 20
+WORDS, BAND, SHINGLE, SIMILARITY = 16, 14, 5, 0.8
 #: Share of pairs at the similarity that may have no band in common; unrelated texts in a bucket, as a power of two.
 MISSED, FILL = 0.0005, 8
-#: Bits over the mean of the similarity, in standard deviations; fingerprints of one component that are verified together.
-DEVIATIONS, TOGETHER = 4, 2000
+#: Bits over the mean of the similarity, in standard deviations, of all bits and of the trie's 64; fingerprints of one
+#: component that are verified together.
+DEVIATIONS, PRUNED, TOGETHER = 4, 3.7, 2000
 # Odd multipliers that make further hashes of one hash.
 ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & ((1 << 64) - 1) for k in range(WORDS)], np.uint64)
 
@@ -107,7 +108,7 @@ def _deal(of: list[np.ndarray], whole: bool) -> Callable:
     return run
 
 
-def _join(limit: int, all_bits: bool) -> Callable:
+def _join(limit: int, budget: int, all_bits: bool) -> Callable:
     """Rows come sorted by bucket. Over 128 bits: (u, u) of all that have a partner; over all: a spanning forest of links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +126,7 @@ def _join(limit: int, all_bits: bool) -> Callable:
                 out = [np.bitwise_count(words[order[u[k : k + 100_000]]] ^ words[order[v[k : k + 100_000]]]).sum(1) <= limit for k in range(0, len(u), 100_000)]
                 return np.concatenate(out) if out else np.zeros(0, bool)
 
-            labels = trie_join(keys, bucket, BUDGET, accept)
+            labels = trie_join(keys, bucket, budget, accept)
             linked = np.flatnonzero(labels != np.arange(len(labels)))
             u, v = uid[linked], uid[labels[linked]]
             if not all_bits:
@@ -222,12 +223,12 @@ def _grouped(docs: DataFrame, size: int, similarity: float, together: int) -> Da
     keeper = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min(keeper).alias("keeper"))
     distinct = staged(distinct.withColumn("uid", F.monotonically_increasing_id()), "distinct")
-    of = bands(distinct.count(), similarity)
+    of, budget = bands(distinct.count(), similarity), differing(similarity, 64, PRUNED)
     dealt = distinct.select("uid", "fp").mapInArrow(_deal(of, False), "bucket long, uid long, first long, second long")
-    partners = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_join(differing(similarity, 128, DEVIATIONS), False), "u long, v long").select(F.col("u").alias("uid")).distinct()
+    partners = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_join(differing(similarity, 128, DEVIATIONS), budget, False), "u long, v long").select(F.col("u").alias("uid")).distinct()
     partners = staged(distinct.join(partners, "uid", "left_semi").select("uid", "fp"), "partners")
     dealt = partners.mapInArrow(_deal(of, True), "bucket long, uid long, first long, fp binary")
-    links = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_join(differing(similarity, deviations=DEVIATIONS), True), "u long, v long")
+    links = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_join(differing(similarity, deviations=DEVIATIONS), budget, True), "u long, v long")
     near = connected_components(links).select(F.col("node").alias("uid"), "root")
     candidates = staged(distinct.join(near, "uid").select("uid", F.col("keeper.row").alias("row"), "fp", "root"), "candidates")
     links = _verified(docs, candidates, size, similarity, together)

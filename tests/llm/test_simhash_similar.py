@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm.simhash_similar import bands, deduplicate_similar, differing, long_simhash, similar_documents
+from quillstone.llm.simhash_similar import PRUNED, bands, deduplicate_similar, differing, long_simhash, similar_documents
 
 from .brute import TEXTS, docs, rows
 
@@ -123,3 +123,22 @@ def test_recall_of_candidates(spark):
         fps = [np.unpackbits(np.frombuffer(long_simhash(t.encode()), np.uint8)) for t in texts]
         met = sum(any((fps[i][x] == fps[j][x]).all() for x in of) for i, j in pairs)
         assert met >= 0.98 * len(pairs)
+
+
+@pytest.mark.parametrize("similarity,n,changed", [(0.5, 450, 30), (0.6, 400, 20), (0.7, 340, 12)])
+def test_recall_at_other_similarities(spark, similarity, n, changed):
+    """Pairs of n shingles each at exactly the similarity: the trie is pruned by what the similarity asks for."""
+    rng, texts = random.Random(changed), []
+    for _ in range(150):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(n + 4)]
+        copy = list(words)
+        for i in range(changed):
+            copy[10 + (n - 20) // changed * i] = f"v{rng.randrange(10**9)}"
+        texts += [" ".join(words), " ".join(copy)]
+    assert jaccard(shingles(texts[0]), shingles(texts[1])) == similarity
+    got = {r["doc_id"]: r["component_id"] for r in rows(similar_documents(docs(spark, texts).repartition(4), similarity=similarity))}
+    assert sum(got[k] == got[k + 1] for k in range(0, 300, 2)) >= 0.98 * 150
+
+
+def test_pruning_follows_the_similarity():
+    assert [differing(s, 64, PRUNED) for s in (0.8, 0.5)] == [20, 30]
