@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from quillstone.plans import catalogue, design, entries, rankings, records
+from quillstone.plans import catalogue, design, entries, rankings, records, rounds
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -27,7 +27,7 @@ def plain(v):
     return f"{v:.6f}" if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("sf,name", [(SF, q) for q in sorted(catalogue.QUERIES)] + [(LARGER, q) for q in sorted(rankings.QUERIES | records.QUERIES | entries.QUERIES | design.QUERIES)])
+@pytest.mark.parametrize("sf,name", [(SF, q) for q in sorted(catalogue.QUERIES)] + [(LARGER, q) for q in sorted(rankings.QUERIES | records.QUERIES | entries.QUERIES | design.QUERIES | rounds.QUERIES)])
 def test_query(spark, duck, sf, name):
     df = catalogue.QUERIES[name](spark, sf)
     columns = sorted(df.columns)
