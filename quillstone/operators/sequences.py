@@ -7,10 +7,12 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
+from ..functions import seq as S
+
 
 @F.pandas_udf(ArrayType(IntegerType()))
 def letter_counts(sequences: pd.Series) -> pd.Series:
@@ -69,16 +71,22 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def local_identity_of(a: str, b: str) -> float:
-    """Most matches that a common subsequence can have, over the shorter length (match 1, mismatch and gap 0)."""
+    """Most matches that a common subsequence can have, over the shorter length (match 1, mismatch and gap 0).
+
+    A row of the table is one whole number with a bit for each place of the longer text, 0 where the row grows, so a letter
+    of the shorter text takes a few operations on whole numbers and memory is one row.
+    """
     if not a or not b:
         return 0.0
-    x, y = (np.frombuffer(v.encode("utf-32-le"), np.uint32) for v in (a, b))
-    row = np.zeros(len(y) + 1, np.int64)
-    for c in x:
-        best = row.copy()
-        best[1:] = np.maximum(row[1:], row[:-1] + (y == c))
-        row = np.maximum.accumulate(best)
-    return float(row[-1]) / min(len(a), len(b))
+    short, long = sorted((a, b), key=len)
+    codes = np.frombuffer(long.encode("utf-32-le", "surrogatepass"), np.uint32)
+    masks = {c: int.from_bytes(np.packbits(codes == ord(c), bitorder="little").tobytes(), "little") for c in set(short)}
+    whole = row = (1 << len(long)) - 1
+    for c in short:
+        met = row & masks[c]
+        if met:
+            row = ((row + met) | (row - met)) & whole
+    return (len(long) - row.bit_count()) / len(short)
 
 
 @F.pandas_udf(DoubleType())
@@ -139,6 +147,36 @@ def widened(spans: Column, length: Column, win: int) -> Column:
     return F.transform(spans, one)
 
 
+def text_hits(hint: Column, index: list[tuple[str, str]], most: int = 3) -> Column:
+    """Of a fixed list of (pattern, description) the `most` that a text asks for: an array of (order, i, score, pattern, told), the best first.
+
+    5 if the whole text occurs in the description, and 1 for each of its words that does, repeats included, in any case. Records without a
+    pattern or without a score are left out; of equal scores the earlier record comes first. A null text is empty, and an empty
+    text occurs in every description.
+    """
+
+    def of(q):
+        rows = []
+        for i, (pattern, told) in enumerate(index):
+            if pattern:
+                words = sorted(set(re.findall("[a-z0-9]+", told.lower())))
+                score = F.when(F.contains(F.lit(told.lower()), q["low"]), 5).otherwise(0) + F.size(F.filter(q["words"], lambda w: w.isin(words)))
+                rows.append(F.struct((-score).alias("order"), F.lit(i).alias("i"), score.alias("score"), F.lit(pattern).alias("pattern"), F.lit(told).alias("told")))
+        return F.slice(F.array_sort(F.filter(F.array(*rows), lambda x: x["score"] > 0)), 1, most)
+
+    low = F.lower(F.trim(F.coalesce(hint, F.lit(""))))
+    # The words that any description has are found once, in one pass.
+    known = "|".join(sorted({w for _, told in index for w in re.findall("[a-z0-9]+", told.lower())})) or "(?!)"
+    text = F.struct(low.alias("low"), F.regexp_extract_all(low, F.lit(f"(?<![a-z0-9])(?:{known})(?![a-z0-9])"), F.lit(0)).alias("words"))
+    return F.element_at(F.transform(F.array(text), of), 1)
+
+
+def exemplars(rows: DataFrame, group: str, sequence: str, letters: dict[str, str]) -> DataFrame:
+    """One row for each group: n, and for each name the share of its letters in all sequences of the group (null without letters)."""
+    n = F.sum(F.length(sequence))
+    return rows.groupBy(group).agg(F.count("*").alias("n"), *[F.round(F.sum(S.count_letters(F.col(sequence), x)) / F.when(n > 0, n), 6).alias(name) for name, x in letters.items()])
+
+
 def shortest_match(pattern: str) -> str:
     """A short string that a simple pattern (letters, classes, dots, counts, groups, branches) matches: the first branch, the first listed letter."""
     import re._parser as parser

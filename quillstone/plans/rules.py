@@ -64,6 +64,36 @@ def motif_scan_rules(spark, d):
     return hits.select("doc_id", "class", F.explode(F.concat(F.flatten(F.transform(rules, bound)), kept)).alias("x")).select("doc_id", "class", "x.*")
 
 
+#: Another such catalogue, told in the four languages of the texts.
+TOLD = [("C.{2}C", "zinc finger for this ring"), ("[RK]{2}G[ST]", "P-loop that binds with ATP"), ("GAGAAG", "NADPH fold, nicht sich mit"), ("HA{2}H", "heme site, avec dans les"), ("K[ST]{2}", "PLP site, para una con"), ("[DE]{3}", "calcium ring from this")]
+#: Letters whose share in a class's sequences bounds new ones.
+SHARES = {"kr": "KR", "g": "G", "de": "DE"}
+
+
+def class_exemplars(spark, d):
+    """Each class of motifs that texts ask for, with the shares of letters in the sequences of its texts."""
+    return Q.exemplars(asked(spark, d), "class", "seq", SHARES)
+
+
+def asked(spark, d):
+    """The texts that ask for motifs, with up to three of them, the class that these name, and the sequence."""
+    docs = table(spark, d, "documents").select("doc_id", "text", T.letters(F.coalesce("text", F.lit(""))).alias("seq"))
+    # As a filter, the search would be pushed below its own result and run twice.
+    hits = docs.select("doc_id", "seq", F.explode(F.filter(F.array(Q.text_hits(F.col("text"), TOLD)), lambda h: F.size(h) > 0)).alias("hits"))
+    return hits.withColumn("class", E.first_class(F.concat_ws(" ", F.transform("hits", lambda x: x["told"])), E.PATTERN_TEXT_RULES, "unknown"))
+
+
+def text_motif_rules(spark, d):
+    """Rules from the motifs that a text asks for, found or not: patterns to allow, a motif of the first one, and as many letters
+    as the class's exemplars have in as long a sequence."""
+    rows = asked(spark, d)
+    stats = F.broadcast(Q.exemplars(rows, "class", "seq", SHARES))  # a row for each of the stated classes
+    least = lambda c: F.greatest(F.lit(1), F.floor(F.length("seq") * F.coalesce(F.col(c), F.lit(0.0)))).cast("long").alias(f"least_{c}")
+    allow = F.array_join(F.array_distinct(F.transform("hits", lambda x: x["pattern"])), " ")
+    scores = F.array_join(F.transform("hits", lambda x: x["score"].cast("string")), ",")
+    return rows.join(stats, "class").select("doc_id", "class", allow.alias("regex_allow"), scores.alias("scores"), D.consensus(F.col("hits")[0]["pattern"]).alias("motif"), *[least(c) for c in SHARES])
+
+
 def pattern_counts(spark, d):
     """The same counts without leaving the JVM."""
     s = sequences(spark, d).withColumn("pattern", F.explode(F.array(*[S.pattern_to_regex(F.lit(p)) for p in PATTERNS])))
@@ -101,14 +131,23 @@ def stream_session_topk(spark, d):
     return best_of_stream(spark, f"{d}/events.parquet", k=3)
 
 
-QUERIES = {f.__name__: f for f in (signal_choice, pattern_scan, motif_scan_rules, pattern_counts, mask_windows, blocked_points, session_rounds, stream_session_topk)}
+QUERIES = {f.__name__: f for f in (signal_choice, pattern_scan, motif_scan_rules, text_motif_rules, class_exemplars, pattern_counts, mask_windows, blocked_points, session_rounds, stream_session_topk)}
 
 SIGNAL_ROWS = ", ".join(f"({i}, '{n}', '{h}', '{s}')" for i, (n, h, s) in enumerate(C.SIGNALS))
 _MOTIFS = ", ".join(f"({i}, '{p}', '{t}')" for i, (p, t) in enumerate(MOTIFS))
 _SCANS = " UNION ALL ".join(f"SELECT doc_id, s, {i} AS i, regexp_extract_all(s, '{p}') AS m, regexp_split_to_array(s, '{p}') AS g FROM q" for i, (p, _) in enumerate(MOTIFS))
 _CLASS = "CASE " + " ".join(f"WHEN regexp_matches(text, '{r}') THEN '{c}'" for c, r in E.PATTERN_TEXT_RULES) + " ELSE 'unknown' END"
 _WEAK = ", ".join(f"('{c}', '{k}', '{p}', '{w}', {v}::DOUBLE, {n})" for c, k, p, w, v, n in D.RULES if c.startswith("auto_") and p != "any")
+_TOLD = ", ".join(f"({i}, '{p}', '{t}')" for i, (p, t) in enumerate(TOLD))
+_ASKED = f"""t AS (SELECT doc_id, {SEQ} AS s, lower(trim(coalesce(text, ''))) AS low FROM documents), w AS (SELECT *, regexp_extract_all(low, '[a-z0-9]+') AS w FROM t), p(i, pattern, told) AS (VALUES {_TOLD}),
+x AS (SELECT doc_id, s, i, pattern, told, CASE WHEN contains(lower(told), low) THEN 5 ELSE 0 END + len(list_filter(w, lambda v: list_contains(regexp_extract_all(lower(told), '[a-z0-9]+'), v))) AS score FROM w, p),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS r FROM x WHERE score > 0), h AS (SELECT doc_id, any_value(s) AS s, lower(string_agg(told, ' ' ORDER BY r)) AS text, string_agg(pattern, ' ' ORDER BY r) AS regex_allow, string_agg(score::BIGINT, ',' ORDER BY r) AS scores, min(i) FILTER (r = 1) AS first FROM r WHERE r <= 3 GROUP BY doc_id),
+k AS (SELECT *, {_CLASS} AS class FROM h), e AS (SELECT class, count(*) AS n, {", ".join(f"round(sum(length(s) - length(translate(s, '{x}', ''))) / nullif(sum(length(s)), 0), 6) AS {c}" for c, x in SHARES.items())} FROM k GROUP BY class)"""
+#: The motifs' consensus, written out.
+_LETTERS = ["CXXC", "RRGS", "GAGAAG", "HAAH", "KSS", "DDD"]
 ORACLES = {
+    "class_exemplars": f"WITH {_ASKED} SELECT * FROM e",
+    "text_motif_rules": f"""WITH {_ASKED} SELECT doc_id, class, regex_allow, scores, {_LETTERS}[first + 1] AS motif, {", ".join(f"greatest(1, floor(length(s) * coalesce({c}, 0)))::BIGINT AS least_{c}" for c in SHARES)} FROM k JOIN e USING (class)""",
     "motif_scan_rules": f"""WITH q AS (SELECT doc_id, {SEQ} AS s FROM documents), p(i, pattern, told) AS (VALUES {_MOTIFS}), x AS ({_SCANS}),
 l AS (SELECT doc_id, s, i, unnest(range(1, len(m) + 1)) AS k, unnest(m) AS m, unnest(g[1:len(m)]) AS g FROM x),
 h AS (SELECT doc_id, length(s) AS n, i, length(m) AS w, sum(length(g) + length(m)) OVER (PARTITION BY doc_id, i ORDER BY k) AS e FROM l),

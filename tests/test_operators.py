@@ -1,6 +1,7 @@
 import difflib
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -177,3 +178,41 @@ def test_stream_is_like_batch(spark):
     stream = rows(rules.stream_session_topk(spark, sf), "user_id", "event_id", "rank")
     e = spark.read.parquet(f"{sf}/events.parquet").filter("user_id is not null and value is not null")
     assert stream == rows(ranking.top_k(e, ["user_id"], 3, F.desc("value"), "event_id"), "user_id", "event_id", "rank")
+
+
+def test_local_identity_of_long_and_wide_texts():
+    rng = random.Random(3)
+    a, b = ("".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=10_000)) for _ in range(2))
+    began = time.process_time()
+    assert 0.3 < sequences.local_identity_of(a, b) < 0.45
+    assert time.process_time() - began < 0.5
+    assert sequences.local_identity_of(a, a[:7000]) == 1.0 and sequences.local_identity_of("é😀x", "😀") == 1.0 and sequences.local_identity_of("\ud800a", "b\ud800") == 0.5
+    assert sequences.local_identity_of("", "a") == 0.0
+
+
+INDEX = [("C..C", "zinc finger site"), ("", "zinc zinc"), ("H", "Heme, site of iron"), ("K", "site")]
+
+
+def plain_hits(hint, most=3):
+    """The score by its definition, in the order of the index."""
+    q = (hint or "").strip(" ").lower()
+    scored = []
+    for i, (pattern, told) in enumerate(INDEX):
+        words = set(re.split("[^a-z0-9]+", told.lower()))
+        score = 5 * (q in told.lower()) + sum(w in words for w in re.split("[^a-z0-9]+", q) if w)
+        if pattern and score:
+            scored.append((-score, i))
+    return sorted(scored)[:most]
+
+
+def test_text_hits(spark):
+    hints = [None, "", " ZINC ", "heme site site", "nothing here", "iron-site", "zinc finger site", "finger\nzinc zinc", "Site"]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(hints)], "i int, hint string")
+    got = {r.i: [(x.order, x.i) for x in r.hits] for r in df.select("i", sequences.text_hits(F.col("hint"), INDEX).alias("hits")).collect()}
+    assert got == {i: plain_hits(h) for i, h in enumerate(hints)}
+
+
+def test_exemplars(spark):
+    df = spark.createDataFrame([("a", "KKGX"), ("a", "G"), ("a", None), ("b", ""), (None, "R")], "class string, seq string")
+    got = {(r["class"]): (r.n, r.kr, r.g) for r in sequences.exemplars(df, "class", "seq", {"kr": "KR", "g": "G"}).collect()}
+    assert got == {"a": (3, 0.4, 0.4), "b": (1, None, None), None: (1, 1.0, 0.0)}
