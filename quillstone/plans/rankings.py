@@ -67,8 +67,9 @@ def last_wins_enrich(spark, d):
 
 
 def missing_keys(spark, d):
+    """Customers without an urgent order."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
-    return lookups.missing_keys(c, table(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
+    return lookups.missing_keys(c, table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k")), "k")
 
 
 def best_instance(spark, d):
@@ -151,7 +152,7 @@ SELECT * FROM r WHERE rank <= CASE WHEN p_brand IN ('Brand#11', 'Brand#1') THEN
     "whitelist_semijoin": "SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 5000)",
     "first_wins_lookup": "SELECT o_orderkey, o_custkey, l_linenumber, l_partkey FROM orders JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rn FROM lineitem) ON l_orderkey = o_orderkey AND rn = 1",
     "last_wins_enrich": "SELECT o_orderkey, l_suppkey FROM orders LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_suppkey DESC) AS rn FROM lineitem) ON l_orderkey = o_orderkey AND rn = 1",
-    "missing_keys": "SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "missing_keys": "SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')",
     "best_instance": "SELECT n_name, level, s_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY level, s_suppkey) AS rn FROM (SELECT n_name, CASE WHEN s_acctbal > 9000 THEN 1 WHEN s_acctbal > 0 THEN 2 ELSE 3 END AS level, s_suppkey FROM nation JOIN supplier ON n_nationkey = s_nationkey)) WHERE rn = 1",
     "edge_inversion": "SELECT l_suppkey, count(DISTINCT l_partkey) AS n_parts, array_to_string(list_sort(list(DISTINCT l_partkey)), ',') AS parts FROM lineitem GROUP BY l_suppkey",
     "positional_join": "WITH a AS (SELECT doc_id, length(text)::INT AS n, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal FROM documents), b AS (SELECT item_id, length(text)::INT AS m, row_number() OVER (ORDER BY item_id) - 1 AS ordinal FROM benchmark) SELECT * FROM a JOIN b USING (ordinal)",
