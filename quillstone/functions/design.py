@@ -38,6 +38,10 @@ RULES = [
         (c, "max_hydropathy", "span", "", kd, 0), (c, "max_hydropathy", "whole", "", kd, 0), *[(c, "regex_allow", "any", w, 0.0, 0) for w in weak]]],
     *[(c, "regex_forbid", "any", "[DE]{4,}", 0.0, 0) for c in ("auto_nad", "auto_atp_gtp")],
 ]
+# The letters that a class wants in its window; classes that are given by a motif have none.
+DESIRES = {"mg": "DE", "mn": "DE", "ca": "DE", "zn": "CH", "ni": "CH", "cu": "CH", "fe_s": "C", "heme_c": "C", "heme_b": "FWY", "atp_gtp": "G", "nad": "G", "flavin": "G", "plp": "K", "sam": "FWY", "biotin": "GAS", "tpp": "GAS", "coa": "GAS"}
+WITHOUT_WINDOW = ["heme_c", "fe_s"]
+MOST_CYS = 10
 RULE_COLUMNS = "class string, kind string, place string, what string, value double, divisor int"
 
 # What is said of a call that failed, by kind of tool and with or without its main argument.

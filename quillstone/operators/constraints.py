@@ -72,6 +72,36 @@ def best_window(sequence: Column, size: int, step: int, desire: str, locked: Col
     return F.array_min(F.transform(window_texts(sequence, size, step), lambda w, i: F.struct(inside(i * step).alias("overlap"), window_score(w, size, desire).alias("score"), (i * step).alias("start"))))
 
 
+def measured_windows(sequence: Column, size: int, step: int, locked: Column) -> Column:
+    """What scores a window under any desire, for each sliding window: text, overlap (locked positions in it), pg and run (the score's
+    parts for soft letters and repeats), charge. The locked positions are drawn as marks beside the letters, so both are walked once."""
+    n = F.greatest(F.length(sequence), F.lit(size))
+
+    def drawn(p):
+        gap = F.transform(p, lambda x, i: F.repeat(F.lit("0"), x - F.when(i > 0, F.try_element_at(p, i) + 1).otherwise(0)))
+        return F.rpad(F.when(F.size(p) > 0, F.concat(F.array_join(gap, "1"), F.lit("1"))).otherwise(F.lit("")), n, F.lit("0"))
+
+    inside = F.array_sort(F.array_distinct(F.filter(locked, lambda p: (p >= 0) & (p < n))))
+    marks = F.element_at(F.transform(F.array(inside), drawn), 1)
+
+    def one(w, m):
+        pg, run = 0.3 * (S.count_letters(w, "PG") / F.lit(float(size))), 0.3 * S.longest_run(w) / float(size)
+        return F.struct(w.alias("text"), S.count_letters(m, "1").alias("overlap"), pg.alias("pg"), run.alias("run"), S.charge(w).alias("charge"))
+
+    return F.zip_with(window_texts(sequence, size, step), window_texts(marks, size, step), one)
+
+
+def best_measured(windows: Column, size: int, step: int, desire: Column) -> Column:
+    """best_window of measured_windows, for a desire that may differ from row to row."""
+
+    def score(w):
+        share = (F.length(w["text"]) - F.length(F.call_function("translate", w["text"], desire, F.lit("")))) / F.lit(float(size))
+        unwanted = F.when(desire == "DE", -F.least(F.lit(0), w["charge"])).when(desire.isin("CH", "FWY"), F.greatest(F.lit(0), -w["charge"])).otherwise(0)
+        return F.when(F.length(w["text"]) < size, F.lit(1e9)).otherwise(F.round(F.lit(0.8) - share + w["pg"] + w["run"] + 0.2 * unwanted, 6))
+
+    return F.array_min(F.transform(windows, lambda w, i: F.struct(w["overlap"].alias("overlap"), score(w).alias("score"), (i * step).alias("start"))))
+
+
 def mask_positions(length: Column, spans: Column, flank: int, locked: Column) -> Column:
     """Positions in the spans widened by flank and cut to the sequence, merged, without the locked ones."""
     wide = F.transform(spans, lambda x: F.struct(F.greatest(F.lit(0), x["s"] - flank).cast("long").alias("s"), F.least(length, x["e"] + flank).cast("long").alias("e")))
