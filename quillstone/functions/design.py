@@ -89,6 +89,13 @@ def instantiated(pattern: Column, patterns: list[str]) -> Column:
     return F.coalesce(first_word, F.when(~forbidden(filled, patterns), filled), repaired(filled))
 
 
+def last_repair(sequence: Column, patterns: list[str]) -> Column:
+    """A sequence with a forbidden pattern in it, with the last A that helps replaced by the first letter that does; as it is if none helps."""
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(sequence), F.lit(1))), lambda i: F.substring(sequence, i, F.lit(1)) == "A")
+    tried = F.flatten(F.transform(at, lambda i: F.slice(F.filter(F.array(*[F.overlay(sequence, F.lit(r), i, F.lit(1)) for r in REPLACEMENTS]), lambda x: ~forbidden(x, patterns)), 1, 1)))
+    return F.when(forbidden(sequence, patterns), F.coalesce(F.try_element_at(tried, F.lit(-1)), sequence)).otherwise(sequence)
+
+
 def insertion_point(points: Column, locked_runs: Column, motif_cost, flank_cost, weight: float = 0.25) -> Column:
     """before (from 1) and score of the allowed point with the least motif cost + weight * flank cost, the first of equals; none inside a locked run (start, end)."""
     free = F.filter(points, lambda p: ~F.exists(locked_runs, lambda x: (x["start"] < p) & (p <= x["end"])))

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
 
 from ..functions import seq as S
 
@@ -204,3 +204,16 @@ def shortest_match(pattern: str) -> str:
         return out
 
     return of(parser.parse(pattern))
+
+
+@F.pandas_udf(StringType())
+def shortest_matches(patterns: pd.Series) -> pd.Series:
+    """shortest_match of each pattern; null where it is null or does not compile."""
+
+    def of(p):
+        try:
+            return None if p is None else shortest_match(p)
+        except re.error:
+            return None
+
+    return patterns.map(of).astype(object)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import design as D
 from ..functions import entries as E
 from ..functions import text as T
-from ..operators import chains
+from ..operators import chains, motifs
+from ..operators import sequences as Q
 from ..sources.tables import table
-from .evaluation import SEQ, _count
+from .evaluation import SEQ, _count, sequences
 from .rules import _LETTERS, TOLD
 
 #: What a user may ask for; each document asks for three of these.
@@ -34,7 +35,25 @@ def chained_rules(spark, d):
     return r.select("doc_id", "n_parts", F.array_join("allow", " ").alias("regex_allow"), F.array_join("forbid", " ").alias("regex_forbid"), F.array_join(F.transform("rules", rule), "|").alias("rules"), F.array_join("motifs", ",").alias("motifs"), "most_cys", "detected", "first", "last", "overlap", "auto_key", "auto_used", "found", "asked")
 
 
-QUERIES = {f.__name__: f for f in (chained_rules,)}
+#: Classes of motifs as a user's table would have them: class, name, description, pattern.
+CLASSES = [("DOC_RING", "small ring", "ring with zinc, economy", "C.{2}C"), ("LIG_LOOP", "P-loop", "binds ATP in a standard loop", "[RK]{2}G[ST]"), ("LIG_GEAR", "blue gear", "promo gear", "GAGAAG"), ("MOD_WIDGET", "widget", "red widget site", "K[ST]{2}A"), ("TRG_LONG", "large bolt", "a long run of acids", "[DE]{30}"), ("LIG_HEME", "heme", "heme site", "HA{2}H")]
+FORBID = ["AGA", "CC", "K[ST]{2}A"]
+
+
+def motif_resolution(spark, d):
+    """A motif for what each part's name and type ask for, out of the sequences of all documents, put behind the motifs that it has."""
+    classes = spark.createDataFrame(CLASSES, "class string, name string, about string, pattern string")  # a fixed list
+    spans = sequences(spark, d).select("doc_id", "seq", F.explode(Q.pattern_spans(F.col("seq"), [p for *_, p in CLASSES])).alias("x"))
+    # Of a class's places the longest, then the first in the first document.
+    letters = F.expr("substring(seq, x.s + 1, x.e - x.s)")
+    found = spans.groupBy(F.element_at(F.array(*[F.lit(c[0]) for c in CLASSES]), F.col("x.i") + 1).alias("class")).agg(F.count("*").alias("n"), F.min_by(letters, F.struct(F.col("x.s") - F.col("x.e"), F.col("doc_id"), F.col("x.s"))).alias("letters"))
+    parts = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text"), F.when(F.col("p_size") % 2 == 0, F.array(F.lit("CAAC"))).otherwise(F.array(F.lit("KSSG"), F.lit("KSSG"))).alias("had"))
+    r = motifs.resolved(parts, "text", classes.join(found.select("class", "n"), "class", "left"), found, FORBID)
+    both = F.array_distinct(F.concat("had", F.coalesce(F.array(F.col("motif")), F.array().cast("array<string>"))))
+    return parts.join(r, "text", "left").select("p_partkey", "class", "score", "motif", "source", F.array_join(both, ",").alias("motifs"))
+
+
+QUERIES = {f.__name__: f for f in (chained_rules, motif_resolution)}
 
 _W = ", ".join(f"'{w}'" for w in WANTED)
 _RULES = ", ".join(f"({i}, '{c}', '{k}', '{p}', '{w}', {v}::DOUBLE, {n})" for i, (c, k, p, w, v, n) in enumerate(D.RULES))

@@ -43,3 +43,61 @@ def test_windows_measured_once_equal_those_of_one_desire(spark):
     plain = F.coalesce(*[F.when(F.col("desire") == x, C.best_window(F.col("seq"), 16, 4, x, F.col("locked"))) for x in ("DE", "CH", "FWY", "G", "")])
     got = df.select(plain.alias("want"), C.best_measured(C.measured_windows(F.col("seq"), 16, 4, F.col("locked")), 16, 4, F.col("desire")).alias("got")).collect()
     assert all(tuple(r["want"]) == tuple(r["got"]) for r in got)
+
+
+def test_resolution_against_plain_python(spark):
+    """The whole query over the small tables, by loops over rows."""
+    import re
+
+    import duckdb
+
+    from quillstone.operators.motifs import class_score
+    from quillstone.operators.sequences import shortest_match
+    from quillstone.plans.chains import CLASSES, FORBID, motif_resolution
+
+    d = "/root/testdata/sf0.001"
+    docs = [(i, re.sub("[^A-Za-z]", "", t or "").upper()) for i, t in duckdb.sql(f"select doc_id, text from '{d}/documents.parquet'").fetchall()]
+    places = {c[0]: [(m.start() - m.end(), i, m.start(), m.group()) for i, s in docs for m in re.finditer(c[3], s)] for c in CLASSES}
+    broken = lambda s: any(re.search(p, s) for p in FORBID)
+
+    def resolve(text):
+        scored = sorted((-round(class_score(text, name, about, len(places[c])), 6), c, p) for c, name, about, p in CLASSES)
+        scored = [x for x in scored if -x[0] >= 0.2][:8]
+        if not scored:
+            return None, None, None
+        real = [(c, min(places[c])[3]) for _, c, _ in scored if places[c] and set(min(places[c])[3]) <= set("ACDEFGHIKLMNPQRSTVWY")]
+        motif, source = (real[0][1], "instance") if real else (shortest_match(scored[-1][2]), "pattern")
+        if broken(motif):
+            fixes = [next((f for f in (motif[:i] + r + motif[i + 1 :] for r in "QNSTG") if not broken(f)), None) for i, c in enumerate(motif) if c == "A"]
+            motif = ([f for f in fixes if f] or [motif])[-1]
+        return real[0][0] if real else None, motif, source
+
+    want = {k: (*resolve(f"{name} {kind}"), size) for k, name, kind, size in duckdb.sql(f"select p_partkey, p_name, p_type, p_size from '{d}/part.parquet'").fetchall()}
+    rows = motif_resolution(spark, d).collect()
+    assert len(rows) == len(want) and {r["source"] for r in rows} >= {"instance"}
+    for r in rows:
+        c, motif, source, size = want[r["p_partkey"]]
+        had = ["CAAC"] if size % 2 == 0 else ["KSSG"]
+        assert (r["class"], r["motif"], r["source"]) == (c, motif, source)
+        assert r["motifs"] == ",".join(had + [motif] * (motif is not None and motif not in had))
+
+
+def test_blocks_of_classes_do_not_change_the_ranking(spark, monkeypatch):
+    from quillstone.operators import motifs
+
+    classes = spark.createDataFrame([(f"c{i}", f"name {i % 4}", "about this", i * 10) for i in range(12)], "class string, name string, about string, n int")
+    asked = spark.createDataFrame([("name 1",), ("about",), ("name 1",), (None,), ("",)], "t string")
+    ranked = lambda: sorted(map(tuple, motifs.best_classes(asked, "t", classes, k=3).collect()))
+    whole = ranked()
+    monkeypatch.setattr(motifs, "BLOCK", 8)
+    assert ranked() == whole and len(whole) >= 6
+
+
+def test_last_repair_and_patterns(spark):
+    from quillstone.functions import design as D
+    from quillstone.operators.sequences import shortest_matches
+
+    r = spark.createDataFrame([("AAGA",), ("AGAGA",), ("KK",), ("",), (None,)], "s string").select(D.last_repair(F.col("s"), ["GA", "KK"]).alias("x")).collect()
+    assert [x[0] for x in r] == ["AAGQ", "AGAGA", "KK", "", None]
+    p = spark.createDataFrame([("[DE]{3}K",), ("(",), (None,)], "p string").select(shortest_matches("p").alias("x")).collect()
+    assert [x[0] for x in p] == ["DDDK", None, None]
