@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions import seq as S
 
@@ -25,6 +25,25 @@ def letter_counts(sequences: pd.Series) -> pd.Series:
     return pd.Series(list(counts.reshape(-1, 26).astype(np.int32)))
 
 
+@F.pandas_udf(StructType([StructField("n_kmers", LongType()), StructField("entropy", DoubleType())]))
+def pair_entropy(sequences: pd.Series) -> pd.DataFrame:
+    """Distinct overlapping pairs of letters and the entropy -sum p ln(p + 1e-9) of their shares, over the whole batch at once.
+
+    0 and null for a sequence of under two letters or null.
+    """
+    rows = [x or "" for x in sequences]
+    size = np.array([len(x) for x in rows], np.int64)
+    codes = np.frombuffer("".join(rows).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(rows)), size)
+    inside = row[1:] == row[:-1]  # no pair reaches over a border
+    pairs, n = np.unique((row[:-1] << 42 | codes[:-1] << 21 | codes[1:])[inside], return_counts=True)
+    of = pairs >> 42
+    share = n / np.maximum(size - 1, 1)[of]
+    kinds = np.bincount(of, minlength=len(rows))
+    entropy = np.bincount(of, -share * np.log(share + 1e-9), minlength=len(rows))
+    return pd.DataFrame({"n_kmers": kinds, "entropy": pd.Series(entropy).mask(kinds == 0)})
+
+
 def tandem_shares(sequences: list[str | None], longest: int = 20, copies: int = 3) -> np.ndarray:
     """Each sequence's share of letters in tandem repeats: at least `copies` equal neighbours of 1 to `longest` letters.
 

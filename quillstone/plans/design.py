@@ -121,7 +121,7 @@ def masked_accuracy(spark, d):
 
 def source_samples(spark, d):
     """The first three documents of each source, to look at."""
-    docs = table(spark, d, "documents").select("source", "doc_id", F.left("text", F.lit(60)).alias("shown"))
+    docs = table(spark, d, "documents").select("source", "doc_id", F.col("text").alias("shown"))
     return ranking.top_k(docs, ["source"], 3, "doc_id").select("source", "doc_id", "shown", F.col("rank").cast("long").alias("rank"))
 
 
@@ -172,6 +172,6 @@ SELECT conv_id, len(w) AS n_tokens, md5(array_to_string(list_transform(range(1,
 '[1abc-' || p_size || '](https://www.' AS x, CASE p_partkey % 5 WHEN 1 THEN x || 'rcsb.org/structure/1abc)' WHEN 2 THEN x || 'ncbi.nlm.nih.gov/protein/1abc-' || p_size || ')' WHEN 3 THEN '1abc-' || p_size ELSE x || 'uniprot.org/uniprotkb/1abc-' || p_size || ')' END AS link FROM part""",
     "pointer_lookup": "SELECT o_orderkey, o_orderkey || '|' || (o_orderkey % 4 + 1) AS pointer, l_partkey, l_suppkey, l_quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = o_orderkey % 4 + 1",
     "masked_accuracy": "SELECT lang, count(*) FILTER ((n_chars >= 400) = (quality = 1)) AS n_right, count(*) AS n, round(count(*) FILTER ((n_chars >= 400) = (quality = 1)) / count(*), 6) AS accuracy FROM labels JOIN documents USING (doc_id) WHERE toxic = 0 GROUP BY lang",
-    "source_samples": "SELECT source, doc_id, left(text, 60) AS shown, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 3",
+    "source_samples": "SELECT source, doc_id, text AS shown, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 3",
 }
 ORACLES["motif_defaults"] = f"SELECT p_partkey, motifs, tools, link FROM ({ORACLES['motif_defaults']})"

@@ -8,7 +8,7 @@ from ..functions import seq as S
 from ..functions import text as T
 from ..operators import intervals, ranking, summary
 from ..operators.constraints import allowed, best_window, charge_ok, min_count_ok, soft_penalty
-from ..operators.sequences import letter_counts
+from ..operators.sequences import letter_counts, pair_entropy
 from ..sources.tables import table
 
 SEQ = "upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'))"
@@ -72,12 +72,9 @@ def _count(letters):
 
 
 def kmer_entropy(spark, d):
-    s = sequences(spark, d).filter(F.length("seq") > 1)
-    pairs = s.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - 1), lambda i: F.substring("seq", i, F.lit(2)))).alias("k"))
-    counts = pairs.groupBy("doc_id", "k").agg(F.count("*").alias("n"))
-    total = counts.groupBy("doc_id").agg(F.sum("n").alias("t"), F.count("*").alias("n_kmers"))
-    p = F.col("n") / F.col("t")
-    return counts.join(total, "doc_id").groupBy("doc_id", "n_kmers").agg(F.round(-F.sum(p * F.log(p + 1e-9)), 6).alias("entropy"))
+    """Each sequence's pairs of letters and their entropy; nothing is shuffled."""
+    s = sequences(spark, d).filter(F.length("seq") > 1).select("doc_id", pair_entropy("seq").alias("e"))
+    return s.select("doc_id", "e.n_kmers", F.round("e.entropy", 6).alias("entropy"))
 
 
 def best_window_query(spark, d):

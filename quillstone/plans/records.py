@@ -13,7 +13,7 @@ from .trajectories import turns
 
 def answer_table(spark, d):
     """Each dialog against the prompt of its number: requirement on both sides, ground truth (JSON, its single-quoted form or none), answer."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.left(T.letters(F.coalesce("text", F.lit(""))), F.lit(40)).alias("truth"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("idx"), T.letters(F.coalesce("text", F.lit(""))).alias("truth"))
     cell = F.when(F.col("idx") % 3 == 0, F.concat(F.lit('{"ground_truth": "'), F.col("truth"), F.lit('"}'))).when(F.col("idx") % 3 == 1, F.concat(F.lit("{'ground_truth': '"), F.col("truth"), F.lit("'}")))
     prompts = docs.select("idx", T.py_literal_field(cell, "ground_truth").alias("ground_truth"))
     said = J.last_turn(turns(spark, d), "conv_id", "turn", F.col("role") == "user").select(F.col("conv_id").alias("idx"), F.concat(F.lit("Design it. Requirement: "), F.col("text")).alias("asked"))
@@ -39,7 +39,7 @@ def keyword_terms(spark, d):
     text = F.coalesce("text", F.lit(""))
     row = table(spark, d, "benchmark").select("item_id", text.alias("t"))
     parts, terms = T.keyword_parts(F.col("t")), T.query_tokens(F.col("t"), STOP)
-    return row.select("item_id", F.size(parts).cast("long").alias("n_parts"), F.array_join(parts, "|").alias("parts"), F.array_join(terms, " ").alias("terms"), T.contains_all(F.col("t"), F.slice(terms, 1, 3)).alias("has_all"))
+    return row.select("item_id", F.size(parts).cast("long").alias("n_parts"), F.array_join(parts, "|").alias("parts"), F.array_join(terms, " ").alias("terms"), F.coalesce(T.contains_all(F.try_element_at(parts, F.lit(1)), terms), F.lit(False)).alias("has_all"))
 
 
 def code_fields(spark, d):
@@ -48,8 +48,9 @@ def code_fields(spark, d):
     n = lambda c: F.col(c).cast("string")
     text = F.concat(F.lit("EC "), n("p_size"), F.lit(".1, EC:"), n("p_partkey"), F.lit(".2.3.4 EC "), n("p_size"), F.lit(".1 EC x"))
     ec, acc = T.ec_numbers(text), T.accession_list(F.concat(n("p_brand"), F.lit(";; "), n("p_size"), F.lit(", "), n("p_partkey")))
+    coded = F.concat(n("p_size"), F.element_at(F.array(*map(F.lit, (".1", ".1.-", ".x", ".2.3.4.5", "", ".4.5.6"))), (F.col("p_partkey") % 6 + 1).cast("int")))
     first, last = F.col("p_size") % 5 + 1, F.col("p_size") % 5 + 4
-    return p.select("p_partkey", F.array_join(ec, "|").alias("ec"), T.is_ec(F.element_at(ec, 1)).alias("good_ec"), T.is_ec(F.col("p_brand")).alias("bad_ec"), F.array_join(acc, "|").alias("accessions"), F.upper(F.translate("p_type", " -", "")).alias("kind"), F.substring(F.col("p_type"), first, last - first + 1).alias("part"), F.format_string("%.2f%%", F.col("p_size") / 3.0).alias("share"))
+    return p.select("p_partkey", F.array_join(ec, "|").alias("ec"), T.is_ec(F.element_at(ec, 1)).alias("good_ec"), T.is_ec(coded).alias("code_ec"), F.array_join(acc, "|").alias("accessions"), F.upper(F.translate("p_type", " -", "")).alias("kind"), F.substring(F.col("p_type"), first, last - first + 1).alias("part"), F.format_string("%.2f%%", F.col("p_size") / 3.0).alias("share"))
 
 
 def dialog_flags(spark, d):
@@ -83,7 +84,7 @@ r AS (SELECT idx, ' ' || text AS after, 'Design it. Requirement: ' || text AS wh
 k AS (SELECT idx, after, whole, list_filter(range(1, len(string_split(after, chr(10))) + 1), lambda i: regexp_matches(string_split(after, chr(10))[i], '\\d+\\.')) AS p FROM r),
 s AS (SELECT idx, whole, regexp_replace(replace(regexp_replace(CASE WHEN len(p) > 0 THEN array_to_string(string_split(after, chr(10))[p[1]:p[-1]], chr(10)) ELSE after END, '(?is),\\s*[''"]role.*$', ''), '\\n', chr(10)), '[''"\\]\\}\\s]+$', '') AS t FROM k),
 q AS (SELECT idx, coalesce(nullif(trim(t, ' '), ''), trim(regexp_replace(whole, '\\s+$', ''), ' ')) AS req FROM s),
-d AS (SELECT doc_id AS idx, left(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), 40) AS truth FROM documents)
+d AS (SELECT doc_id AS idx, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS truth FROM documents)
 SELECT idx, length(req)::INT AS n_requirement, md5(req) AS requirement, CASE WHEN idx % 3 < 2 THEN truth END AS ground_truth, nullif(upper(regexp_replace(CASE WHEN trim(body) <> '' THEN body END, '[^A-Za-z]', '', 'g')), '') AS predicted, coalesce(idx % 4 <> 0 AND b.text IS NOT NULL OR contains(b.text, '<answer>') AND contains(b.text, '</answer>'), false)::INT AS has_tag
 FROM q LEFT JOIN d USING (idx) LEFT JOIN b USING (idx)""",
     "requirement_lines": """WITH x AS (SELECT doc_id, string_split(translate(coalesce(text, ''), '0123456789.''"]}', ''), chr(10)) AS l FROM documents),
@@ -93,8 +94,8 @@ SELECT doc_id, length(b)::INT AS n_block, md5(b) AS block, md5(array_to_string(l
     "keyword_terms": """WITH p AS (SELECT item_id, coalesce(text, '') AS t FROM benchmark), x AS (SELECT item_id, t, list_filter(list_concat(list_transform(regexp_split_to_array(t, '[,，;；]'), lambda v: trim(v, ' ')), [trim(t, ' ')]), lambda v: v <> '') AS parts, regexp_extract_all(t, '[A-Za-z0-9\\-()+./]+') AS f FROM p),
 k AS (SELECT item_id, t, list_filter(parts, lambda v, i: list_position(list_transform(parts, lambda w: lower(w)), lower(v)) = i) AS parts, list_filter(f, lambda v, i: list_position(f, v) = i AND length(v) >= 3 AND lower(v) NOT IN ('the', 'and', 'der', 'die', 'les', 'que', 'los', 'with') AND NOT regexp_full_match(v, '[0-9]+')) AS f FROM x),
 s AS (SELECT item_id, string_agg(v, ' ' ORDER BY NOT regexp_matches(v, '[\\-()+0-9A-Z]'), -length(v), i) AS terms FROM (SELECT item_id, unnest(f) AS v, unnest(range(1, len(f) + 1)) AS i FROM k) GROUP BY item_id)
-SELECT item_id, len(parts) AS n_parts, array_to_string(parts, '|') AS parts, coalesce(terms, '') AS terms, true AS has_all FROM k LEFT JOIN s USING (item_id)""",
-    "code_fields": """SELECT p_partkey, CASE WHEN p_size || '.1' = p_partkey || '.2.3.4' THEN p_size || '.1' ELSE p_size || '.1|' || p_partkey || '.2.3.4' END AS ec, true AS good_ec, false AS bad_ec, p_brand || '|' || p_size || '|' || p_partkey AS accessions,
+SELECT item_id, len(parts) AS n_parts, array_to_string(parts, '|') AS parts, coalesce(terms, '') AS terms, coalesce(len(list_filter(f, lambda v: NOT contains(lower(parts[1]), lower(v)))) = 0, false) AS has_all FROM k LEFT JOIN s USING (item_id)""",
+    "code_fields": """SELECT p_partkey, CASE WHEN p_size || '.1' = p_partkey || '.2.3.4' THEN p_size || '.1' ELSE p_size || '.1|' || p_partkey || '.2.3.4' END AS ec, true AS good_ec, p_partkey % 6 NOT IN (1, 2) AS code_ec, p_brand || '|' || p_size || '|' || p_partkey AS accessions,
  upper(replace(replace(p_type, ' ', ''), '-', '')) AS kind, substring(p_type, p_size % 5 + 1, 4) AS part, printf('%.2f%%', p_size / 3.0::DOUBLE) AS share FROM part""",
     "dialog_flags": """WITH g AS (SELECT conv_id, arg_max(role, turn) AS role, arg_min(coalesce(text, ''), turn) AS first, count(*) FILTER (role = 'assistant') AS n, max(CASE WHEN turn % 2 = 0 THEN (turn <> 0)::INT ELSE (role <> '')::INT END) AS flag FROM conversations GROUP BY conv_id)
 SELECT conv_id, role = 'assistant' AS answered, n >= 4 AS too_long, flag, md5(CASE WHEN starts_with(ltrim(first, ' '), '/think ') THEN first ELSE '/think ' || first END) AS prompt, CASE WHEN trim(first, ' ') <> '' THEN length('Tools.' || chr(10) || chr(10) || 'Task:' || chr(10) || chr(10) || first) END::INT AS n_built FROM g""",

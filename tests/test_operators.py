@@ -216,3 +216,19 @@ def test_exemplars(spark):
     df = spark.createDataFrame([("a", "KKGX"), ("a", "G"), ("a", None), ("b", ""), (None, "R")], "class string, seq string")
     got = {(r["class"]): (r.n, r.kr, r.g) for r in sequences.exemplars(df, "class", "seq", {"kr": "KR", "g": "G"}).collect()}
     assert got == {"a": (3, 0.4, 0.4), "b": (1, None, None), None: (1, 1.0, 0.0)}
+
+
+def test_pair_entropy_by_hand(spark):
+    import math
+    from collections import Counter
+
+    from quillstone.operators.sequences import pair_entropy
+
+    texts = ["ABAB", "A", "", None, "ZZZZ", "漢字漢字x", "ab" * 3000 + "c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string").coalesce(1)
+    for r in df.select("i", pair_entropy("s").alias("e")).collect():
+        s = texts[r["i"]] or ""
+        n = Counter(s[k : k + 2] for k in range(len(s) - 1))
+        want = -sum(v / n.total() * math.log(v / n.total() + 1e-9) for v in n.values()) if n else None
+        assert r["e"]["n_kmers"] == len(n) and (r["e"]["entropy"] is None) == (want is None)
+        assert want is None or abs(r["e"]["entropy"] - want) < 1e-9
