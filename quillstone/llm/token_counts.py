@@ -3,7 +3,7 @@
 The model never joins a piece across the start of a run of spaces or across a line feed, so a text's
 count is the sum over its pre-tokens. Tier one is a broadcast table of the corpus's frequent pre-tokens
 with their lengths. Every task counts all pre-tokens of its rows and sends one summary of at most
-`frequent` entries; summaries are merged in a tree of bounded nodes, so the broadcast holds at most
+`frequent` entries; summaries are merged in a tree whose nodes take 16 each, so the broadcast holds at most
 `frequent` entries at any input size. Tier two is a cache in each worker, cleared when it reaches a fixed number of entries.
 Pre-tokens of over `LONGEST` characters stay out of both tiers and are encoded each time, so 20,000 entries are
 under 6 MB and a cache under 300 MB. Neither tier alters a count.
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, worker_cache
+from .common import staged, table, worker_cache
 
 SPACE = "▁"  # stands for the space in this model's pieces
 FREQUENT, TRACKED, CACHED, DOCS = 20_000, 250_000, 800_000, 100
@@ -86,10 +86,11 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def frequent_pre_tokens(docs: DataFrame, n: int = FREQUENT) -> dict[str, int]:
-    """Frequent pre-tokens with counts, from all rows, through a tree of bounded merges."""
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_summaries, "task int, summary binary")
-    for nodes in (FANOUT * FANOUT, FANOUT):
-        rows = rows.withColumn("node", F.col("task") % nodes).groupBy("node").applyInPandas(_merge, "task int, summary binary")
+    """Frequent pre-tokens with counts, from all rows, through a tree whose nodes take FANOUT summaries each, however many tasks there are."""
+    rows = staged(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_summaries, "task int, summary binary"), "summaries")
+    last = rows.agg(F.max("task")).first()[0] or 0
+    while last >= FANOUT:
+        rows, last = rows.withColumn("task", F.floor(F.col("task") / FANOUT).cast("int")).groupBy("task").applyInPandas(_merge, "task int, summary binary"), last // FANOUT
     total: Counter = Counter()
     for row in rows.toLocalIterator():  # at most FANOUT summaries of FREQUENT entries
         total.update(pickle.loads(row["summary"]))

@@ -38,3 +38,12 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     got = {r["doc_id"]: r["n_tokens"] for r in rows(op4_token_counts_two_tier(spark, sf))}
     assert got == {r.doc_id: len(SP.encode(r.text or "")) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
+def test_summaries_of_many_tasks(spark, monkeypatch):
+    """The tree's depth grows with the tasks, its nodes do not."""
+    from quillstone.llm import token_counts
+
+    monkeypatch.setattr(token_counts, "FANOUT", 3)
+    got = token_counts.frequent_pre_tokens(docs(spark, [f"a w{i % 4}" for i in range(60)]).repartition(29))
+    assert got == {"▁a": 60} | {f"▁w{i}": 15 for i in range(4)}
