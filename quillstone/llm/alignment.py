@@ -2,10 +2,11 @@
 
 Neither tokenizer joins anything over a single space between two other letters (the first cuts its words there, and
 no piece of the second has a space after a letter, which is asked of its vocabulary), so a text is the sum of its parts
-between such spaces, each with its space before it. A task encodes each distinct part by both tokenizers, takes the running byte ends of each id list in a dictionary
-from end to place, and intersects the two sets of ends. The common ends, sorted, slice both lists into groups;
-in each slice the tokens whose ranges end at its end are linked, each with each (one pair, unless a token has
-no bytes). What a text needs later is staged with it: its distinct linked pairs and how often each occurs.
+between such spaces, each with its space before it. A task encodes each distinct part by both tokenizers, many of them joined by
+such spaces at a time, takes the running byte ends of each id list to their places, and intersects the two sets of ends.
+The common ends, sorted, slice both lists into groups; in each slice the tokens whose ranges end at its end are linked,
+each with each (one pair, unless a token has no bytes). What a text needs later is staged with it: its distinct linked
+pairs and how often each occurs.
 
 Counts are summed over the corpus by pair: in a task first, then by Spark. Pairs with at least one in
 `FREQUENT` of all links are at most `FREQUENT`, so their counts are broadcast (16 bytes each); only rarer pairs of
@@ -28,14 +29,17 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged, table, worker_cache
 
 SPACE = "▁"  # stands for the space in the second tokenizer's pieces
-FREQUENT, HELD, TEXTS = 1_000_000, 1_000_000, 256
-LONGEST, KEPT = 40, 250_000
+FREQUENT, HELD = 1_000_000, 1_000_000
+SLICE_BYTES, SLICE_PAIRS = 1 << 19, 250_000  # what a task works on at a time, whatever Arrow's batches hold
+LONGEST, HEAVIEST, KEPT = 40, 400, 150_000  # letters, bytes found and number of the parts that a worker keeps, twice over
+JOINED = 64
 BORDER = re.compile(r" (?<=\S )(?=\S)")
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
@@ -78,6 +82,11 @@ class Sides:
         cut = '"ByteLevel"' in (first := self.a.pre_tokenizer.__getstate__().decode() if self.a.pre_tokenizer else "") and '"use_regex":false' not in first
         self.apart = cut and not any(SPACE in self.b.id_to_piece(i).lstrip(SPACE) for i in range(self.b.get_piece_size()))
         self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        # The same for whole arrays of ids: letters to the right, a last column for what follows, and which of them count.
+        self.width = len(self.names[-1])
+        self.letters = np.array([f"{x:>{self.width + 1}}" for x in (f"{x} " for x in self.names)], f"S{self.width + 1}").view(np.uint8).reshape(len(self.names), -1)
+        self.counted = np.arange(self.width + 1) >= (self.width - np.array([len(x) for x in self.names]))[:, None]
+        self.ends_a, self.ends_b = np.array(self.size_a), np.array(self.size_b)
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -87,17 +96,26 @@ class Sides:
         """The parts of a text that both tokenizers encode each by itself, without the space before each."""
         return BORDER.split(text) if self.apart else [text]
 
-    def found(self, parts: list[str]) -> list[tuple | None]:
+    def found(self, parts: list[str]) -> dict[str, tuple | None]:
         """What align gives for each part, none where the bytes of its tokens are not its own."""
-        ids_a = self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)
-        ids_b = self.b.encode(parts, num_threads=1)
-        out = []
-        for p, a, b in zip(parts, ids_a, ids_b, strict=True):
-            want, a = b" " + p.encode(), a.ids
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b))
-            out.append(align(self, a, b) if same else None)
+        together = [p for p in parts if not (p[0].isspace() or p[-1].isspace())] if self.apart and not self.empty else []
+        blocks, out = [together[k : k + JOINED] for k in range(0, len(together), JOINED)], {}
+        same = [(block, a, b) for block, a, b in zip(blocks, *self._ids([" ".join(x) for x in blocks]), strict=True) if a]
+        if same:
+            out = align_blocks(self, *(list(chain.from_iterable(x)) for x in zip(*same, strict=True)))
+        alone = [p for p in parts if p not in out]
+        out.update((p, align(self, a, b) if a else None) for p, a, b in zip(alone, *self._ids(alone), strict=True))
         return out
 
+    def _ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """The ids of each text by both tokenizers, none where the bytes of its tokens are not its own."""
+        ids_a = [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        ids_b = self.b.encode(texts, num_threads=1) if texts else []
+        for k, t in enumerate(texts):
+            if not b"".join(map(self.bytes_a.__getitem__, ids_a[k])) == b" " + t.encode() == b"".join(map(self.bytes_b.__getitem__, ids_b[k])):
+                ids_a[k] = ids_b[k] = []
+        return ids_a, ids_b
+
 
 def sides(path_a: str | None = None, path_b: str | None = None) -> Sides:
     """The tokenizers, once per worker."""
@@ -132,17 +150,44 @@ def ending(sizes: list[int], low: int, high: int) -> int:
     return at
 
 
-def align(s: Sides, a: list[int], b: list[int]) -> tuple[int, int, int, str, tuple[int, ...]]:
+def align(s: Sides, a: list[int], b: list[int]) -> tuple[int, int, int, bytes, bytes]:
     """n_a, n_b, n_groups, the groups' ids as text, and the links (first id * 2**32 + second id) of two id lists over the same bytes."""
     size_a, size_b = [s.size_a[i] for i in a], [s.size_b[i] for i in b]
     cut = slices(size_a, size_b)
     name = s.names.__getitem__
-    groups = ";".join([f"{name(a[i])}|{name(b[k])}" if j - i == m - k == 1 else f"{','.join(map(name, a[i:j]))}|{','.join(map(name, b[k:m]))}" for i, j, k, m in cut])
-    if s.empty:
-        links = [a[x] << 32 | b[y] for i, j, k, m in cut for x in range(ending(size_a, i, j), j) for y in range(ending(size_b, k, m), m)]
-    else:
-        links = [a[j - 1] << 32 | b[m - 1] for _, j, _, m in cut]
-    return len(a), len(b), len(cut), groups, tuple(links)
+    groups = ";".join([f"{','.join(map(name, a[i:j]))}|{','.join(map(name, b[k:m]))}" for i, j, k, m in cut])
+    links = [a[x] << 32 | b[y] for i, j, k, m in cut for x in range(ending(size_a, i, j), j) for y in range(ending(size_b, k, m), m)]
+    return len(a), len(b), len(cut), groups.encode(), np.array(links, np.int64).tobytes()
+
+
+def align_blocks(s: Sides, parts: list[str], a: list[int], b: list[int]) -> dict[str, tuple[int, int, int, bytes, bytes]]:
+    """align for each of many parts, from the ids of all, one part after another; no token is without bytes. Parts that a token goes beyond are left out."""
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    end_a, end_b = np.cumsum(s.ends_a[a]), np.cumsum(s.ends_b[b])
+    end = np.cumsum([len(p.encode()) + 1 for p in parts])
+    in_a, in_b = np.zeros((2, end[-1] + 1), bool)
+    in_a[end_a] = in_b[end_b] = True
+    last_a, last_b = in_b[end_a], in_a[end_b]  # the last token of each group
+    group_a, group_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+    links = (a[last_a] << 32 | b[last_b]).tobytes()
+    # Ids in the order of the text of groups: before an id of the first list stand those of the second in earlier groups, and so on.
+    at_a = np.arange(len(a)) + np.append(0, group_b)[np.cumsum(last_a) - last_a]
+    at_b = np.arange(len(b)) + group_a[np.cumsum(last_b) - last_b]
+    ids, after = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.uint8)
+    ids[at_a], after[at_a] = a, np.where(last_a, ord("|"), ord(","))
+    ids[at_b], after[at_b] = b, np.where(last_b, ord(";"), ord(","))
+    letters, counted = s.letters[ids], s.counted[ids]
+    letters[:, -1] = after
+    groups = letters[counted].tobytes()
+    text_to = np.append(0, np.cumsum(counted.sum(1)))
+    to_a, to_b = (np.append(0, np.searchsorted(x, end, "right")) for x in (end_a, end_b))
+    to_group = np.searchsorted(group_a, to_a, "right")
+    to_text = text_to[to_a + to_b]
+    whole = in_a[end] & in_b[end]
+    whole &= np.append(True, whole[:-1])
+    n_a, n_b, n_groups = (np.diff(x).tolist() for x in (to_a, to_b, to_group))
+    t, g = to_text.tolist(), (to_group * 8).tolist()
+    return {p: (n_a[k], n_b[k], n_groups[k], groups[t[k] : t[k + 1] - 1], links[g[k] : g[k + 1]]) for k, p in enumerate(parts) if whole[k]}
 
 
 NOTHING = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int32))
@@ -153,9 +198,36 @@ def summed(found: list[tuple | None]) -> tuple:
     if not found or not all(found):
         return NOTHING
     n_a, n_b, n_groups, groups, links = zip(*found, strict=True)
-    links = np.fromiter(chain.from_iterable(links), np.int64)
+    links = np.frombuffer(b"".join(links), np.int64)
     pairs, times = np.unique(links, return_counts=True)
-    return sum(n_a), sum(n_b), sum(n_groups), len(links), hashlib.sha256(";".join(groups).encode()).hexdigest(), pairs, times.astype(np.int32)
+    return sum(n_a), sum(n_b), sum(n_groups), len(links), hashlib.sha256(b";".join(groups)).hexdigest(), pairs, times.astype(np.int32)
+
+
+def sliced(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """batch in slices of rows whose sizes add up to at most `most`, or of one row."""
+    ends, low = np.cumsum(sizes), 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
+def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows with a bounded number of pairs, these pairs and how often each occurs. What a worker kept for encoding is let go."""
+    if kept := worker_cache("aligned"):
+        kept.clear()
+        gc.unfreeze()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    for batch in batches:
+        for b in sliced(batch, batch.column("pairs").value_lengths().to_numpy(), SLICE_PAIRS):
+            yield b, b.column("pairs").flatten().to_numpy(), b.column("times").flatten().to_numpy().astype(np.int64)
+
+
+def lists(arrays: list[np.ndarray], kind: type) -> pa.ListArray:
+    """A list for each of arrays."""
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, kind), *arrays])))
 
 
 def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_a: str | None = None, path_b: str | None = None) -> DataFrame:
@@ -163,28 +235,28 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sides(path_a, path_b)
-        kept = worker_cache(f"aligned:{path_a}:{path_b}")
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        kept = worker_cache("aligned").setdefault((path_a, path_b), {})
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         for batch in batches:
-            for k in range(0, batch.num_rows, TEXTS):
-                rows = batch.slice(k, TEXTS)
+            for rows in sliced(batch, pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(), SLICE_BYTES):
                 parts = [s.parts(t) if t else [] for t in rows.column("text").to_pylist()]
                 young, old = kept.get("young", {}), kept.get("old", {})
                 if len(young) > KEPT:
                     young, old = {}, young  # what is met again before the next turn comes back from the old ones
-                distinct = set(chain.from_iterable(parts))
-                unseen = distinct - young.keys()
+                unseen = set(chain.from_iterable(parts)) - young.keys()
                 misses = list(unseen - old.keys())
                 young.update((p, old[p]) for p in unseen & old.keys())
-                young.update(zip(misses, s.found(misses), strict=True))
+                young.update(s.found(misses))
                 gc.freeze()  # the collector need not look through what is kept again and again
                 made = [summed(list(map(young.__getitem__, text))) for text in parts]
                 for p in misses:
-                    if len(p) > LONGEST:
+                    if len(p) > LONGEST or young[p] and len(young[p][3]) + len(young[p][4]) > HEAVIEST:
                         del young[p]
                 kept["young"], kept["old"] = young, old
                 more = [pa.array([x[f] for x in made], kind) for f, kind in enumerate(kinds)]
+                more += [lists([x[5] for x in made], np.int64), lists([x[6] for x in made], np.int32)]
                 yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), *more], names=[f.split()[0] for f in ALIGNED.split(", ")])
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return staged(rows.mapInArrow(run, ALIGNED), "aligned")
@@ -202,9 +274,9 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
 
-    for b in batches:
-        held.append((b.column("pairs").flatten().to_numpy(), b.column("times").flatten().to_numpy().astype(np.int64)))
-        size += len(held[-1][0])
+    for _, pairs, times in pairs_of(batches):
+        held.append((pairs, times))
+        size += len(pairs)
         if size > HELD:
             held = [fold()]
             size = len(held[0][0])
@@ -234,8 +306,7 @@ def link_counts(rows: DataFrame, counts: DataFrame, frequent: int = FREQUENT) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n, tops = sent.value
-        for b in batches:
-            pairs, times = b.column("pairs").flatten().to_numpy(), b.column("times").flatten().to_numpy().astype(np.int64)
+        for b, pairs, times in pairs_of(batches):
             doc = np.repeat(np.arange(b.num_rows), b.column("pairs").value_lengths().to_numpy())
             at = np.searchsorted(known, pairs)
             hit = np.zeros(len(pairs), bool)

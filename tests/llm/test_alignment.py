@@ -1,14 +1,19 @@
 import hashlib
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from quillstone.llm import alignment
 from quillstone.llm.alignment import align_tokens, ending, op13_align_tokenizers, slices
+from quillstone.llm.common import worker_cache
 
 from .brute import TEXTS, docs
 
@@ -134,3 +139,68 @@ def test_query(spark):
     short = sorted(source, key=lambda i: (len(source[i]), i))[:60]
     for i, w in zip(short, brute([source[i] for i in short])[0]):
         assert (got[i]["n_a"], got[i]["n_b"], got[i]["n_groups"], got[i]["n_links"], got[i]["groups_sha256"]) == (*w[:4], w[6])
+
+
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        out = run()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_pairs():
+    """A batch of Arrow's 10,000 rows with 3,000,000 pairs is summed in less memory than all of them take, and what was kept for encoding is gone by then."""
+    pairs, times = np.tile(np.arange(300_000), 10), np.ones(3_000_000, np.int32)
+    ends = pa.array(np.arange(0, 3_000_001, 300, np.int32))
+    batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x)) for x in (pairs, times)], names=["pairs", "times"])
+    worker_cache("aligned")["tokenizers"] = {"young": {"part": ()}}
+    out, mb = peak_mb(lambda: list(alignment._sums(iter([batch]))))
+    total = Counter()
+    for b in out:
+        total.update(dict(zip(b.column("pair").to_pylist(), b.column("n").to_pylist())))
+    assert set(total) == set(range(300_000)) and set(total.values()) == {10}
+    assert mb < 110
+    assert not worker_cache("aligned")
+    got = list(alignment.pairs_of(iter([batch])))
+    assert max(len(p) for _, p, _ in got) <= alignment.SLICE_PAIRS and sum(b.num_rows for b, _, _ in got) == 10_000
+    assert np.array_equal(np.concatenate([p for _, p, _ in got]), pairs)
+
+
+def test_memory_of_parts():
+    """What is found for a part of some ten letters takes little memory."""
+    s = alignment.sides()
+    parts = [hashlib.md5(b"%d" % k).hexdigest()[:10].translate(str.maketrans("0123456789", "ghijklmnop")) for k in range(20_000)]
+    tracemalloc.start()
+    try:
+        found = s.found(parts)
+        kept = tracemalloc.get_traced_memory()[0] / len(parts)
+    finally:
+        tracemalloc.stop()
+    assert len(found) == len(parts) and kept < 350
+
+
+def test_parts_together():
+    """Parts encoded many at a time give what each gives by itself, also beside parts that no other may be joined to or whose bytes differ."""
+    s = alignment.sides()
+    words = {p for t in TEXTS for p in s.parts(t or "") if p}
+    parts = sorted(words | {"a\u2581", "\u2581", "\u2581b", " two", "two ", "\n", "\nx", "x\n", "'s", "x'", "\x1c", "\x1dy", "\u3000", "z\u00a0", "<s>", "<|endoftext|>", "é", "漢", "12", "."})
+    found = s.found(parts)
+    assert set(found) == set(parts) and sum(x is None for x in found.values()) >= 3
+    for p in parts:
+        a, na, b, nb = token_bytes(p)
+        if not a:
+            assert found[p] is None
+            continue
+        want, _ = brute([p])
+        groups, links = found[p][3], np.frombuffer(found[p][4], np.int64)
+        assert (*found[p][:3], len(links), hashlib.sha256(groups).hexdigest()) == (*want[0][:4], want[0][6])
+        ends = {sum(na[: k + 1]): x for k, x in enumerate(a)}
+        assert links.tolist() == [ends[e] << 32 | y for k, y in enumerate(b) if (e := sum(nb[: k + 1])) in ends]
+
+
+def test_sliced():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6))], names=["x"])
+    assert [b.column(0).to_pylist() for b in alignment.sliced(batch, np.array([1, 2, 9, 0, 3, 1]), 3)] == [[0, 1], [2], [3, 4], [5]]
+    assert list(alignment.sliced(batch.slice(0, 0), np.zeros(0, int), 3)) == []
