@@ -40,16 +40,17 @@ def rule_table() -> Column:
 
 
 def placed(rules: Column, spans: Column, length: Column) -> Column:
-    """Rules with a place, at each span (first, last) in turn, then those for the whole. A span is written with its smaller end first."""
+    """Rules with a place, at each span (first, last) in turn, then those for the whole. A span is written with its smaller end first;
+    the whole goes from 1 to the length, of an empty sequence from 1 to 0."""
 
     def at(r, s):
-        first, last = F.least(s["first"], s["last"]).cast("int"), F.greatest(s["first"], s["last"]).cast("int")
-        share = F.greatest(F.lit(1), F.floor((last - first + 1) / r["divisor"]).cast("int")).cast("double")
-        return F.struct(r["kind"].alias("kind"), first.alias("first"), last.alias("last"), r["what"].alias("what"), F.when(r["divisor"] > 0, share).otherwise(r["value"]).alias("value"))
+        share = F.greatest(F.lit(1), F.floor((s["last"] - s["first"] + 1) / r["divisor"]).cast("int")).cast("double")
+        return F.struct(r["kind"].alias("kind"), s["first"].alias("first"), s["last"].alias("last"), r["what"].alias("what"), F.when(r["divisor"] > 0, share).otherwise(r["value"]).alias("value"))
 
     of = lambda place, where: F.flatten(F.transform(where, lambda s: F.transform(F.filter(rules, lambda r: r["place"] == place), lambda r: at(r, s))))
-    whole = F.array(F.struct(F.lit(1).alias("first"), length.alias("last")))
-    return F.concat(of("span", spans), of("whole", whole)).cast(RULES)
+    ordered = F.transform(spans, lambda s: F.struct(F.least(s["first"], s["last"]).cast("int").alias("first"), F.greatest(s["first"], s["last"]).cast("int").alias("last")))
+    whole = F.array(F.struct(F.lit(1).alias("first"), length.cast("int").alias("last")))
+    return F.concat(of("span", ordered), of("whole", whole)).cast(RULES)
 
 
 def named(rules: Column, kind: str) -> Column:

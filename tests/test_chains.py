@@ -45,6 +45,29 @@ def test_windows_measured_once_equal_those_of_one_desire(spark):
     assert all(tuple(r["want"]) == tuple(r["got"]) for r in got)
 
 
+def test_rules_for_the_whole_of_an_empty_sequence(spark):
+    rows = documents(spark, [(1, "", "heme c", None, False), (2, None, "ATP", None, False), (3, "A", "heme c", None, False)])
+    ends = lambda r, kind: [(x["first"], x["last"]) for x in r["rules"] if x["kind"] == kind]
+    assert ends(rows[1], "prefer") == [(1, 0)] and ends(rows[3], "prefer") == [(1, 1)]
+    assert ends(rows[2], "max_hydropathy") == [(1, 8), (1, 0)]
+
+
+def test_query_equals_its_sql_on_odd_texts(spark, tmp_path):
+    import duckdb
+
+    from quillstone.plans.chains import ORACLES, chained_rules
+
+    texts = [None, "", " ,; 12 \u00e9", "a", "abcdefghijklmno", "abcdefghijklmnop", "CAACGKTHAAHKSSDDDGAGAAG", "K gagaag\nCxxC"]
+    rows = [(i, t, "en", "x", n) for i, (n, t) in enumerate((n, t) for n in (None, *range(0, 256, 9), 2, 3, 4) for t in texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(ORACLES["chained_rules"])
+    names = [d[0] for d in cur.description]
+    want = sorted(tuple(map(str, r)) for r in cur.fetchall())
+    assert sorted(tuple(str(r[c]) for c in names) for r in chained_rules(spark, str(tmp_path)).collect()) == want
+
+
 def test_resolution_against_plain_python(spark):
     """The whole query over the small tables, by loops over rows."""
     import re
