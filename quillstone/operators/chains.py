@@ -97,12 +97,12 @@ def cofactor_documents(rows: DataFrame, key: str, sequence: Column, text: Column
     r = once(r, "parts", F.transform("texts", part))
     # A window is looked for once a desire, not once a part.
     r = once(r, "desires", F.array_distinct(F.transform(F.filter("parts", lambda p: ~p["class"].isin(*D.WITHOUT_WINDOW)), lambda p: p["desire"])))
-    r = once(r, "measured", C.measured_windows(F.col("seq"), win, step, F.col("locked")))
-    r = once(r, "best", F.map_from_arrays("desires", F.transform("desires", lambda d: C.best_measured(F.col("measured"), win, step, d))))
+    r = once(r, "windows", C.best_windows(F.col("seq"), win, step, F.col("desires"), F.col("locked")))
+    r = once(r, "best", F.map_from_arrays("desires", "windows"))
     place = lambda b: F.struct((b["start"] + 1).cast("int").alias("first"), (b["start"] + win).cast("int").alias("last"), b["overlap"].alias("overlap"))
     span = lambda p: F.when(~p["class"].isin(*D.WITHOUT_WINDOW), item((F.try_element_at(F.col("best"), p["desire"]), place)))
     r = once(r, "parts", F.transform("parts", lambda p: F.struct(p.alias("p"), span(p).alias("span"))))
-    r = once(r.drop("measured"), "by_class", rule_table())
+    r = once(r.drop("windows"), "by_class", rule_table())
     rules_of = lambda c: F.coalesce(F.try_element_at(F.col("by_class"), c), F.slice(F.col("by_class")["auto"], 1, 0))
     weak, no_motif, most = F.array(*[F.lit(x[3]) for x in D.RULES if x[:2] == ("auto", "regex_forbid")]), F.array(F.lit("")), F.lit(D.MOST_CYS)
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +105,91 @@ def best_measured(windows: Column, size: int, step: int, desire: Column) -> Colu
     return F.array_min(F.transform(windows, lambda w, i: F.struct(w["overlap"].alias("overlap"), score(w).alias("score"), (i * step).alias("start"))))
 
 
+#: Letters of sequences, their last marks included, that windows are scored over at a time.
+LETTERS = 1 << 20
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    """x in whole millionths, as Spark rounds: by the digits that a number is written with, halves away from zero."""
+    out = np.rint(x * 1e6)
+    for i in np.flatnonzero(np.abs(x * 1e6 - np.floor(x * 1e6) - 0.5) < 1e-3):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal("0.000001"), ROUND_HALF_UP).scaleb(6))
+    return out.astype(np.int64)
+
+
+def window_choices(sequences: list[str], locked: list[np.ndarray], desires: list[list[str]], size: int, step: int) -> list[list[dict]]:
+    """best_measured of each sequence's windows for each of its desires, over all sequences at once.
+
+    They lie end to end, each filled up to whole steps and a window at least, so that every window starts at a multiple of the step;
+    windows that reach into the next sequence take no part.
+    """
+    length = np.array([len(s) for s in sequences], np.int64)
+    steps = -(-np.maximum(length, size) // step)
+    begin = (np.cumsum(steps) - steps) * step
+    codes = np.full(int(steps.sum()) * step + size, -1, np.int32)
+    marks = np.zeros(len(codes), bool)
+    for at, s, p in zip(begin.tolist(), sequences, locked, strict=True):
+        codes[at : at + len(s)] = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.int32)
+        marks[at + p[(p >= 0) & (p < max(len(s), size))]] = True
+    n = np.maximum(length - size, 0) // step + 1
+    row = np.repeat(np.arange(len(n)), steps)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(steps) - steps, steps)
+    inside = place < n[row]
+    row, place = row[inside], place[inside]
+
+    def count(member: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(member, dtype=np.int32)])
+        return (sums[size::step] - sums[:-size:step])[: len(inside)][inside]
+
+    of = lambda letters: count(reduce(np.logical_or, [codes == ord(c) for c in letters], np.zeros(len(codes), bool)))
+    # How many equal letters end at each place; in a window no more than its places so far.
+    at = np.arange(len(codes), dtype=np.int32)
+    same = np.minimum(at - np.maximum.accumulate(np.where(np.concatenate([[True], codes[1:] != codes[:-1]]), at, 0)) + 1, size).astype(np.int16)
+    run = np.zeros(len(inside), np.int16)
+    for j in range(size):
+        np.maximum(run, np.minimum(same[j::step][: len(inside)], j + 1), out=run)
+    overlap, charge = count(marks), of("KRH") - of("DE")
+    soft, runs = 0.3 * (of("PG") / float(size)), 0.3 * run[inside] / float(size)
+    out: list[list] = [[None] * len(d) for d in desires]
+    for desire in sorted({x for d in desires for x in d}):
+        asked = np.array([desire in d for d in desires])
+        w, edge = np.flatnonzero(asked[row]), np.cumsum(n[asked]) - n[asked]
+        unwanted = -np.minimum(0, charge[w]) if desire == "DE" else np.maximum(0, -charge[w]) if desire in ("CH", "FWY") else 0
+        score = 0.8 - of(desire)[w] / float(size) + soft[w] + runs[w] + 0.2 * unwanted
+        score = np.where(length[row[w]] < size, 10**15, rounded(score))
+        least = lambda x: np.repeat(np.minimum.reduceat(x, edge), n[asked])
+        score[overlap[w] > least(overlap[w])] = 1 << 62
+        kept = np.flatnonzero(score == least(score))
+        kept = kept[np.unique(row[w[kept]], return_index=True)[1]]
+        for r, o, x, k in zip(row[w[kept]].tolist(), overlap[w[kept]].tolist(), score[kept].tolist(), place[w[kept]].tolist(), strict=True):
+            out[r][desires[r].index(desire)] = {"overlap": o, "score": x / 1e6, "start": k * step}
+    return out
+
+
+def best_windows(sequence: Column, size: int, step: int, desires: Column, locked: Column) -> Column:
+    """best_measured for each of a row's desires (distinct texts): an array of (overlap, score, start) in their order.
+
+    No array may be null; null positions are none. Windows are scored LETTERS letters at a time, a longer sequence by itself.
+    """
+
+    @F.arrow_udf("array<struct<overlap:int,score:double,start:int>>")
+    def best(s: pa.Array, d: pa.Array, p: pa.Array) -> pa.Array:
+        texts, wanted, ends = s.to_pylist(), d.to_pylist(), p.offsets.to_numpy()
+        flat = p.values.fill_null(-1).to_numpy(zero_copy_only=False)
+        positions = [flat[a:b].astype(np.int64) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        out, at = [], 0
+        while at < len(texts):
+            to, letters = at, 0
+            while to < len(texts) and (to == at or letters + len(texts[to]) + size <= LETTERS):
+                letters += len(texts[to]) + size
+                to += 1
+            out += window_choices(texts[at:to], positions[at:to], wanted[at:to], size, step)
+            at = to
+        return pa.array(out, pa.list_(pa.struct([("overlap", pa.int32()), ("score", pa.float64()), ("start", pa.int32())])))
+
+    return best(sequence, desires, locked)
+
+
 def mask_positions(length: Column, spans: Column, flank: int, locked: Column) -> Column:
     """Positions in the spans widened by flank and cut to the sequence, merged, without the locked ones."""
     wide = F.transform(spans, lambda x: F.struct(F.greatest(F.lit(0), x["s"] - flank).cast("long").alias("s"), F.least(length, x["e"] + flank).cast("long").alias("e")))

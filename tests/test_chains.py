@@ -45,6 +45,24 @@ def test_windows_measured_once_equal_those_of_one_desire(spark):
     assert all(tuple(r["want"]) == tuple(r["got"]) for r in got)
 
 
+def test_windows_of_many_sequences_equal_those_of_one(spark, monkeypatch):
+    rows = [(i, (SEQ * (i % 9))[i % 5 :][: (0, 1, 15, 16, 17, 400)[i % 6]], [*range(i % 3 - 4, 300, 1 + i % 11), i, None]) for i in range(60)] + [(60, "\U0001f600\u00e9K" * 30, [])]
+    df, wanted = spark.createDataFrame(rows, "id int, seq string, locked array<int>"), ["DE", "FWY", "", "G", "CH"]
+    monkeypatch.setattr(C, "LETTERS", 500)
+    for size, step in ((16, 4), (64, 7), (5, 5)):  # 64 has scores that end in a half
+        once = F.array_distinct(F.filter("locked", lambda p: (p >= 0) & (p < F.greatest(F.length("seq"), F.lit(size)))))
+        plain = F.array(*[C.best_window(F.col("seq"), size, step, x, once) for x in wanted])
+        got = df.select(plain.alias("want"), C.best_windows(F.col("seq"), size, step, F.array(*map(F.lit, wanted)), F.col("locked")).alias("got")).collect()
+        assert all(list(map(tuple, r["want"])) == list(map(tuple, r["got"])) for r in got)
+
+
+def test_windows_are_not_scored_by_lambdas(spark):
+    from quillstone.plans.chains import chained_rules
+
+    plan = chained_rules(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan and r"((.)\2*)" not in plan and "Exchange" not in plan
+
+
 def test_rules_for_the_whole_of_an_empty_sequence(spark):
     rows = documents(spark, [(1, "", "heme c", None, False), (2, None, "ATP", None, False), (3, "A", "heme c", None, False)])
     ends = lambda r, kind: [(x["first"], x["last"]) for x in r["rules"] if x["kind"] == kind]
