@@ -66,6 +66,31 @@ def test_no_ranking_is_made(spark):
     assert "Window" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_counts_are_not_shuffled(spark, some, tmp_path, monkeypatch):
+    """What is written is the rows once and a row for each unit of a query; chunks of queries are tasks of their own."""
+    monkeypatch.setattr(retrieval, "shared_folder", lambda spark, name: f"{tmp_path}/{name}", raising=False)
+    monkeypatch.setattr(retrieval, "ENTRIES", 2000)
+    m, df = some
+    judged = retrieval.quality_by_counts(df.filter("id % 5 = 0"), df)
+    assert "CoGroup" not in judged._jdf.queryExecution().toString()
+    found = spark.read.parquet(f"{tmp_path}/quality/found")
+    assert found.count() == 80 and found.select(F.input_file_name()).distinct().count() > 3
+    assert spark.read.parquet(f"{tmp_path}/quality/rows").count() == 400
+    assert len(list(tmp_path.glob("*/*"))) == 3
+
+
+def test_quality_of_wide_numbers_and_unknown_kinds(spark):
+    rows = [(i, [float(i) / 3, 1.0], None if i % 4 == 0 else i % 2) for i in range(12)] + [(20, [2.0, 1e-9], 1), (-7, [2.0, 1e-9], 1)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, kind int")
+    got = {r["query_id"]: r for r in retrieval.quality_by_counts(df.filter("id in (4, 5, 6)").withColumn("vector", F.col("vector").cast("array<float>")), df).collect()}
+    assert (got[4]["ap"], got[4]["n_relevant"]) == (0.0, 0)
+    for q in (5, 6):
+        asked = [float(np.float32(x)) for x in rows[q][1]]
+        order = [k for *_, k in sorted(((-(asked[0] * v[0] + asked[1] * v[1]), i, k) for i, v, k in rows if i != q), key=lambda x: x[:2])]
+        ranks = [n + 1 for n, k in enumerate(order) if k == q % 2]
+        assert got[q]["n_relevant"] == len(ranks) and np.isclose(got[q]["ap"], np.mean([(k + 1) / r for k, r in enumerate(ranks)])) and np.isclose(got[q]["mrr"], 1 / ranks[0])
+
+
 def test_inverted_file(spark, some, tmp_path, monkeypatch):
     monkeypatch.setattr(retrieval, "ROWS", 50)
     monkeypatch.setattr(retrieval, "QUERIES", 10)
