@@ -79,6 +79,10 @@ def test_counts_are_not_shuffled(spark, some, tmp_path, monkeypatch):
     assert len(list(tmp_path.glob("*/*"))) == 3
 
 
+def test_macro_means_shuffle_no_counts(spark):
+    assert "CoGroup" not in searches.macro_level_mean(spark, SF)._jdf.queryExecution().toString()
+
+
 def test_quality_of_wide_numbers_and_unknown_kinds(spark):
     rows = [(i, [float(i) / 3, 1.0], None if i % 4 == 0 else i % 2) for i in range(12)] + [(20, [2.0, 1e-9], 1), (-7, [2.0, 1e-9], 1)]
     df = spark.createDataFrame(rows, "id long, vector array<double>, kind int")
